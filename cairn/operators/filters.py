@@ -45,50 +45,38 @@ def unexpired(rows: DataFrame, ts: str, now: Column, ttl_seconds: int) -> DataFr
 
 # --- row validation -----------------------------------------------------------------------------
 
-Rules = Mapping[str, Column]
+# A rule is an SQL predicate under the name of the field it guards.
+Rules = Mapping[str, str]
 
 
-def between(column: str, low: float, high: float) -> Column:
-    return F.col(column).between(low, high)
-
-
-def more_than(column: str, low: float, high: float) -> Column:
-    return (F.col(column) > low) & (F.col(column) <= high)
-
-
-def length_between(column: str, low: int, high: int) -> Column:
-    return F.length(column).between(low, high)
-
-
-def one_of(column: str, values: list[str]) -> Column:
-    return F.col(column).isin(values)
+def one_of(column: str, values: list[str]) -> str:
+    return f"{column} IN (" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
+_POSITION = {"lat": "lat BETWEEN -90 AND 90", "lng": "lng BETWEEN -180 AND 180"}
 PLACE_RULES: Rules = {
-    "lat": between("lat", -90, 90), "lng": between("lng", -180, 180),
-    "confidence": between("confidence", 0, 1), "source": one_of("source", fv.SOURCES),
-    "categories": F.size(F.array_except("categories", strings(fv.CATEGORIES))) == 0}
+    **_POSITION, "confidence": "confidence BETWEEN 0 AND 1",
+    "source": one_of("source", fv.SOURCES),
+    "categories": "forall(categories, c -> " + one_of("c", fv.CATEGORIES) + ")"}
 REQUEST_RULES: Rules = {
-    "lat": between("lat", -90, 90), "lng": between("lng", -180, 180),
-    "radius_km": more_than("radius_km", 0, 50), "limit": between("limit", 1, 200),
+    **_POSITION, "radius_km": "radius_km > 0 AND radius_km <= 50",
+    "limit": "`limit` BETWEEN 1 AND 200",
     "sort_by": one_of("sort_by", ["confidence", "distance", "name"])}
 ROUTE_REQUEST_RULES: Rules = {
-    "max_duration_hours": more_than("max_duration_hours", 0, 24),
-    "corridor_width_km": more_than("corridor_width_km", 0, 10),
-    "max_waypoints": between("max_waypoints", 1, 50)}
-RATING_RULES: Rules = {"score": between("score", 1, 5)}
-SUBMISSION_RULES: Rules = {
-    "name": length_between("name", 1, 200), "lat": between("lat", -90, 90),
-    "lng": between("lng", -180, 180)}
-REVIEW_RULES: Rules = {"text": length_between("text", 1, 5000)}
-FOG_RULES: Rules = {"lat": between("lat", -90, 90), "lng": between("lng", -180, 180),
-                    "radius_m": more_than("radius_m", 0, 500)}
-PROXIMITY_RULES: Rules = {"radius_m": more_than("radius_m", 0, 500)}
+    "max_duration_hours": "max_duration_hours > 0 AND max_duration_hours <= 24",
+    "corridor_width_km": "corridor_width_km > 0 AND corridor_width_km <= 10",
+    "max_waypoints": "max_waypoints BETWEEN 1 AND 50"}
+RATING_RULES: Rules = {"score": "score BETWEEN 1 AND 5"}
+SUBMISSION_RULES: Rules = {**_POSITION, "name": "length(name) BETWEEN 1 AND 200"}
+REVIEW_RULES: Rules = {"text": "length(text) BETWEEN 1 AND 5000"}
+FOG_RULES: Rules = {**_POSITION, "radius_m": "radius_m > 0 AND radius_m <= 500"}
+PROXIMITY_RULES: Rules = {"radius_m": "radius_m > 0 AND radius_m <= 500"}
 
 
 def validate(rows: DataFrame, rules: Rules) -> DataFrame:
     """Adds ``errors``: the names of the rules a row breaks (an unknown value breaks its rule)."""
-    broken = [F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()]
+    broken = [F.when(~F.coalesce(F.expr(test), F.lit(False)), F.lit(name))
+              for name, test in rules.items()]
     return rows.withColumn("errors", F.filter(F.array(*broken), lambda e: e.isNotNull()))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.plans.catalog import Query
 from cairn.session import configure
 
-MODULES = ["geo_queries", "discovery_queries"]
+MODULES = ["geo_queries", "discovery_queries", "journal_queries", "gamify_queries",
+           "community_queries"]
 
 
 def _catalogs():
