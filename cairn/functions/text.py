@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cairn import fixed_values as fv
-from cairn.functions.columns import as_col, not_empty, strings
+from cairn.functions.columns import as_col, not_empty, round_to, strings
 
 # Java needs the flag for \w and \b to know letters beyond ASCII
 UNICODE = "(?U)"
@@ -145,7 +145,8 @@ def short_hash(value) -> Column:
 def coordinate_key(prefix: str, lat, lng, radius_km, digits: int, radius_digits: int) -> Column:
     """Fixed-precision key such as ``atlas_42.441_18.771_5.0``."""
     return F.format_string(f"{prefix}_%.{digits}f_%.{digits}f_%.{radius_digits}f",
-                           as_col(lat), as_col(lng), as_col(radius_km).cast("double"))
+                           round_to(lat, digits), round_to(lng, digits),
+                           round_to(as_col(radius_km).cast("double"), radius_digits))
 
 
 def file_name(value, extension: str) -> Column:
