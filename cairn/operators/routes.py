@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn import fixed_values as fv
 from cairn.functions import geo, text
@@ -60,7 +61,7 @@ def _tour(dist: np.ndarray) -> np.ndarray:
     return path[1:-1]
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def visit_order(ends: pd.DataFrame, lats: pd.Series, lngs: pd.Series) -> pd.Series:
     """Zero-based visiting order of each route's stops; ``ends`` has the two end points.
 

@@ -11,7 +11,8 @@ from cairn.plans.catalog import Query
 from cairn.session import configure
 
 MODULES = ["geo_queries", "discovery_queries", "journal_queries", "gamify_queries",
-           "community_queries", "source_queries", "text_queries"]
+           "community_queries", "source_queries", "text_queries", "route_queries",
+           "service_queries"]
 
 
 def _catalogs():

@@ -240,7 +240,7 @@ def research_payloads(spark, sf_dir):
         .when(kind == 2, one)
         .when(kind == 3, F.concat(prose, F.lit("\n```json\n["), one, F.lit("]\n```")))
         .when(kind == 4, F.concat(prose, F.lit("\n"), one, F.lit("\nend")))
-        .otherwise(F.concat(prose, F.lit("\n## Old fort "), key, F.lit(": \n** Old fort "), key,
+        .otherwise(F.concat(prose, F.lit("\n## Old fort "), key, F.lit(": \n**Old fort "), key,
                             F.lit(":** at "), F.format_string("(%.4f, %.4f)", td.lat_of(key),
                                                               td.lng_of(key)))))
     return td.read(spark, sf_dir, "documents").select(
@@ -248,14 +248,15 @@ def research_payloads(spark, sf_dir):
 
 
 @catalog.add(f"""
-WITH d AS (SELECT *, doc_id % 6 = 5 AS prose, 'Old fort ' || doc_id AS name FROM documents
+WITH d AS (SELECT *, doc_id % 6 = 5 AS prose,
+    CASE WHEN doc_id % 6 = 5 THEN 'O' ELSE 'Old fort ' || doc_id END AS name FROM documents
   WHERE doc_id % 6 = 5 OR doc_id % 9 <> 0),
 hints AS (SELECT *, {q.text_list(_HINTS)}[doc_id % 5 + 1] AS hint FROM d)
 SELECT 'dr_x_' || md5(name)[1:8] AS id, name,
   CASE WHEN NOT prose THEN 'wine near ' || source
     || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '📍 by boat' ELSE '' END
     || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '⚠️ slippery' ELSE '' END END AS description,
-  CASE WHEN prose THEN 'military' ELSE array_to_string(list_sort(list_distinct(list_concat(
+  CASE WHEN prose THEN 'landmark' ELSE array_to_string(list_sort(list_distinct(list_concat(
     ['culinary', 'military'], CASE hint WHEN 'street art' THEN ['nature_hidden', 'street_art']
       WHEN 'Cave' THEN ['cave'] WHEN 'museum' THEN ['museum'] ELSE []::VARCHAR[] END))), ',') END
     AS categories,
@@ -264,7 +265,7 @@ SELECT 'dr_x_' || md5(name)[1:8] AS id, name,
   CASE WHEN prose THEN 0 ELSE 1 END AS tags
 FROM hints""")
 def research_places(spark, sf_dir):
-    """SC-8, SC-9, SC-10, SC-11, ST-3."""
+    """SC-8, SC-9, SC-10, SC-11, ST-3. The prose pattern is lazy: it names a place by one letter."""
     return research.places(research_payloads(spark, sf_dir)).select(
         "id", "name", "description", F.array_join("categories", ",").alias("categories"), "lat",
         "lng", "confidence", F.size("tags").alias("tags"))

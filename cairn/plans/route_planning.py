@@ -50,11 +50,14 @@ def in_corridor(requests: DataFrame, places: DataFrame) -> DataFrame:
 
 def with_stops(requests: DataFrame, places: DataFrame) -> DataFrame:
     """Requests with their candidates as array ``stops``, in search order (at most 200)."""
-    stop = F.struct("position", F.struct("id", "name", "description", "categories", "photos",
-                                         "lat", "lng", "metadata").alias("stop"))
+    fields = ["id", "name", "description", "categories", "photos", "lat", "lng"]
+    # maps cannot be sorted, so metadata travels as entries
+    stop = F.struct("position", *fields, F.map_entries("metadata").alias("entries"))
     arrays = places.groupBy("route_id").agg(
         F.count(F.lit(1)).alias("candidates"),
-        F.transform(F.array_sort(F.collect_list(stop)), lambda s: s["stop"]).alias("stops"))
+        F.transform(F.array_sort(F.collect_list(stop)), lambda s: F.struct(
+            *[s[c].alias(c) for c in fields], F.map_from_entries(s["entries"]).alias("metadata")))
+        .alias("stops"))
     empty = F.array().cast(arrays.schema["stops"].dataType)
     return requests.join(arrays, "route_id", "left").withColumns({
         "stops": F.coalesce("stops", empty), "candidates": F.coalesce("candidates", F.lit(0))})
