@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,15 @@ def as_col(value: Column | str | float | int) -> Column:
     return F.col(value) if isinstance(value, str) else F.lit(value)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and use it many times in ``body``.
+
+    The optimizer inlines a column into the lambda that uses it, where it would be computed once
+    per array element; a lambda variable is not inlined.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def round_to(value: Column | str, digits: int) -> Column:
     """Round half to even on the binary value (``rint``), never returning minus zero."""
     scale = float(10 ** digits)

@@ -151,32 +151,38 @@ def _row_cell(row: Column, lng: Column, size: float) -> Column:
 def join_cell(lat, lng, size: float) -> Column:
     """Cell id of a point, a bigint usable as an equi-join key."""
     row = F.floor(as_col(lat) / F.lit(size))
-    column = F.pmod(_row_cell(row, as_col(lng), size), _row_cells(row, size))
-    return row * F.lit(CELL_ROW_STRIDE) + column
+    return cell_id(row, _row_cell(row, as_col(lng), size), size)
 
 
-def cells_of_box(south, west, north, east, size: float) -> Column:
-    """``array<bigint>`` of all join cells that a box touches."""
-    south, west, north, east = (as_col(v) for v in (south, west, north, east))
-    rows = F.sequence(F.floor(south / F.lit(size)), F.floor(north / F.lit(size)))
+def cell_rows(south, north, size: float) -> Column:
+    """``array<bigint>`` of the cell rows that a box touches."""
+    return F.sequence(F.floor(as_col(south) / F.lit(size)), F.floor(as_col(north) / F.lit(size)))
 
-    def row_ids(row: Column) -> Column:
-        count = _row_cells(row, size)
-        first = _row_cell(row, west, size)
-        last = F.least(_row_cell(row, east, size), first + count - 1)
-        return F.transform(F.sequence(first, last), lambda column: row * F.lit(CELL_ROW_STRIDE)
-                           + F.pmod(column, count))
 
-    return F.array_distinct(F.flatten(F.transform(rows, row_ids)))
+def cell_columns(row, west, east, size: float) -> Column:
+    """``array<bigint>`` of the columns that a box touches in one row, not yet wrapped."""
+    row = as_col(row)
+    first = _row_cell(row, as_col(west), size)
+    last = F.least(_row_cell(row, as_col(east), size), first + _row_cells(row, size) - 1)
+    return F.sequence(first, last)
 
 
-def cells_within(lat, lng, radius_m, size: float) -> Column:
-    """``array<bigint>`` of all join cells that can hold a point within ``radius_m`` metres."""
+def cell_id(row, column, size: float) -> Column:
+    row = as_col(row)
+    return row * F.lit(CELL_ROW_STRIDE) + F.pmod(as_col(column), _row_cells(row, size))
+
+
+def reach_box(lat, lng, radius_m) -> Column:
+    """``struct<south, west, north, east>`` that holds every point within ``radius_m`` metres.
+
+    Longitudes may leave -180..180; cell ids wrap around.
+    """
     lat, lng, radius_m = as_col(lat), as_col(lng), as_col(radius_m)
     angle = radius_m / F.lit(EARTH_RADIUS_M)
     dlat = F.degrees(angle) * F.lit(SAFETY)
     top = F.abs(lat) + dlat
     dlng = F.when(top >= 89.9, F.lit(180.0)).otherwise(F.least(
         F.lit(180.0), F.degrees(angle) / F.cos(F.radians(top)) * F.lit(SAFETY)))
-    return cells_of_box(F.greatest(F.lit(-90.0), lat - dlat), lng - dlng,
-                        F.least(F.lit(90.0), lat + dlat), lng + dlng, size)
+    return F.struct(F.greatest(F.lit(-90.0), lat - dlat).alias("south"),
+                    (lng - dlng).alias("west"), F.least(F.lit(90.0), lat + dlat).alias("north"),
+                    (lng + dlng).alias("east"))

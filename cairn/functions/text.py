@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cairn import fixed_values as fv
-from cairn.functions.columns import as_col, not_empty, round_to, strings
+from cairn.functions.columns import as_col, let, not_empty, round_to, strings
 
 # Java needs the flag for \w and \b to know letters beyond ASCII
 UNICODE = "(?U)"
@@ -42,17 +42,20 @@ def keyword_hits(blob: Column, keywords: dict[str, list[str]]) -> Column:
     """``array<struct<keyword, categories>>`` of the keywords that occur in the text."""
     table = F.array(*[F.struct(F.lit(k).alias("keyword"), strings(c).alias("categories"))
                       for k, c in keywords.items()])
-    return F.filter(table, lambda r: F.contains(blob, r["keyword"]))
+    return let(blob, lambda t: F.filter(table, lambda r: F.contains(t, r["keyword"])))
 
 
 def intent(message) -> Column:
     """``struct<categories, mood>`` of a free-text request, by multilingual keywords."""
-    hits = keyword_hits(F.lower(as_col(message)), fv.INTENT_KEYWORDS)
-    found = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["categories"]))))
-    return F.struct(
-        F.when(F.size(found) > 0, found).otherwise(
-            F.array_sort(strings(fv.INTENT_DEFAULT))).alias("categories"),
-        F.transform(hits, lambda h: h["keyword"]).alias("mood"))
+    def read(hits: Column) -> Column:
+        found = F.array_sort(F.array_distinct(F.flatten(F.transform(
+            hits, lambda h: h["categories"]))))
+        return F.struct(
+            F.when(F.size(hits) > 0, found).otherwise(
+                F.array_sort(strings(fv.INTENT_DEFAULT))).alias("categories"),
+            F.transform(hits, lambda h: h["keyword"]).alias("mood"))
+
+    return let(keyword_hits(F.lower(as_col(message)), fv.INTENT_KEYWORDS), read)
 
 
 def research_categories(value, hint) -> Column:

@@ -119,8 +119,7 @@ def merge_clusters(members: DataFrame) -> DataFrame:
 def fuse_places(places: DataFrame, threshold_m: float | None = None) -> DataFrame:
     """Cluster by distance and merge. ``places`` needs ``ord``; the result keeps the leader's."""
     threshold = fv.DEDUP_DISTANCE_M if threshold_m is None else threshold_m
-    owners = spatial.leader_clusters(places.select("ord", "lat", "lng"), threshold)
-    return merge_clusters(places.join(owners.select("ord", "leader"), "ord"))
+    return merge_clusters(spatial.leader_clusters(places, threshold))
 
 
 def fusion_metrics(places: DataFrame, fused: DataFrame) -> DataFrame:
@@ -143,10 +142,9 @@ def _neighbour_pairs(items: DataFrame, threshold_m: float, min_similarity: float
     size = spatial.cell_degrees_for(threshold_m)
     words = items.withColumn("word", F.explode("words"))
     right = words.withColumn("_cell", geo.join_cell("lat", "lng", size))
-    left = words.select(
+    left = spatial.expand_reach(words.select(
         F.col("ord").alias("near"), F.col("lat").alias("n_lat"), F.col("lng").alias("n_lng"),
-        F.col("words").alias("n_words"), "word",
-        F.explode(geo.cells_within("lat", "lng", F.lit(threshold_m), size)).alias("_cell"))
+        F.col("words").alias("n_words"), "word"), "n_lat", "n_lng", F.lit(threshold_m), size)
     common = F.array_intersect("words", "n_words")
     # several common words give several hits: keep the one on the first common word
     return right.join(left, ["_cell", "word"]).where(

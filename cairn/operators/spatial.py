@@ -20,11 +20,29 @@ def cell_degrees_for(radius_m: float) -> float:
     return radius_m / 111_000.0
 
 
+def expand_to_cells(rows: DataFrame, size: float, box: str | None = None,
+                    cell: str = "_cell") -> DataFrame:
+    """One row per join cell that the row's box touches (columns, or fields of struct ``box``).
+
+    Two plain explodes, rows then columns of cells, which stay in generated code.
+    """
+    side = (lambda name: F.col(f"{box}.{name}")) if box else F.col
+    by_row = rows.withColumn("_row", F.explode(geo.cell_rows(side("south"), side("north"), size)))
+    by_cell = by_row.withColumn("_column", F.explode(geo.cell_columns(
+        "_row", side("west"), side("east"), size)))
+    return by_cell.withColumn(cell, geo.cell_id("_row", "_column", size)).drop("_row", "_column")
+
+
+def expand_reach(rows: DataFrame, lat: str, lng: str, radius_m: Column, size: float) -> DataFrame:
+    """One row per join cell that can hold a point within the radius."""
+    boxed = rows.withColumn("_box", geo.reach_box(lat, lng, radius_m))
+    return expand_to_cells(boxed, size, "_box").drop("_box")
+
+
 def box_join(queries: DataFrame, points: DataFrame, *, lat: str = "lat", lng: str = "lng",
              cell_degrees: float = BOX_CELL_DEGREES) -> DataFrame:
     """Rows of ``queries`` (with south, west, north, east) joined to the points in their box."""
-    left = queries.withColumn("_cell", F.explode(geo.cells_of_box(
-        "south", "west", "north", "east", cell_degrees)))
+    left = expand_to_cells(queries, cell_degrees)
     right = points.withColumn("_cell", geo.join_cell(lat, lng, cell_degrees))
     return left.join(right, "_cell").where(
         geo.in_box(lat, lng, "south", "west", "north", "east")).drop("_cell")
@@ -37,8 +55,8 @@ def circle_join(queries: DataFrame, points: DataFrame, radius_m: float | Column,
     Adds ``distance_m``. The radius may be a column of ``queries``.
     """
     radius = radius_m if isinstance(radius_m, Column) else F.lit(float(radius_m))
-    left = queries.withColumn("_radius", radius).withColumn("_cell", F.explode(
-        geo.cells_within("q_lat", "q_lng", "_radius", cell_degrees)))
+    left = expand_reach(queries.withColumn("_radius", radius), "q_lat", "q_lng",
+                        F.col("_radius"), cell_degrees)
     right = points.withColumn("_cell", geo.join_cell("lat", "lng", cell_degrees))
     joined = left.join(right, "_cell").withColumn(
         "distance_m", geo.haversine_m("q_lat", "q_lng", "lat", "lng"))
@@ -97,7 +115,13 @@ def nearest_point(queries: DataFrame, points: DataFrame, key: str,
 
 
 def leader_clusters(points: DataFrame, threshold_m: float) -> DataFrame:
-    """Greedy leader clustering of (ord, lat, lng) in ``ord`` order: adds ``leader``.
+    """Points with the ``leader`` of their position."""
+    return points.join(leader_sites(points.select("ord", "lat", "lng"), threshold_m),
+                       ["lat", "lng"])
+
+
+def leader_sites(points: DataFrame, threshold_m: float) -> DataFrame:
+    """Greedy leader clustering of (ord, lat, lng) in ``ord`` order: (lat, lng, leader).
 
     Going through the rows in order, a row joins the first leader closer than the threshold or
     becomes a leader itself. In parallel: a row without an undecided smaller neighbour is a leader
@@ -107,14 +131,14 @@ def leader_clusters(points: DataFrame, threshold_m: float) -> DataFrame:
     always share a leader), each round tests only the first undecided row of every small cell, and
     leaders are a threshold apart, so a cell sees a bounded number of candidates and leaders.
     """
-    size = threshold_m / 111_000.0 / 1.5
+    size = cell_degrees_for(threshold_m)
     sites = cut(points.groupBy("lat", "lng").agg(F.min("ord").alias("ord"))
                 .withColumn("_cell", geo.join_cell("lat", "lng", size)))
 
     def reach(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            F.col("ord").alias("c_ord"), F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"),
-            F.explode(geo.cells_within("lat", "lng", F.lit(threshold_m), size)).alias("_cell"))
+        named = rows.select(F.col("ord").alias("c_ord"), F.col("lat").alias("c_lat"),
+                            F.col("lng").alias("c_lng"))
+        return expand_reach(named, "c_lat", "c_lng", F.lit(threshold_m), size)
 
     close = geo.haversine_m("lat", "lng", "c_lat", "c_lng") < threshold_m
     undecided, leaders = sites, None
@@ -123,13 +147,15 @@ def leader_clusters(points: DataFrame, threshold_m: float) -> DataFrame:
             F.min_by(F.struct("ord", "lat", "lng"), "ord").alias("p")).select("p.*")
         blocked = undecided.join(reach(first), "_cell").where(
             (F.col("ord") < F.col("c_ord")) & close).select(F.col("c_ord").alias("ord")).distinct()
-        elected = cut(first.join(blocked, "ord", "left_anti"))
-        decided = undecided.join(reach(elected), "_cell").where(close).select("ord").distinct()
-        undecided = cut(undecided.join(decided, "ord", "left_anti"))
+        elected = first.join(blocked, "ord", "left_anti")
+        decided = undecided.join(reach(elected), "_cell").where(close).groupBy("ord").agg(
+            F.max(F.col("ord") == F.col("c_ord")).alias("leads"))
+        state = cut(undecided.join(decided, "ord", "left"))
+        elected = state.where("leads").drop("leads")
+        undecided = state.where("leads IS NULL").drop("leads")
         leaders = elected if leaders is None else leaders.unionByName(elected)
         if undecided.isEmpty():
             break
-    owners = sites.join(reach(leaders), "_cell").where(
+    return cut(sites.join(reach(leaders), "_cell").where(
         (F.col("c_ord") <= F.col("ord")) & close).groupBy("lat", "lng").agg(
-        F.min("c_ord").alias("leader"))
-    return points.join(owners, ["lat", "lng"])
+        F.min("c_ord").alias("leader")))

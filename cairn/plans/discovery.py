@@ -15,6 +15,7 @@ from cairn.functions.columns import as_col, round_to
 from cairn.operators import spatial
 from cairn.operators.classify import classify_places
 from cairn.operators.fusion import fuse_places, with_confidence
+from cairn.session import cut
 
 log = logging.getLogger(__name__)
 
@@ -122,5 +123,5 @@ def discover(requests: DataFrame, places: DataFrame, *, excluded: DataFrame | No
              sort_by: str = "confidence", limit: int = 50, cursor: str | None = None,
              threshold_m: float | None = None, strict_radius: bool = False) -> DataFrame:
     """The whole search: one page of merged, classified places per request."""
-    catalogue = build_catalogue(places, threshold_m)
+    catalogue = cut(build_catalogue(places, threshold_m))
     return page(matches(requests, catalogue, excluded, strict_radius), sort_by, limit, cursor)

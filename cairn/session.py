@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,20 +35,31 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return configure(spark)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; fall back to a scratch folder only on a local master."""
-    context = spark.sparkContext
+_scratch: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, which all executors must share.
+
+    Only a local master may do without; it gets a scratch folder of its own.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _scratch:
+        _scratch[application] = tempfile.mkdtemp(prefix="cairn-")
+    return _scratch[application]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table to the shared folder and continue from there.
+
+    Survives lost executors like a reliable checkpoint. The table also has a known size and can be
+    read by column, so later joins and scans are planned on facts.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cairn/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
