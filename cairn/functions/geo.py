@@ -108,12 +108,17 @@ def grid_key_position(key) -> Column:
     return F.struct(parts[0].cast("double").alias("lat"), parts[1].cast("double").alias("lng"))
 
 
+def grid_reach(radius_m) -> Column:
+    """Grid steps to try in each direction for a radius, at least one."""
+    steps = F.floor(as_col(radius_m) / F.lit(111.0 * fv.CELL_DEGREES * 1000)) + 1
+    return F.greatest(F.lit(1), steps).cast("int")
+
+
 def grid_keys_in_radius(lat, lng, radius_m) -> Column:
     """Keys of the cells reached from a point; offsets start at the raw point, not the grid."""
     lat, lng, radius_m = as_col(lat), as_col(lng), as_col(radius_m)
     step = F.lit(fv.CELL_DEGREES)
-    reach = F.greatest(F.lit(1), F.floor(radius_m / F.lit(111.0 * fv.CELL_DEGREES * 1000)) + 1)
-    offsets = F.sequence((-reach).cast("int"), reach.cast("int"))
+    offsets = F.sequence(-grid_reach(radius_m), grid_reach(radius_m))
     points = F.flatten(F.transform(offsets, lambda dy: F.transform(offsets, lambda dx: F.struct(
         (lat + dy * step).alias("lat"), (lng + dx * step).alias("lng")))))
     near = F.filter(points, lambda p: haversine_m(lat, lng, p["lat"], p["lng"]) <= radius_m)

@@ -15,7 +15,7 @@ ANY_CASE = "(?iU)"
 
 def _strip(value: Column) -> Column:
     """Trim all leading and trailing white space."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.trim(value, F.lit(fv.WHITE_SPACE))
 
 
 def words(value) -> Column:
@@ -76,13 +76,27 @@ def language(value) -> Column:
     return F.when(cyrillic > F.length(blob) * 0.3, "ru").otherwise("en")
 
 
+def is_suspicious(value) -> Column:
+    """Does the text look like an attempt to instruct a model?
+
+    Patterns run on lower-cased text, each only where a plain search finds the word it needs.
+    """
+    def test(blob: Column) -> Column:
+        found = F.lit(False)
+        for pattern, anchor in zip(fv.INJECTION_PATTERNS, fv.INJECTION_ANCHORS):
+            plain = pattern.lower().replace(r"\s", r"[\s\x1c-\x1f\x85\p{Z}]")
+            found = found | (F.contains(blob, F.lit(anchor)) & F.rlike(blob, F.lit(plain)))
+        return found
+
+    return let(F.lower(F.regexp_replace(as_col(value), fv.CONTROL_CHARS, "")), test)
+
+
 def sanitize_input(value) -> Column:
     """Strip control characters; remove role tags and special tokens from suspicious text; trim."""
     clean = F.regexp_replace(as_col(value), fv.CONTROL_CHARS, "")
-    suspicious = F.rlike(clean, F.lit(ANY_CASE + "(" + "|".join(fv.INJECTION_PATTERNS) + ")"))
     neutral = F.regexp_replace(F.regexp_replace(clean, ANY_CASE + fv.ROLE_TAGS, ""),
                                ANY_CASE + fv.SPECIAL_TOKENS, "")
-    return _strip(F.when(suspicious, neutral).otherwise(clean))
+    return _strip(F.when(is_suspicious(value), neutral).otherwise(clean))
 
 
 def mask_personal(value, limit: int = 200) -> Column:

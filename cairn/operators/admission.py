@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn import fixed_values as fv
 from cairn.operators.ordered import previous_row, running_totals
+from cairn.session import cut
 
 
 def admit(times: np.ndarray, accepted: deque, limit: int, window_us: int) -> np.ndarray:
@@ -40,7 +41,7 @@ def admit_calls(calls: DataFrame, limit: int, window_seconds: int = fv.RATE_WIND
     timed = calls.withColumn("us", F.unix_micros("ts"))
     gap = previous_row(timed, keys, ["ts", "ord"], ["us"], "before")
     opens = F.when(F.col("us") - F.col("before.us") < width, 0).otherwise(1)
-    bursts = running_totals(gap, keys, ["ts", "ord"], {"burst": opens}).drop("before")
+    bursts = cut(running_totals(gap, keys, ["ts", "ord"], {"burst": opens}).drop("before"))
     sizes = bursts.groupBy(*keys, "burst").agg(F.count(F.lit(1)).alias("calls"))
     sized = bursts.join(sizes, [*keys, "burst"])
     group = [*keys, "burst"]

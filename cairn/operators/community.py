@@ -10,6 +10,7 @@ from cairn.functions import text
 from cairn.functions.columns import round_to
 from cairn.operators.filters import guard_actor
 from cairn.operators.ordered import previous_row, running_totals
+from cairn.session import cut
 
 # --- submissions --------------------------------------------------------------------------------
 
@@ -44,7 +45,6 @@ def flag_duplicates(submissions: DataFrame,
     A row is accepted if no accepted earlier row matches it, which is leader election again; equal
     positions of one name are folded first, and only cells of side ``degrees`` are compared.
     """
-    from cairn.session import cut
     keyed = submissions.withColumn("_name", F.lower("name"))
     sites = cut(keyed.where("_name <> ''").groupBy("_name", "lat", "lng").agg(
         F.min("ord").alias("ord")).withColumns({
@@ -90,7 +90,7 @@ def moderation_history(events: DataFrame, places: DataFrame,
     confirmed (rejected) whenever a confirm (reject) finds its tally at the threshold.
     """
     accepted, _ = guard_actor(events, places, "place_id", "user_id", "submitted_by")
-    changed = previous_row(accepted, ["place_id", "user_id"], ["ts", "ord"], ["confirm"])
+    changed = cut(previous_row(accepted, ["place_id", "user_id"], ["ts", "ord"], ["confirm"]))
     was = F.col("previous.confirm")
 
     def delta(vote: bool) -> Column:
@@ -228,6 +228,7 @@ def karma_events(status: DataFrame, reviews: DataFrame, scores: DataFrame,
         return rows.groupBy(F.col(user).cast("bigint").alias("user_id")).agg(
             F.sum(times).alias("times")).withColumn("reason", F.lit(reason))
 
+    status = cut(status)
     voted = scores.join(reviews.select(F.col("id").alias("review_id"), "author_id"), "review_id")
     one = F.lit(1)
     return (counted(status, "submitted_by", "place_submitted", one)

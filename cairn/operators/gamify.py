@@ -11,20 +11,30 @@ from cairn.functions.columns import as_col, round_to, strings
 from cairn.operators import spatial
 from cairn.operators.journal import VISITED, path_km, rating_average, visit_days
 from cairn.operators.ordered import day_runs, descending_rank, running_totals
+from cairn.session import cut
 
 # --- explored cells -----------------------------------------------------------------------------
 
 
 def revealed_cells(points: DataFrame) -> DataFrame:
     """Cells that trail points reveal, each with its first revealer (lowest ``ord``)."""
-    cells = points.select("user_id", "ts", "visit_id", "ord", F.explode(
-        geo.grid_keys_in_radius("lat", "lng", "radius_m")).alias("cell_key"))
-    first = cells.groupBy("user_id", "cell_key").agg(
+    step = F.lit(fv.CELL_DEGREES)
+    reach = geo.grid_reach("radius_m")
+    around = points.withColumn("_dy", F.explode(F.sequence(-reach, reach))).withColumn(
+        "_dx", F.explode(F.sequence(-reach, reach)))
+    y, x = F.col("lat") + F.col("_dy") * step, F.col("lng") + F.col("_dx") * step
+    cells = around.where(geo.haversine_m("lat", "lng", y, x) <= F.col("radius_m")).select(
+        "user_id", "ts", "visit_id", "ord", geo.grid_index(y).alias("_y"),
+        geo.grid_index(x).alias("_x"))
+    # cells are grouped by their integer index; the text key is made once per cell
+    first = cells.groupBy("user_id", "_y", "_x").agg(
         F.min_by(F.struct(F.col("ts").alias("explored_at"), "visit_id", "ord"), "ord")
         .alias("first"))
-    return first.select("user_id", "cell_key", geo.grid_key_position("cell_key").alias("at"),
-                        "first.*").select("user_id", "cell_key", "at.lat", "at.lng",
-                                          "explored_at", "visit_id", "ord")
+    keyed = first.select("user_id", F.format_string("%.4f_%.4f", F.col("_y") * step,
+                                                    F.col("_x") * step).alias("cell_key"),
+                         "first.*")
+    return keyed.withColumn("at", geo.grid_key_position("cell_key")).select(
+        "user_id", "cell_key", "at.lat", "at.lng", "explored_at", "visit_id", "ord")
 
 
 def new_cells(points: DataFrame, known: DataFrame) -> DataFrame:
@@ -70,8 +80,7 @@ def cells_in_area(regions: DataFrame, cells: DataFrame) -> DataFrame:
 def cells_per_region(regions: DataFrame) -> DataFrame:
     """How many cells a region's circle has; rows of cells are spread over tasks."""
     step, radius = F.lit(fv.CELL_DEGREES), F.col("radius_km") * 1000
-    reach = F.greatest(F.lit(1), F.floor(radius / F.lit(111.0 * fv.CELL_DEGREES * 1000)) + 1) \
-        .cast("int")
+    reach = geo.grid_reach(radius)
     rows = regions.select("region_id", "lat", "lng", radius.alias("radius"), reach.alias("reach"),
                           F.explode(F.sequence(-reach, reach)).alias("dy"))
     inside = F.filter(F.sequence(-F.col("reach"), F.col("reach")), lambda dx: geo.haversine_m(
@@ -273,8 +282,8 @@ def next_level_xp(xp) -> Column:
 
 def award_history(ledger: DataFrame) -> DataFrame:
     """Per visit award: points, running total, level and whether it was reached just then."""
-    awards = ledger.groupBy("user_id", "ts", "ord", "visit_id").agg(
-        F.sum("xp").alias("xp_earned"))
+    awards = cut(ledger.groupBy("user_id", "ts", "ord", "visit_id").agg(
+        F.sum("xp").alias("xp_earned")))
     running = running_totals(awards, ["user_id"], ["ts", "ord"],
                              {"total_xp": F.col("xp_earned")})
     before = level_of(F.col("total_xp") - F.col("xp_earned"))["level"]
@@ -313,9 +322,9 @@ def profiles(totals: DataFrame, cells: DataFrame) -> DataFrame:
 
 def leaderboard(profile_rows: DataFrame) -> DataFrame:
     """All users ranked by points."""
-    return descending_rank(profile_rows.select(
+    return descending_rank(cut(profile_rows.select(
         "user_id", "total_xp", "level", F.col("fog_explored_km2").alias("explored_km2"),
-        F.col("achievements_unlocked").alias("achievements_count")), "total_xp")
+        F.col("achievements_unlocked").alias("achievements_count"))), "total_xp")
 
 
 def derive_all(visits: DataFrame, notes: DataFrame, as_of: str) -> dict[str, DataFrame]:
@@ -324,7 +333,7 @@ def derive_all(visits: DataFrame, notes: DataFrame, as_of: str) -> dict[str, Dat
     points = visits.where(VISITED).select(
         "user_id", "lat", "lng", F.col("visited_at").alias("ts"), F.lit(50.0).alias("radius_m"),
         F.col("id").alias("visit_id"), "ord")
-    cells = revealed_cells(points)
+    cells = cut(revealed_cells(points))
     ledger = xp_ledger(visits, notes)
     evaluated = evaluate_achievements(user_metrics(
         visits, notes, cells, streaks(visits, as_of), path_km(visits)))

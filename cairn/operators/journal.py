@@ -167,8 +167,13 @@ def group_visits(trips: DataFrame, visits: DataFrame) -> DataFrame:
 
 
 def trip_arrays(visits: DataFrame) -> DataFrame:
-    """``visit_ids`` per trip, derived from the visits so that it cannot go stale."""
-    return visits.where("trip_id IS NOT NULL").groupBy("trip_id").agg(
+    """``visit_ids`` per trip, derived from the visits so that it cannot go stale.
+
+    One row per trip and hour (``part``), so a trip of any size stays in rows of bounded size;
+    ``trip_visits`` reads all parts.
+    """
+    hour = F.date_trunc("hour", "visited_at").alias("part")
+    return visits.where("trip_id IS NOT NULL").groupBy("trip_id", hour).agg(
         F.array_sort(F.collect_list("id")).alias("visit_ids"))
 
 

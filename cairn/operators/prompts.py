@@ -96,7 +96,7 @@ def route_story_prompts(stops: DataFrame, language: str) -> DataFrame:
 
 
 def _trim(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.trim(value, F.lit(fv.WHITE_SPACE))
 
 
 def strip_fence(answer) -> Column:

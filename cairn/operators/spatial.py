@@ -65,20 +65,24 @@ def circle_join(queries: DataFrame, points: DataFrame, radius_m: float | Column,
     return joined.where(near).drop("_cell", "_radius")
 
 
-def first_within(queries: DataFrame, points: DataFrame, radius_m: float, key: str) -> DataFrame:
+def first_within(queries: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
     """For each query row the point of lowest ``ord`` within the radius (left join: null if none).
 
-    First match, not nearest. An aggregate instead of a window, so that a crowded neighbourhood is
-    reduced before the shuffle.
+    First match, not nearest. Copies of a position are folded on both sides before the join: of
+    equal positions only the lowest ``ord`` can be the answer. The choice is an aggregate, not a
+    window, so that a crowded neighbourhood shrinks before the shuffle.
     """
-    hits = circle_join(queries.select(key, "q_lat", "q_lng"), points, radius_m,
-                       cell_degrees=cell_degrees_for(radius_m))
-    fields = [c for c in points.columns if c not in ("lat", "lng")] + ["distance_m"]
-    best = hits.groupBy(key).agg(F.min_by(F.struct(*fields), F.col("ord")).alias("hit"))
-    return queries.join(best, key, "left")
+    fields = [c for c in points.columns if c not in ("lat", "lng")]
+    sites = points.groupBy("lat", "lng").agg(F.min_by(F.struct(*fields), F.col("ord"))
+                                             .alias("site"))
+    spots = queries.select("q_lat", "q_lng").distinct()
+    hits = circle_join(spots, sites, radius_m, cell_degrees=cell_degrees_for(radius_m))
+    best = hits.groupBy("q_lat", "q_lng").agg(F.min_by(
+        F.struct("site.*", "distance_m"), F.col("site.ord")).alias("hit"))
+    return queries.join(best, ["q_lat", "q_lng"], "left").select(*queries.columns, "hit")
 
 
-def nearest_point(queries: DataFrame, points: DataFrame, key: str,
+def nearest_point(queries: DataFrame, points: DataFrame,
                   levels: tuple[float, ...] = (0.001, 0.02, 0.5, 5.0)) -> DataFrame:
     """Nearest point for each query row, ties to the lowest ``ord``. Adds ``distance_m``.
 

@@ -11,6 +11,7 @@ from cairn.operators.ordered import trailing_count
 from cairn.plans import testdata as td
 from cairn.plans.catalog import Catalog
 from cairn.plans.catalog import base as q
+from cairn.session import cut
 
 catalog = Catalog()
 
@@ -68,8 +69,8 @@ SELECT status, count(*) AS places, count(*) FILTER (WHERE author_match) AS edita
     ON e.l_partkey = s.place_id) GROUP BY status""")
 def editable_places(spark, sf_dir):
     """FL-8, FL-20 edits: line items as edit attempts, only the author of a pending place may."""
-    status = community.moderation_status(_history(spark, sf_dir),
-                                         td.community_places(spark, sf_dir))
+    status = cut(community.moderation_status(_history(spark, sf_dir),
+                                             td.community_places(spark, sf_dir)))
     attempts = td.read(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("place_id"), F.col("l_suppkey").alias("author_id"))
     allowed = community.editable(attempts, status).select("place_id").distinct().withColumn(

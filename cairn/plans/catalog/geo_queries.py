@@ -191,7 +191,7 @@ FROM spots s LEFT JOIN hits USING (spot_id)""")
 def nearby_visit(spark, sf_dir):
     """JN-3, FL-5: first visit in insertion order within 200 m of each spot."""
     seen = td.visits(spark, sf_dir).select("place_id", "place_name", "status", "ord", "lat", "lng")
-    found = spatial.first_within(_spots(spark, sf_dir), seen, 200.0, "spot_id")
+    found = spatial.first_within(_spots(spark, sf_dir), seen, 200.0)
     return found.select(
         "spot_id", F.col("hit.place_id").alias("nearby_place_id"),
         F.col("hit.place_name").alias("nearby_place_name"),
@@ -208,7 +208,7 @@ SELECT spot_id, id AS place_id, {q.rnd('m', 1)} AS distance_m FROM (
 def nearest_place(spark, sf_dir):
     """JN-4: nearest cached place to each spot, over several search levels."""
     cached = td.places_atlas(spark, sf_dir).select("id", "ord", "lat", "lng")
-    found = spatial.nearest_point(_spots(spark, sf_dir), cached, "spot_id")
+    found = spatial.nearest_point(_spots(spark, sf_dir), cached)
     return found.select("spot_id", F.col("id").alias("place_id"),
                         round_to("distance_m", 1).alias("distance_m"))
 

@@ -193,9 +193,12 @@ def grouped_visits(spark, sf_dir):
 
 
 @catalog.add(q.with_ctes(q.VISITS) + """
-SELECT trip_id, string_agg(id, ',' ORDER BY id) AS visit_ids, count(*) AS visits,
-  count(*) FILTER (WHERE status = 'visited') AS visited
-FROM visits GROUP BY trip_id""")
+SELECT v.trip_id, strftime(date_trunc('hour', visited_at), '%Y-%m-%d %H:%M:%S') AS part,
+  string_agg(id, ',' ORDER BY id) AS visit_ids, any_value(t.visits) AS visits,
+  any_value(t.visited) AS visited
+FROM visits v JOIN (SELECT trip_id, count(*) AS visits,
+  count(*) FILTER (WHERE status = 'visited') AS visited FROM visits GROUP BY trip_id) t
+  ON v.trip_id = t.trip_id GROUP BY ALL""")
 def trip_visit_arrays(spark, sf_dir):
     """JN-8, A-5: id arrays per trip, joined back to their visits."""
     seen = td.visits(spark, sf_dir)
@@ -204,7 +207,8 @@ def trip_visit_arrays(spark, sf_dir):
         F.count(F.lit(1)).alias("visits"),
         F.count_if(F.col("status") == "visited").alias("visited"))
     return arrays.join(joined, "trip_id").select(
-        "trip_id", F.array_join("visit_ids", ",").alias("visit_ids"), "visits", "visited")
+        "trip_id", iso_second("part").alias("part"),
+        F.array_join("visit_ids", ",").alias("visit_ids"), "visits", "visited")
 
 
 @catalog.add(q.with_ctes(q.VISITS) + """

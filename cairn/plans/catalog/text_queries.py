@@ -59,9 +59,7 @@ def sanitized_texts(spark, sf_dir):
         (F.col("doc_id") % 4 + 1).cast("int"))
     marked = td.read(spark, sf_dir, "documents").select("doc_id", F.concat(
         F.lit(" \x01"), "text", tail, F.lit("\n")).alias("text"))
-    pattern = "(?i)" + "|".join(f"(?:{p})" for p in fv.INJECTION_PATTERNS)
-    return marked.select("doc_id", F.rlike(F.regexp_replace("text", fv.CONTROL_CHARS, ""),
-                                           F.lit(pattern)).alias("suspicious"),
+    return marked.select("doc_id", text.is_suspicious("text").alias("suspicious"),
                          text.sanitize_input("text").alias("text"))
 
 

@@ -44,8 +44,11 @@ def gather_sources(spark: SparkSession, loaders: Mapping[str, Callable[..., Data
 
 
 def build_catalogue(places: DataFrame, threshold_m: float | None = None) -> DataFrame:
-    """Raw places of all sources to merged, classified and scored places."""
-    return with_confidence(classify_places(fuse_places(places, threshold_m)))
+    """Raw places of all sources to merged, classified and scored places.
+
+    The catalogue is what every search reads, several times per plan, so it is written once.
+    """
+    return cut(with_confidence(classify_places(fuse_places(places, threshold_m))))
 
 
 def category_filter(place_categories, requested) -> Column:
@@ -123,5 +126,5 @@ def discover(requests: DataFrame, places: DataFrame, *, excluded: DataFrame | No
              sort_by: str = "confidence", limit: int = 50, cursor: str | None = None,
              threshold_m: float | None = None, strict_radius: bool = False) -> DataFrame:
     """The whole search: one page of merged, classified places per request."""
-    catalogue = cut(build_catalogue(places, threshold_m))
+    catalogue = build_catalogue(places, threshold_m)
     return page(matches(requests, catalogue, excluded, strict_radius), sort_by, limit, cursor)

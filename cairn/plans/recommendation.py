@@ -9,6 +9,7 @@ from cairn import fixed_values as fv
 from cairn.functions.columns import clamp, round_to, strings
 from cairn.operators.filters import is_unusual
 from cairn.plans import discovery
+from cairn.session import cut
 
 MAX_CANDIDATES = 200
 
@@ -68,7 +69,7 @@ def recommend(requests: DataFrame, catalogue: DataFrame, excluded: DataFrame | N
                            min(3 * limit, MAX_CANDIDATES))
     taste = planned.select("request_id", "favorites", "time_of_day", F.when(
         F.col("intended") == "cold_start", "cold_start").otherwise("diverse").alias("strategy"))
-    scored = score_candidates(found.join(taste, "request_id"))
+    scored = score_candidates(cut(found.join(taste, "request_id")))
     order = Window.partitionBy("request_id").orderBy(F.col("relevance_score").desc(),
                                                      F.col("position").asc())
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

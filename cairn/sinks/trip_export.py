@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text
 from cairn.functions.columns import iso_minute, not_empty
 from cairn.operators.journal import best_rated, rating_average
+from cairn.session import cut
 
 LINES_PER_DOCUMENT = 20_000
 HEAD, BEST, PLACES, END = 0, 1, 2, 3
@@ -58,7 +59,7 @@ def _lines(trips: DataFrame, visits: DataFrame, notes: DataFrame, summary: DataF
         "total_distance_km": F.coalesce("total_distance_km", F.lit(0.0)),
         "total_hours": F.coalesce("total_hours", F.lit(0.0))})
     noted = _visit_notes(own, notes)
-    best = best_rated(noted.where("note_ord IS NOT NULL"))
+    best = cut(best_rated(noted.where("note_ord IS NOT NULL")))
     firsts = own.select(
         "trip_id", "visited_at", "ord", F.coalesce("place_name", "place_id").alias("label"))
     stars = own.select("trip_id").distinct()
@@ -80,7 +81,7 @@ def _lines(trips: DataFrame, visits: DataFrame, notes: DataFrame, summary: DataF
     lines = parts[0]
     for part in parts[1:]:
         lines = lines.unionByName(part)
-    return lines
+    return cut(lines)
 
 
 def documents(lines: DataFrame, per_document: int = LINES_PER_DOCUMENT) -> DataFrame:

@@ -97,7 +97,7 @@ def test_nearest_point_matches_brute_force(spark):
     spots += [(20 + i, 42.0 + rng.uniform(0, .003), 19.0) for i in range(20)]
     points = spark.createDataFrame(sites, "ord bigint, id string, lat double, lng double")
     queries = spark.createDataFrame(spots, "q bigint, q_lat double, q_lng double")
-    got = {r["q"]: r["id"] for r in spatial.nearest_point(queries, points, "q").collect()}
+    got = {r["q"]: r["id"] for r in spatial.nearest_point(queries, points).collect()}
     want = {q: min(sites, key=lambda s: (haversine(x, y, s[2], s[3]), s[0]))[1]
             for q, x, y in spots}
     assert got == want
