@@ -96,7 +96,8 @@ def documents(lines: DataFrame, per_document: int = LINES_PER_DOCUMENT) -> DataF
         F.array_sort(F.collect_list(key)), lambda r: r["line"]), "\n").alias("content"))
 
 
-def markdown(trips: DataFrame, visits: DataFrame, notes: DataFrame, summary: DataFrame) -> DataFrame:
+def markdown(trips: DataFrame, visits: DataFrame, notes: DataFrame, summary: DataFrame,
+             per_document: int = LINES_PER_DOCUMENT) -> DataFrame:
     """Markdown report per trip."""
     head = F.array(
         F.concat(F.lit("# 🌍 "), "name"), F.lit(""),
@@ -118,11 +119,11 @@ def markdown(trips: DataFrame, visits: DataFrame, notes: DataFrame, summary: Dat
         trips, visits, notes, summary, head, F.array(F.lit("## ⭐ Best Places")),
         lambda label: F.array(F.concat(F.lit("- "), label)), F.array(F.lit("## 📍 Places")),
         lambda label: F.array(F.concat(F.lit("- **"), label, F.lit("** — "),
-                                       iso_minute("visited_at"))), note, None))
+                                       iso_minute("visited_at"))), note, None), per_document)
 
 
 def html(trips: DataFrame, visits: DataFrame, notes: DataFrame, summary: DataFrame,
-         product: str = "cairn") -> DataFrame:
+         product: str = "cairn", per_document: int = LINES_PER_DOCUMENT) -> DataFrame:
     """HTML report per trip, user texts escaped."""
     title = text.html_escape("name")
 
@@ -154,7 +155,7 @@ def html(trips: DataFrame, visits: DataFrame, notes: DataFrame, summary: DataFra
         lambda label: F.array(
             F.concat(F.lit("<h3>"), text.html_escape(label), F.lit("</h3>")),
             F.concat(F.lit('<p class="date">'), iso_minute("visited_at"), F.lit("</p>"))),
-        note, F.array(F.lit("</body>\n</html>"))))
+        note, F.array(F.lit("</body>\n</html>"))), per_document)
 
 
 def json(trips: DataFrame, summary: DataFrame) -> DataFrame:
