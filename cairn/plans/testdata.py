@@ -24,6 +24,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return frame
 
 
+def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The same table as a stream of files."""
+    raw = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    frame = spark.readStream.schema(raw).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    for column, kind in frame.dtypes:
+        if kind == "timestamp_ntz":
+            frame = frame.withColumn(column, F.col(column).cast("timestamp"))
+    return frame
+
+
 def lat_of(key: Column, step: int = 0) -> Column:
     return (F.lit(420000 + step) + (key * 7919) % 6000).cast("double") / F.lit(10000.0)
 
@@ -155,8 +165,8 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("created_at"), key.alias("ord"))
 
 
-def gps_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").withColumn("k", _event_place()).select(
+def gps_points(spark: SparkSession, sf_dir: str, source=read) -> DataFrame:
+    return source(spark, sf_dir, "events").withColumn("k", _event_place()).select(
         "user_id", lat_of(F.col("k")).alias("lat"), lng_of(F.col("k")).alias("lng"), "ts",
         F.lit(50.0).alias("radius_m"), F.col("event_id").alias("visit_id"),
         F.col("event_id").alias("ord"))
@@ -172,8 +182,8 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "start_date", "end_date")
 
 
-def moderation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").where("event_type IN ('click', 'error')").select(
+def moderation_events(spark: SparkSession, sf_dir: str, source=read) -> DataFrame:
+    return source(spark, sf_dir, "events").where("event_type IN ('click', 'error')").select(
         _event_place().alias("place_id"), "user_id",
         (F.col("event_type") == "click").alias("confirm"), "ts", F.col("event_id").alias("ord"))
 
@@ -239,7 +249,7 @@ def follow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_totalprice") > 100000).alias("consent"), F.col("o_orderkey").alias("ord"))
 
 
-def api_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select(
+def api_calls(spark: SparkSession, sf_dir: str, source=read) -> DataFrame:
+    return source(spark, sf_dir, "events").select(
         F.col("user_id").alias("client"), F.col("event_type").alias("grp"), "ts",
         F.col("event_id").alias("ord"))

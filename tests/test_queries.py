@@ -31,7 +31,8 @@ def test_query(spark, con, name):
 def test_every_sql_has_its_query():
     assert set(contract.oracle_sql()) <= set(NAMES)
     assert set(NAMES) - set(contract.oracle_sql()) == {
-        "optimized_routes", "planned_routes", "explore_routes", "admitted_calls"}
+        "optimized_routes", "planned_routes", "explore_routes", "admitted_calls",
+        "stream_admission"}
 
 
 def test_entry(spark):
