@@ -144,37 +144,42 @@ def tile_y(lat, zoom) -> Column:
 # are at most as wide as high on the ground, so cells stay about square and wrap at 180 degrees.
 
 
-def _row_cells(row: Column, size: float) -> Column:
+def row_cells(row, size: float) -> Column:
+    """How many cells a row has."""
+    row = as_col(row)
     edge = F.least(F.lit(90.0), F.greatest(F.abs(row), F.abs(row + 1)) * F.lit(size))
     return F.greatest(F.lit(1), F.ceil(F.cos(F.radians(edge)) * F.lit(360.0 / size)))
 
 
-def _row_cell(row: Column, lng: Column, size: float) -> Column:
-    return F.floor((lng + 180) / 360 * _row_cells(row, size))
+def cell_row(lat, size: float) -> Column:
+    return F.floor(as_col(lat) / F.lit(size))
+
+
+def cell_column(lng, cells) -> Column:
+    """Column in a row of ``cells`` cells, not yet wrapped at 180 degrees."""
+    return F.floor((as_col(lng) + 180) / 360 * as_col(cells))
+
+
+def cell_id(row, column, cells) -> Column:
+    return as_col(row) * F.lit(CELL_ROW_STRIDE) + F.pmod(as_col(column), as_col(cells))
 
 
 def join_cell(lat, lng, size: float) -> Column:
     """Cell id of a point, a bigint usable as an equi-join key."""
-    row = F.floor(as_col(lat) / F.lit(size))
-    return cell_id(row, _row_cell(row, as_col(lng), size), size)
+    row = cell_row(lat, size)
+    cells = row_cells(row, size)
+    return cell_id(row, cell_column(lng, cells), cells)
 
 
 def cell_rows(south, north, size: float) -> Column:
-    """``array<bigint>`` of the cell rows that a box touches."""
-    return F.sequence(F.floor(as_col(south) / F.lit(size)), F.floor(as_col(north) / F.lit(size)))
+    """``array<bigint>`` of the rows that a box touches."""
+    return F.sequence(cell_row(south, size), cell_row(north, size))
 
 
-def cell_columns(row, west, east, size: float) -> Column:
-    """``array<bigint>`` of the columns that a box touches in one row, not yet wrapped."""
-    row = as_col(row)
-    first = _row_cell(row, as_col(west), size)
-    last = F.least(_row_cell(row, as_col(east), size), first + _row_cells(row, size) - 1)
-    return F.sequence(first, last)
-
-
-def cell_id(row, column, size: float) -> Column:
-    row = as_col(row)
-    return row * F.lit(CELL_ROW_STRIDE) + F.pmod(as_col(column), _row_cells(row, size))
+def cell_columns(west, east, cells) -> Column:
+    """``array<bigint>`` of the columns that a box touches in a row of ``cells`` cells."""
+    first = cell_column(west, cells)
+    return F.sequence(first, F.least(cell_column(east, cells), first + as_col(cells) - 1))
 
 
 def reach_box(lat, lng, radius_m) -> Column:

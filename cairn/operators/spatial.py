@@ -28,9 +28,11 @@ def expand_to_cells(rows: DataFrame, size: float, box: str | None = None,
     """
     side = (lambda name: F.col(f"{box}.{name}")) if box else F.col
     by_row = rows.withColumn("_row", F.explode(geo.cell_rows(side("south"), side("north"), size)))
-    by_cell = by_row.withColumn("_column", F.explode(geo.cell_columns(
-        "_row", side("west"), side("east"), size)))
-    return by_cell.withColumn(cell, geo.cell_id("_row", "_column", size)).drop("_row", "_column")
+    sized = by_row.withColumn("_cells", geo.row_cells("_row", size))
+    by_cell = sized.withColumn("_column", F.explode(geo.cell_columns(
+        side("west"), side("east"), "_cells")))
+    return by_cell.withColumn(cell, geo.cell_id("_row", "_column", "_cells")).drop(
+        "_row", "_cells", "_column")
 
 
 def expand_reach(rows: DataFrame, lat: str, lng: str, radius_m: Column, size: float) -> DataFrame:
