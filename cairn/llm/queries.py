@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import quality, shards, simhash
+from cairn.llm import licenses, packing, quality, shards, simhash, warc
 from cairn.plans.catalog import Catalog
 from cairn.session import configure
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@catalog.add()
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @catalog.add()
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -28,6 +33,35 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+@catalog.add("""
+WITH hashed AS (
+    SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+digits AS (
+    SELECT page_id, hex, strlen(body) AS payload_bytes, list_transform(range(0, 8),
+        lambda i: ('0x' || substring(hex, 1 + 5 * CAST(i AS INT), 5))::BIGINT) AS fives
+    FROM hashed),
+named AS (
+    SELECT page_id, hex, payload_bytes, array_to_string(list_transform(fives, lambda v:
+        substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v >> 15) & 31 AS INT), 1)
+        || substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v >> 10) & 31 AS INT), 1)
+        || substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v >> 5) & 31 AS INT), 1)
+        || substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(v & 31 AS INT), 1)), '')
+        AS payload_digest, max(page_id) OVER (PARTITION BY hex) AS newest
+    FROM digits)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < newest THEN newest END AS refers_to
+FROM named""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @catalog.add()
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(table(spark, sf_dir, "documents"))
+
+
+@catalog.add()
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
