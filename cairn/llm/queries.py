@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import licenses, packing, quality, shards, simhash, warc
+from cairn.llm import embeddings, licenses, packing, quality, shards, simhash, substrings, warc
 from cairn.plans.catalog import Catalog
 from cairn.session import configure
 
@@ -65,3 +65,32 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add()
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@catalog.add(r"""
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents),
+windows AS (
+    SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS piece
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM split)),
+firsts AS (SELECT piece, min(doc_id) AS least FROM windows GROUP BY piece),
+gone AS (
+    SELECT DISTINCT doc_id, i + k AS place
+    FROM windows JOIN firsts USING (piece), (SELECT unnest(range(0, 13)) AS k)
+    WHERE least < doc_id),
+kept AS (
+    SELECT w.doc_id, count(*) AS n_kept, string_agg(w.word, ' ' ORDER BY w.place) AS line
+    FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place
+          FROM split) w
+    ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.place = gone.place GROUP BY w.doc_id)
+SELECT split.doc_id, len(words)::BIGINT AS n_words,
+    (len(words) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM split LEFT JOIN kept ON split.doc_id = kept.doc_id""")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@catalog.add()
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
