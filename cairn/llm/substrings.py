@@ -41,7 +41,8 @@ def _first_of_groups(doc: np.ndarray, keys: tuple[np.ndarray, ...]):
 
 
 def anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
-    """``(k, doc, pos, known)`` of hashed anchors at cover positions.
+    """``(k, pos, doc, row)`` of hashed anchors at cover positions; ``pos`` is twice the position,
+    plus one if the anchor is known to be shared.
 
     What a batch can settle stays out of the shuffle: where several documents of a batch share an
     anchor, all are known, and only those of the smallest document travel under the anchor's hash;
@@ -53,8 +54,8 @@ def anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            hashes, docs_of, places = [], [], []
-            for doc, text in zip(batch["doc"], batch["text"]):
+            hashes, docs_of, rows_of, places = [], [], [], []
+            for doc, row, text in zip(batch["doc"], batch["row"], batch["text"]):
                 words = words_of(text)
                 if len(words) < window:
                     continue
@@ -66,25 +67,28 @@ def anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
                                                        (starts[at + width] - 1).tolist())),
                     np.uint64, len(at)).view(np.int64))
                 docs_of.append(np.full(len(at), doc, np.int64))
+                rows_of.append(np.full(len(at), row, np.int64))
                 places.append(at)
             if not hashes:
                 continue
-            h, d, p = map(np.concatenate, (hashes, docs_of, places))
+            h, d, r, p = map(np.concatenate, (hashes, docs_of, rows_of, places))
             order, least, several = _first_of_groups(d, (h,))
-            h, d, p = h[order], d[order], p[order]
-            yield pd.DataFrame({"k": np.where(d == least, h, _mixed(d, p)), "doc": d,
-                                "pos": p.astype(np.int32), "known": several})
-    return docs.mapInPandas(run, "k long, doc long, pos int, known boolean")
+            k, pos = np.empty_like(h), np.empty(len(h), np.int32)
+            k[order] = np.where(d[order] == least, h[order], _mixed(d[order], p[order]))
+            pos[order] = 2 * p[order] + several
+            # what varies first, in text order: shuffle blocks then compress best
+            yield pd.DataFrame({"k": k, "pos": pos, "doc": d, "row": r})
+    return docs.mapInPandas(run, "k long, pos int, doc long, row long")
 
 
-WINDOWS = "h1 long, h2 long, doc long, row long, starts array<int>, known boolean"
+WINDOWS = "h1 long, h2 long, start int, doc long, row long, known array<int>"
 
 
 def candidate_windows(touched: DataFrame, window: int, period: int) -> DataFrame:
     """Extend shared anchors: 128-bit hashes of every whole window around one.
 
     Again what a batch settles is not sent by hash: a window that a smaller document of the batch
-    has as well is known, and a document's known windows travel as one row.
+    has as well is known, and a document's known starts travel as one row.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_128_digest
@@ -109,18 +113,16 @@ def candidate_windows(touched: DataFrame, window: int, period: int) -> DataFrame
             h = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
             d, r, p = map(np.concatenate, (docs_of, rows_of, places))
             order, least, _ = _first_of_groups(d, (h[:, 0], h[:, 1]))
-            h, d, r, p = h[order], d[order], r[order], p[order].astype(np.int32)
-            open_ = d == least
-            yield pd.DataFrame({"h1": h[open_, 0], "h2": h[open_, 1], "doc": d[open_],
-                                "row": r[open_], "starts": list(p[open_, None]), "known": False})
-            d, r, p = d[~open_], r[~open_], p[~open_]
+            first, p = np.empty(len(d), bool), p.astype(np.int32)
+            first[order] = d[order] == least
+            yield pd.DataFrame({"h1": h[first, 0], "h2": h[first, 1], "start": p[first],
+                                "doc": d[first], "row": r[first], "known": None})
+            d, r, p = d[~first], r[~first], p[~first]
             if len(d):
-                order = np.lexsort((p, r, d))
-                d, r, p = d[order], r[order], p[order]
                 new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (r[1:] != r[:-1])))
                 yield pd.DataFrame({"h1": _mixed(d[new], r[new]), "h2": r[new], "doc": d[new],
-                                    "row": r[new], "starts": np.split(p, new[1:]),
-                                    "known": True})[names]
+                                    "row": r[new], "start": p[new],
+                                    "known": np.split(p, new[1:])})[names]
     return touched.mapInPandas(run, WINDOWS)
 
 
@@ -143,43 +145,51 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     A word goes if a window of ``window`` words that covers it also starts in a document with a
     smaller id. Anchors of ``window - period + 1`` words are hashed at positions whose residue is in
     a difference cover of the period, so two equal windows at any positions share an anchor at the
-    same shift. Windows around shared anchors are compared by 128-bit hashes. Texts are shuffled
-    once, to meet their anchors; those with a shared anchor are written and meet their windows.
+    same shift. Windows around shared anchors are compared by 128-bit hashes. A text equal to that
+    of a smaller id loses all its windows and takes no part in the second half, so exact copies cost
+    one narrow row. Texts are shuffled once; both joins with them read the same exchange.
 
     Null and empty texts have no words. Rows with equal ids do not remove each other's words;
     repeated rows get the same answer. A row with a null id neither removes nor loses words. An
     empty table gives no rows. Other columns are not read.
     """
-    @F.pandas_udf("n_words long, sha string")
-    def measure(texts: pd.Series) -> pd.DataFrame:
-        words = [words_of(t) for t in texts]
-        return pd.DataFrame({"n_words": np.array([len(w) for w in words], np.int64),
-                             "sha": [_kept(w, None, 0)[1] for w in words]})
-
-    rows = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
-    row = F.xxhash64("text").alias("row")
-    whole = cut(rows.select("doc", row, measure("text").alias("w")).select("doc", "row", "w.*"))
-    named = rows.filter("doc IS NOT NULL AND text IS NOT NULL")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(id).cast("long").alias("doc"), body.alias("text"))
+    named = rows.filter("doc IS NOT NULL").select("doc", F.xxhash64("text").alias("row"), "text")
+    narrow = cut(named.select("doc", "row", F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
+    firsts = cut(narrow.groupBy("sha").agg(F.min("doc").alias("least")))
+    copies = cut(narrow.join(firsts, "sha").filter("doc > least").select("doc", "row").distinct())
     same = W.Window.partitionBy("k")
-    shared = (anchors(named, window, period)
-              .withColumn("low", F.min("doc").over(same)).withColumn("high", F.max("doc").over(same))
-              .filter("known OR low < high")
-              .groupBy("doc").agg(F.collect_set("pos").alias("shared")))
-    touched = cut(named.select("doc", row, "text").join(cut(shared), "doc"))
+    shared = cut(anchors(named, window, period)
+                 .withColumn("low", F.min("doc").over(same)).withColumn("high", F.max("doc").over(same))
+                 .filter("pos % 2 = 1 OR low < high")
+                 .groupBy("doc", "row").agg(F.collect_set(F.shiftright("pos", 1)).alias("shared"))
+                 .join(copies, ["doc", "row"], "left_anti"))
     equal = W.Window.partitionBy("h1", "h2")
-    repeated = (candidate_windows(touched, window, period)
-                .withColumn("low", F.min("doc").over(equal)).filter("known OR low < doc")
-                .select("doc", "row", F.explode("starts").alias("start"))
-                .groupBy("doc", "row").agg(F.collect_set("start").alias("starts")))
-
-    @F.pandas_udf("n_removed long, kept string")
-    def kept(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        found = [_kept(words_of(t), s, window) for t, s in zip(texts, starts)]
-        return pd.DataFrame(found, columns=["n_removed", "kept"])
-
-    removed = (touched.select("doc", "row", "text").join(cut(repeated), ["doc", "row"])
-               .select("doc", "row", kept("text", "starts").alias("k"))
-               .select("doc", "row", "k.*").dropDuplicates(["doc", "row"]))
-    return whole.join(cut(removed), ["doc", "row"], "left").select(
-        F.col("doc").alias(id), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("kept", "sha").alias("kept_sha256"))
+    starts = F.coalesce("known", F.array("start"))
+    repeated = (candidate_windows(named.join(shared, ["doc", "row"]), window, period)
+                .withColumn("low", F.min("doc").over(equal))
+                .filter("known IS NOT NULL OR low < doc")
+                .select("doc", "row", F.explode(starts).alias("start"))
+                .groupBy("doc", "row").agg(F.collect_set("start").alias("starts"))
+                .withColumn("copy", F.lit(False)))
+    marks = repeated.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>"))
+                                 .withColumn("copy", F.lit(True)))
+
+    @F.pandas_udf("n_words long, n_removed long, kept_sha256 string")
+    def answer(texts: pd.Series, starts: pd.Series, copies: pd.Series) -> pd.DataFrame:
+        found = []
+        for text, at, copy in zip(texts, starts, copies):
+            words = words_of(text)
+            if copy and len(words) >= window:
+                at = np.arange(len(words) - window + 1)
+            found.append((len(words), *_kept(words, at, window)))
+        return pd.DataFrame(found, columns=["n_words", "n_removed", "kept_sha256"])
+
+    nameless = rows.filter("doc IS NULL").select(
+        "doc", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("copy"))
+    judged = named.join(marks, ["doc", "row"], "left").select(
+        "doc", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
+    return (judged.unionByName(nameless)
+            .select(F.col("doc").alias(id), answer("text", "starts", "copy").alias("a"))
+            .select(id, "a.*"))
