@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.tokens import window_ids, word_ids, words_of
@@ -75,7 +75,7 @@ RATIOS = {
 FEATURES = ["n_words", *RATIOS]
 
 
-def features(stats: F.Column) -> dict[str, F.Column]:
+def features(stats: Column) -> dict[str, Column]:
     """Spark columns of FEATURES; a ratio of a wordless text is zero."""
     ratio = {name: F.coalesce(F.try_divide(stats[a].cast("double"), stats[b].cast("double")),
                               F.lit(0.0)) for name, (a, b) in RATIOS.items()}
@@ -92,7 +92,7 @@ class Condition:
         x = table[self.feature]
         return x > self.threshold if self.above else x <= self.threshold
 
-    def column(self, columns: dict[str, F.Column]) -> F.Column:
+    def column(self, columns: dict[str, Column]) -> Column:
         x, t = columns[self.feature], F.lit(float(self.threshold))
         return x > t if self.above else x <= t
 
@@ -195,7 +195,7 @@ def learn_rules(table: dict[str, np.ndarray], bad: np.ndarray, precision: float
     return rules
 
 
-def verdict(rules: Iterable[Rule], stats: F.Column) -> F.Column:
+def verdict(rules: Iterable[Rule], stats: Column) -> Column:
     """The list as one ordered Spark conditional: 0 if no rule rejects, else the rule's number."""
     columns, result = features(stats), None
     for number, rule in enumerate(rules, 1):
@@ -206,39 +206,51 @@ def verdict(rules: Iterable[Rule], stats: F.Column) -> F.Column:
     return F.lit(0) if result is None else result.otherwise(0)
 
 
-def labelled_sample(measured: DataFrame, labels: DataFrame, id: str, most_rows: int):
-    """At most ``most_rows`` labelled rows in a fixed pseudo-random order, on the driver. The
-    labels are cut before the join, so a hot id cannot make the sample larger than the bound."""
-    picked = (labels.filter(F.col("quality").isNotNull() & F.col("label_id").isNotNull())
-              .select("label_id", "quality").distinct()
-              .orderBy(F.xxhash64("label_id"), "label_id", "quality").limit(most_rows))
-    rows = (measured.join(F.broadcast(picked), F.col(id) == F.col("label_id"))
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **learning) -> list[Rule]:
+    """Rules from at most ``most_rows`` labelled rows, picked by hash. ``docs`` has ``doc, text``,
+    ``labels`` has ``label_id, quality``. The labels are cut before the join and the joined rows
+    after it, so a hot id cannot make the sample larger than the bound."""
+    picked = cut(labels.filter("quality IS NOT NULL AND label_id IS NOT NULL").distinct()
+                 .orderBy(F.xxhash64("label_id"), "label_id", "quality").limit(most_rows))
+    rows = (statistics(docs.join(F.broadcast(picked), F.col("doc") == F.col("label_id")))
             .select("quality", *[c.alias(n) for n, c in features(F.col("stats")).items()])
             .orderBy(*FEATURES, "quality").limit(most_rows).toPandas())
-    return {n: rows[n].to_numpy(float) for n in FEATURES}, rows["quality"].to_numpy() == 0
+    bad = rows["quality"].to_numpy() == 0
+    return learn_rules({n: rows[n].to_numpy(float) for n in FEATURES}, bad, **learning)
+
+
+def base_failed(stats: Column) -> Column:
+    """Under 20 words, or over 30 % of the words in repeated 8-word windows."""
+    return (stats["n_words"] < 20) | (100 * stats["n_repeat_words"] > 30 * stats["n_words"])
 
 
 def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text",
-          label_id: str = "doc_id", quality: str = "quality", most_rows: int = 20_000,
-          **learning) -> tuple[DataFrame, list[Rule]]:
+          label_id: str = "doc_id", quality: str = "quality", **learning) -> tuple[DataFrame, list[Rule]]:
     """``(rows, rules)``: one row per row of ``docs`` with its statistics, ``base_failed``,
     ``rule`` (the number of the rule that rejects it, 0 if none) and ``kept``.
 
-    Statistics cover whole texts. ``most_rows`` bounds the labelled rows the rules are fitted on;
-    every document is judged. Rejected are texts under 20 words, those with over 30 % of their
-    words in repeated 8-word windows, and those that a rule covers. Null and empty texts have no
-    words and fail the base; repeated rows are judged alike; a null id is judged like any other
-    but never labelled; null labels are left out; without labels of both kinds no rule is learned
-    and the base alone decides; empty tables give no rows. Other columns are not read.
+    Statistics cover whole texts. ``most_rows`` (20,000) bounds the labelled rows the rules are
+    fitted on; every document is judged. Null and empty texts have no words and fail the base;
+    repeated rows are judged alike; a null id is judged like any other but never labelled; null
+    labels are left out; without labels of both kinds no rule is learned and the base alone decides;
+    empty tables give no rows. Other columns are not read.
     """
-    measured = cut(statistics(docs.select(F.col(id).alias("doc"), F.col(text).alias("text")))
-                   .select("doc", "stats"))
+    rows = docs.select(F.col(id).alias("doc"), F.col(text).alias("text"))
     names = labels.select(F.col(label_id).alias("label_id"), F.col(quality).alias("quality"))
-    table, bad = labelled_sample(measured, names, "doc", most_rows)
-    rules = learn_rules(table, bad, **learning) if len(bad) else []
+    rules = learn(rows, names, **learning)
     s = F.col("stats")
-    failed = (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
-    rows = measured.select(
-        F.col("doc").alias(id), *[s[n].alias(n) for n in BASE], failed.alias("base_failed"),
+    judged = statistics(rows).select(
+        F.col("doc").alias(id), *[s[n].alias(n) for n in BASE], base_failed(s).alias("base_failed"),
         verdict(rules, s).cast("int").alias("rule"))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text",
+             label_id: str = "doc_id", quality: str = "quality", **learning) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns; a map without a shuffle."""
+    rows = docs.select(F.col(id).alias("doc"), F.col(text).alias("text"))
+    names = labels.select(F.col(label_id).alias("label_id"), F.col(quality).alias("quality"))
+    rules = learn(rows, names, **learning)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    s = F.col("stats")
+    return (statistics(packed).filter(~base_failed(s) & (verdict(rules, s) == 0)).select("row.*"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cairn.llm import embeddings, licenses, packing, quality, shards, simhash, substrings, warc
+from cairn.llm import (embeddings, licenses, mixing, packing, quality, secrets, shards, simhash,
+                       substrings, warc)
 from cairn.plans.catalog import Catalog
 from cairn.session import configure
 
@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@catalog.add()
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.quality_domains(table(spark, sf_dir, "labels"))
+    rows, _ = mixing.mix(table(spark, sf_dir, "documents"), labelled,
+                         {"clean": 0.9, "poor": 0.04, "toxic": 0.06})
+    return rows
+
+
 @catalog.add()
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -94,3 +102,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add()
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@catalog.add()
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return findings

@@ -7,7 +7,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.components import connected_components
@@ -62,7 +62,7 @@ def block_masks(blocks: int, distance: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
-def _ball(fp: F.Column, radius: int) -> F.Column:
+def _ball(fp: Column, radius: int) -> Column:
     """All longs within ``radius`` bits of ``fp``."""
     flips = [sum(1 << i for i in c) for r in range(radius + 1)
              for c in itertools.combinations(range(BITS), r)]
@@ -122,3 +122,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     return base.join(answer, "fp").select(
         F.col("doc").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id")
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5,
+                distance: int = 2, blocks: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the smallest id, then the
+    smallest hash of the row. Rows equal in all columns are one; null ids come first."""
+    whole = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    name = F.struct(F.col(id).alias("id"), F.col("_row").alias("row"))
+    found = near_duplicates(whole.select(name.alias("name"), F.col(text).alias("text")), "name",
+                            "text", width, distance, blocks)
+    kept = cut(found.filter("name = component_id").select(F.col("name.row").alias("_row")).distinct())
+    return whole.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
