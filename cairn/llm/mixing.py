@@ -6,6 +6,7 @@ import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,78 +23,89 @@ class Classifier:
     vocabulary: tuple[str, ...]
     base: tuple[float, ...]
     weights: tuple[tuple[float, ...], ...]  # [domain][word]
-    temperature: float = 2.0
+    temperature: float = 1.0
 
 
 def tokens(text: Column) -> Column:
-    """Words of a text; null and empty texts have none."""
-    body = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, " "))
+    """Words of a text in lower case; null and empty texts have none."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def evidence(text: Column, words: Column) -> Column:
-    """Distinct words, and a pseudo-word per style: the logarithmic step of its share."""
-    count = F.greatest(F.size(words), F.lit(1))
-    body = F.coalesce(text, F.lit(""))
-    distinct = F.array_distinct(words)
+def with_evidence(docs: DataFrame, text: str) -> DataFrame:
+    """Add ``tokens`` (how many words) and ``_found``: the distinct words and a pseudo-word per
+    style, which holds the logarithmic step of its share."""
+    body, count = F.coalesce(F.col(text), F.lit("")), F.greatest(F.col("tokens"), F.lit(1))
     steps = [F.concat(F.lit(f"\u0001{name}"), F.floor(F.log2(
         1 + 64 * F.least(F.regexp_count(body, F.lit(pattern)) / count, F.lit(1.0)))).cast("string"))
         for name, pattern in STYLES.items()]
     spread = F.concat(F.lit("\u0001distinct"),
-                      F.floor(4 * F.size(distinct) / count).cast("string"))
-    return F.concat(distinct, F.array(*steps, spread))
+                      F.floor(4 * F.size("_distinct") / count).cast("string"))
+    return (docs.withColumn("_words", tokens(F.col(text)))
+            .withColumn("tokens", F.size("_words").cast("long"))
+            .withColumn("_distinct", F.array_distinct("_words"))
+            .withColumn("_found", F.concat("_distinct", F.array(*steps, spread)))
+            .drop("_words", "_distinct"))
 
 
 def train(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], most_rows: int = 4000,
-          vocabulary: int = 96, least: int = 3) -> Classifier:
+          vocabulary: int = 96, least: int = 3, common: float = 0.05) -> Classifier:
     """Fit on at most ``most_rows`` labelled ids (a documented bound), picked by hash.
 
     ``docs`` has ``id, text``; ``labelled`` has ``label_id, domain``. Words are counted per domain
-    by Spark; the driver gets ``vocabulary`` of them, those whose presence tells most.
+    by Spark; the driver gets ``vocabulary`` of them: for each domain those that speak most for it
+    among the words that at least ``common`` of its documents have.
     """
-    picked = (labelled.filter(F.col("label_id").isNotNull() & F.col("domain").isin(*domains))
-              .groupBy("label_id").agg(F.min("domain").alias("domain"))
-              .orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows))
-    sample = cut(docs.join(F.broadcast(cut(picked)), F.col("id") == F.col("label_id"))
-                 .select("domain", evidence(F.col("text"), tokens(F.col("text"))).alias("found")))
+    picked = cut(labelled.filter(F.col("label_id").isNotNull() & F.col("domain").isin(*domains))
+                 .groupBy("label_id").agg(F.min("domain").alias("domain"))
+                 .orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows))
+    sample = cut(with_evidence(docs.join(F.broadcast(picked), F.col("id") == F.col("label_id"))
+                               .select("domain", "text"), "text").select("domain", "_found"))
     sizes = {r["domain"]: r["n"] for r in
              sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = max(sum(sizes.values()), 1)
     held = [F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
-    counted = (sample.select("domain", F.explode("found").alias("word")).groupBy("word").agg(*held))
-    here = F.lit(0)
-    for i in range(len(domains)):
-        here = here + F.col(f"n{i}")
-    tells = F.lit(0.0)
-    for i, d in enumerate(domains):
-        share = (F.col(f"n{i}") + 0.5) / (sizes.get(d, 0) + 1)
-        rest = (here - F.col(f"n{i}") + 0.5) / (total - sizes.get(d, 0) + 1)
-        one = lambda p, q: p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q))
-        tells = tells + sizes.get(d, 0) / total * one(share, rest)
-    best = (counted.filter(here >= least).withColumn("tells", tells)
-            .orderBy(F.desc("tells"), "word").limit(vocabulary).collect())
+    counted = cut(sample.select("domain", F.explode("_found").alias("word")).groupBy("word")
+                  .agg(F.count("*").alias("n"), *held).filter(F.col("n") >= least))
+    chosen = {}
+    for i, d in enumerate(domains):  # the words that speak most for this domain against the rest
+        inside = (F.col(f"n{i}") + 0.5) / (sizes.get(d, 0) + 1)
+        outside = (F.col("n") - F.col(f"n{i}") + 0.5) / (total - sizes.get(d, 0) + 1)
+        tells = (inside * F.log(inside / outside)
+                 + (1 - inside) * F.log((1 - inside) / (1 - outside)))
+        best = (counted.filter((inside > outside) & (inside >= common)).orderBy(F.desc(tells), "word")
+                .limit(vocabulary // len(domains)).collect())
+        chosen |= {row["word"]: row for row in best}
+    words = sorted(chosen)
     base, weights = [], []
     for i, d in enumerate(domains):
         n = sizes.get(d, 0)
-        shares = [(row[f"n{i}"] + 0.5) / (n + 1) for row in best]
+        shares = [(chosen[w][f"n{i}"] + 0.5) / (n + 1) for w in words]
         base.append(math.log((n + 1) / (total + len(domains))) + sum(math.log(1 - p) for p in shares))
         weights.append(tuple(math.log(p / (1 - p)) for p in shares))
-    return Classifier(domains, tuple(row["word"] for row in best), tuple(base), tuple(weights))
+    return Classifier(domains, tuple(words), tuple(base), tuple(weights))
+
+
+def _looked_up(table: Column):
+    return lambda i: F.element_at(table, i)
 
 
-def posteriors(model: Classifier, found: Column) -> Column:
-    """Array of one posterior per domain; sums to one. ``found`` is the evidence."""
+def classify(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
+    """Add ``tokens`` and ``p_<domain>``, which sum to one; null texts have no tokens."""
     words = F.array(*[F.lit(w) for w in model.vocabulary]).cast("array<string>")
-    seen = F.array_intersect(found, words)
-    none = F.array_repeat(F.lit(0.0), len(model.domains))
-    table = F.array(*[F.array(*[F.lit(model.weights[d][i]) for d in range(len(model.domains))])
-                      for i in range(len(model.vocabulary))]).cast("array<array<double>>")
-    summed = F.aggregate(seen, none, lambda acc, word: F.zip_with(
-        acc, F.element_at(table, F.array_position(words, word).cast("int")), lambda a, b: a + b))
-    base = F.array(*[F.lit(b) for b in model.base])
-    logits = F.zip_with(summed, base, lambda a, b: (a + b) / model.temperature)
-    return F.transform(F.array(F.struct(logits.alias("x"), F.array_max(logits).alias("m"))),
-                       lambda s: F.transform(s["x"], lambda v: F.exp(v - s["m"])))[0]
+    scored = (with_evidence(docs, text)
+              .withColumn("_seen", F.array_intersect("_found", words))
+              .withColumn("_seen", F.transform("_seen", lambda w: F.array_position(words, w).cast("int"))))
+    names = model.domains
+    for d, base, weights in zip(names, model.base, model.weights):
+        table = F.array(*[F.lit(w) for w in weights]).cast("array<double>")
+        scored = scored.withColumn(f"_x_{d}", F.lit(base) + F.aggregate(
+            F.transform("_seen", _looked_up(table)), F.lit(0.0), lambda a, b: a + b))
+    top = F.greatest(*[F.col(f"_x_{d}") for d in names]) if len(names) > 1 else F.col(f"_x_{names[0]}")
+    raw = scored.withColumn("_top", top).select(*docs.columns, "tokens", *[
+        F.exp((F.col(f"_x_{d}") - F.col("_top")) / model.temperature).alias(f"_e_{d}") for d in names])
+    total = sum((F.col(f"_e_{d}") for d in names), F.lit(0.0))
+    return raw.select(*docs.columns, "tokens",
+                      *[(F.col(f"_e_{d}") / total).alias(f"p_{d}") for d in names])
 
 
 def _rate(posterior: list[Column], history: list[list[float]]) -> Column:
@@ -108,57 +120,69 @@ def _rate(posterior: list[Column], history: list[list[float]]) -> Column:
 
 
 def fit_rates(rows: DataFrame, domains: tuple[str, ...], weights: Mapping[str, float],
-              budget: float | str | None = None, tolerance: float = 1e-3, most_steps: int = 40):
+              budget: float | str | None = None, tolerance: float = 1e-3, most_steps: int = 30):
     """``(rate column, report)`` for rows with ``tokens`` and one posterior column per domain.
 
     Minimizes ``sum over domains of (expected tokens - target)^2 / present tokens`` over nonnegative
-    rates. Posteriors sum to one, so the largest eigenvalue of this problem is one and steps of
-    length one always descend. A step is one distributed sum of as many numbers as there are
-    domains; a document's rate is a function of its posteriors and the few errors so far, so no
-    state is written. ``budget`` is the sum of the targets: by default the present tokens; the name
-    of a domain keeps that domain's tokens as they are.
+    rates by projected gradient steps. The step is scaled by the small matrix of posterior products
+    over the documents with a positive rate, which is summed along with the totals; a step that does
+    not lower the objective is halved. Each step is one distributed sum of a few numbers, and a
+    document's rate is a function of its posteriors and the steps so far, so no state is written.
+    Stops when all targets are met or nothing moves any more. ``budget`` is the sum of the targets:
+    by default the present tokens; the name of a domain keeps that domain's tokens as they are.
     """
     p = [F.col(f"p_{d}") for d in domains]
+    k = len(domains)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     share = sum(weights.get(d, 0.0) for d in domains)
-    wanted = [weights.get(d, 0.0) / share for d in domains]
-
-    def totals(rate: Column) -> list[float]:
-        return [x or 0.0 for x in rows.agg(*[F.sum(q * F.col("tokens") * rate) for q in p]).first()]
-
-    present = totals(F.lit(1.0))
-    size = sum(present) if budget is None else (
+    wanted = np.array([weights.get(d, 0.0) / share for d in domains])
+
+    def totals(history):
+        rated = rows.withColumn("_r", _rate(p, history))
+        live = F.when(F.col("_r") > 0, F.col("tokens")).otherwise(0)
+        got = rated.agg(*[F.sum(q * F.col("tokens") * F.col("_r")) for q in p],
+                        *[F.sum(p[i] * p[j] * live) for i, j in pairs]).first()
+        got = np.array([x or 0.0 for x in got])
+        matrix = np.zeros((k, k))
+        for (i, j), x in zip(pairs, got[k:]):
+            matrix[i, j] = matrix[j, i] = x
+        return got[:k], matrix
+
+    history: list[list[float]] = []
+    present, matrix = totals(history)
+    some = present > 0
+    size = present.sum() if budget is None else (
         present[domains.index(budget)] / wanted[domains.index(budget)]
         if isinstance(budget, str) else float(budget))
-    target, expected, history = [w * size for w in wanted], present, []
-    off = lambda: max((abs(e - t) for e, t, s in zip(expected, target, present) if s > 0),
-                      default=0.0)
-    while off() > tolerance * size and len(history) < most_steps:
-        history.append([(e - t) / s if s > 0 else 0.0
-                        for e, t, s in zip(expected, target, present)])
-        expected = totals(_rate(p, history))
-    report = {"target": dict(zip(domains, target)), "expected": dict(zip(domains, expected)),
-              "present": dict(zip(domains, present)), "steps": len(history),
-              "converged": off() <= tolerance * max(size, 1e-9)}
+    target, expected = wanted * size, present
+    cost = lambda e: float((((e - target) ** 2)[some] / present[some]).sum())
+    scale, near = 1.0, max(tolerance * size, 1e-9)
+    while len(history) < most_steps and (np.abs(expected - target)[some] > near).any():
+        error = np.where(some, expected - target, 0.0)
+        step = scale * (np.linalg.pinv(matrix, rcond=1e-6, hermitian=True) @ error)
+        reached, new_matrix = totals([*history, step.tolist()])
+        if cost(reached) >= cost(expected):
+            scale /= 2
+            if scale < 1e-2:
+                break
+            continue
+        still = np.abs(reached - expected).max() <= near / 10
+        history.append(step.tolist())
+        expected, matrix, scale = reached, new_matrix, min(1.0, 2 * scale)
+        if still:
+            break
+    report = {"target": dict(zip(domains, target.tolist())),
+              "expected": dict(zip(domains, expected.tolist())),
+              "present": dict(zip(domains, present.tolist())), "steps": len(history),
+              "met": bool((np.abs(expected - target)[some] <= near).all())}
     return _rate(p, history), report
 
 
-def classify(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
-    """Add ``tokens`` (words) and ``p_<domain>``; null texts have no tokens."""
-    words = tokens(F.col(text))
-    raw = (docs.withColumn("_words", words)
-           .withColumn("tokens", F.size("_words").cast("long"))
-           .withColumn("_p", posteriors(model, evidence(F.col(text), F.col("_words")))).drop("_words"))
-    total = F.aggregate("_p", F.lit(0.0), lambda a, b: a + b)
-    return raw.withColumn("_t", total).select(
-        *docs.columns, "tokens",
-        *[(F.col("_p")[i] / F.col("_t")).alias(f"p_{d}") for i, d in enumerate(model.domains)])
-
-
 def quality_domains(labels: DataFrame) -> DataFrame:
     """Domains of a table of quality and toxicity labels; a row with a null label is left out."""
     return labels.filter("quality IS NOT NULL AND toxic IS NOT NULL").select(
         F.col("doc_id").alias("label_id"),
-        F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor")
+        F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic")
         .otherwise("clean").alias("domain"))
 
 
@@ -168,7 +192,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], id:
 
     ``labelled`` has ``label_id, domain``; ``weights`` names the domains. ``rate`` is the expected
     number of times a document is taken: expected domain totals ``sum(p * tokens * rate)`` meet the
-    targets, or come as near as nonnegative rates can (``report["converged"]`` says which). A domain
+    targets, or come as near as nonnegative rates can (``report["met"]`` says which). A domain
     without tokens cannot be filled and is left out of the fit. Null and empty texts have zero
     tokens and a rate like any other; without usable labels all posteriors are equal; repeated rows
     and null ids are rated alike; an empty table gives no rows. Other columns are not read.

@@ -63,8 +63,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 #: Interpretable ratios a rule may test: name -> (numerator, denominator) among the statistics.
+#: Lengths of words and texts are left out: they tell languages apart, not good from bad.
 RATIOS = {
-    "mean_word_length": ("word_chars", "n_words"),
     "symbols_per_word": ("n_symbols", "n_words"),
     "duplicate_lines_per_word": ("n_dup_lines", "n_words"),
     "repeated_share": ("n_repeat_words", "n_words"),
@@ -72,14 +72,13 @@ RATIOS = {
     "upper_share": ("n_upper", "n_words"),
     "marks_per_word": ("n_marks", "n_words"),
 }
-FEATURES = ["n_words", *RATIOS]
+FEATURES = list(RATIOS)
 
 
 def features(stats: Column) -> dict[str, Column]:
     """Spark columns of FEATURES; a ratio of a wordless text is zero."""
-    ratio = {name: F.coalesce(F.try_divide(stats[a].cast("double"), stats[b].cast("double")),
-                              F.lit(0.0)) for name, (a, b) in RATIOS.items()}
-    return {"n_words": stats["n_words"].cast("double")} | ratio
+    return {name: F.coalesce(F.try_divide(stats[a].cast("double"), stats[b].cast("double")),
+                             F.lit(0.0)) for name, (a, b) in RATIOS.items()}
 
 
 @dataclass(frozen=True)
@@ -169,29 +168,27 @@ def learn_rules(table: dict[str, np.ndarray], bad: np.ndarray, precision: float
     """Sequential covering: grow a conjunction on two thirds of the rows, prune it on the rest,
     keep it if its precision over all remaining rows reaches ``precision`` and it covers at least
     ``least`` bad rows, take away what it covers, and go on. A pruned rule that falls short is
-    tried as it was grown; learning stops when that falls short too. The rules are ordered; a row
-    that none covers is good. One class only gives no rules."""
-    order = np.random.default_rng(seed).permutation(len(bad))
-    table, bad = {k: v[order] for k, v in table.items()}, bad[order]
-    left, rules = np.ones(len(bad), bool), []
-    third = np.arange(len(bad)) % 3 == 2
-    while len(rules) < most_rules and (bad & left).sum() >= least:
+    tried as it was grown, then other splits are tried; learning stops when five fall short. The
+    rules are ordered; a row that none covers is good. One class only gives no rules."""
+    random = np.random.default_rng(seed)
+    left, rules, failed = np.ones(len(bad), bool), [], 0
+    while len(rules) < most_rules and (bad & left).sum() >= least and failed < 5:
+        third = random.random(len(bad)) < 1 / 3
         grow, prune = left & ~third, left & third
+        failed += 1
         if not (bad & grow).any() or not (~bad & grow).any():
-            break
+            continue
         rule = _grow({k: v[grow] for k, v in table.items()}, bad[grow], most_conditions)
         if not rule:
-            break
+            continue
         short = _prune(rule, {k: v[prune] for k, v in table.items()}, bad[prune])
         for candidate in (short, rule):
             hit = covered(candidate, table) & left
             p, n = int((bad & hit).sum()), int((~bad & hit).sum())
             if p >= least and p >= precision * (p + n):
+                rules.append(candidate)
+                left, failed = left & ~hit, 0
                 break
-        else:
-            break
-        rules.append(candidate)
-        left &= ~hit
     return rules
 
 
