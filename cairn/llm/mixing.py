@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 from dataclasses import dataclass
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +25,8 @@ class Classifier:
 
 
 def tokens(text: Column) -> Column:
-    """Words of a text in lower case; null and empty texts have none."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    """Words of a text in lower case, cut at spaces and at punctuation; null texts have none."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D.,;:]+"), "")
 
 
 def with_evidence(docs: DataFrame, text: str) -> DataFrame:
@@ -48,12 +46,15 @@ def with_evidence(docs: DataFrame, text: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], most_rows: int = 4000,
-          vocabulary: int = 96, least: int = 3, common: float = 0.05) -> Classifier:
+          vocabulary: int = 96, least: int = 3, common: float = 0.05,
+          lift: float = 2.0) -> Classifier:
     """Fit on at most ``most_rows`` labelled ids (a documented bound), picked by hash.
 
     ``docs`` has ``id, text``; ``labelled`` has ``label_id, domain``. Words are counted per domain
-    by Spark; the driver gets ``vocabulary`` of them: for each domain those that speak most for it
-    among the words that at least ``common`` of its documents have.
+    by Spark; the driver gets the style pseudo-words and at most ``vocabulary`` words: for each
+    domain but the largest those that speak most for it among the words that at least ``common`` of
+    its documents have, ``lift`` times as many as of the others. The largest domain brings no words,
+    since a text in a rarer language lacks those without belonging elsewhere.
     """
     picked = cut(labelled.filter(F.col("label_id").isNotNull() & F.col("domain").isin(*domains))
                  .groupBy("label_id").agg(F.min("domain").alias("domain"))
@@ -66,13 +67,17 @@ def train(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], most_r
     held = [F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
     counted = cut(sample.select("domain", F.explode("_found").alias("word")).groupBy("word")
                   .agg(F.count("*").alias("n"), *held).filter(F.col("n") >= least))
-    chosen = {}
+    usual = max(domains, key=lambda d: sizes.get(d, 0))
+    style = F.col("word").startswith("\u0001")
+    chosen = {row["word"]: row for row in counted.filter(style).orderBy("word").limit(64).collect()}
     for i, d in enumerate(domains):  # the words that speak most for this domain against the rest
+        if d == usual:
+            continue
         inside = (F.col(f"n{i}") + 0.5) / (sizes.get(d, 0) + 1)
         outside = (F.col("n") - F.col(f"n{i}") + 0.5) / (total - sizes.get(d, 0) + 1)
         tells = (inside * F.log(inside / outside)
                  + (1 - inside) * F.log((1 - inside) / (1 - outside)))
-        best = (counted.filter((inside > outside) & (inside >= common)).orderBy(F.desc(tells), "word")
+        best = (counted.filter(~style & (inside >= lift * outside) & (inside >= common)).orderBy(F.desc(tells), "word")
                 .limit(vocabulary // len(domains)).collect())
         chosen |= {row["word"]: row for row in best}
     words = sorted(chosen)
@@ -120,61 +125,37 @@ def _rate(posterior: list[Column], history: list[list[float]]) -> Column:
 
 
 def fit_rates(rows: DataFrame, domains: tuple[str, ...], weights: Mapping[str, float],
-              budget: float | str | None = None, tolerance: float = 1e-3, most_steps: int = 30):
+              budget: float | str | None = None, tolerance: float = 5e-3, most_steps: int = 12):
     """``(rate column, report)`` for rows with ``tokens`` and one posterior column per domain.
 
     Minimizes ``sum over domains of (expected tokens - target)^2 / present tokens`` over nonnegative
-    rates by projected gradient steps. The step is scaled by the small matrix of posterior products
-    over the documents with a positive rate, which is summed along with the totals; a step that does
-    not lower the objective is halved. Each step is one distributed sum of a few numbers, and a
-    document's rate is a function of its posteriors and the steps so far, so no state is written.
-    Stops when all targets are met or nothing moves any more. ``budget`` is the sum of the targets:
-    by default the present tokens; the name of a domain keeps that domain's tokens as they are.
+    rates. Posteriors sum to one, so the largest eigenvalue of this problem is one and projected
+    gradient steps of length one always descend. A step is one distributed sum of as many numbers as
+    there are domains; a document's rate is a function of its posteriors and the few errors so far,
+    so no state is written. Stops when every target is met within ``tolerance`` of the budget, or
+    after ``most_steps``; the report says which. ``budget`` is the sum of the targets: by default
+    the present tokens; the name of a domain keeps that domain's tokens as they are.
     """
     p = [F.col(f"p_{d}") for d in domains]
-    k = len(domains)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     share = sum(weights.get(d, 0.0) for d in domains)
-    wanted = np.array([weights.get(d, 0.0) / share for d in domains])
+    wanted = [weights.get(d, 0.0) / share for d in domains]
 
-    def totals(history):
+    def totals(history: list[list[float]]) -> list[float]:
         rated = rows.withColumn("_r", _rate(p, history))
-        live = F.when(F.col("_r") > 0, F.col("tokens")).otherwise(0)
-        got = rated.agg(*[F.sum(q * F.col("tokens") * F.col("_r")) for q in p],
-                        *[F.sum(p[i] * p[j] * live) for i, j in pairs]).first()
-        got = np.array([x or 0.0 for x in got])
-        matrix = np.zeros((k, k))
-        for (i, j), x in zip(pairs, got[k:]):
-            matrix[i, j] = matrix[j, i] = x
-        return got[:k], matrix
+        return [x or 0.0 for x in rated.agg(*[F.sum(q * F.col("tokens") * F.col("_r")) for q in p]).first()]
 
     history: list[list[float]] = []
-    present, matrix = totals(history)
-    some = present > 0
-    size = present.sum() if budget is None else (
+    present = expected = totals(history)
+    size = sum(present) if budget is None else (
         present[domains.index(budget)] / wanted[domains.index(budget)]
         if isinstance(budget, str) else float(budget))
-    target, expected = wanted * size, present
-    cost = lambda e: float((((e - target) ** 2)[some] / present[some]).sum())
-    scale, near = 1.0, max(tolerance * size, 1e-9)
-    while len(history) < most_steps and (np.abs(expected - target)[some] > near).any():
-        error = np.where(some, expected - target, 0.0)
-        step = scale * (np.linalg.pinv(matrix, rcond=1e-6, hermitian=True) @ error)
-        reached, new_matrix = totals([*history, step.tolist()])
-        if cost(reached) >= cost(expected):
-            scale /= 2
-            if scale < 1e-2:
-                break
-            continue
-        still = np.abs(reached - expected).max() <= near / 10
-        history.append(step.tolist())
-        expected, matrix, scale = reached, new_matrix, min(1.0, 2 * scale)
-        if still:
-            break
-    report = {"target": dict(zip(domains, target.tolist())),
-              "expected": dict(zip(domains, expected.tolist())),
-              "present": dict(zip(domains, present.tolist())), "steps": len(history),
-              "met": bool((np.abs(expected - target)[some] <= near).all())}
+    target = [w * size for w in wanted]
+    far = lambda: any(abs(e - t) > tolerance * size for e, t, s in zip(expected, target, present) if s)
+    while far() and len(history) < most_steps:
+        history.append([(e - t) / s if s else 0.0 for e, t, s in zip(expected, target, present)])
+        expected = totals(history)
+    report = {"target": dict(zip(domains, target)), "expected": dict(zip(domains, expected)),
+              "present": dict(zip(domains, present)), "steps": len(history), "met": not far()}
     return _rate(p, history), report
 
 

@@ -80,8 +80,10 @@ class Language:
 
 def learn_language(docs: DataFrame, text: str, most_rows: int, most_words: int = 4000) -> Language:
     """From ``most_rows`` texts picked by hash; their first 20,000 characters are enough here."""
-    rows = (docs.filter(F.col(text).isNotNull()).select(F.substring(text, 1, 20_000).alias("t"))
-            .orderBy(F.xxhash64("t"), "t").limit(most_rows).toPandas()["t"])
+    hashed = docs.filter(F.col(text).isNotNull()).withColumn("h", F.xxhash64(text))
+    picked = cut(hashed.select("h").distinct().orderBy("h").limit(most_rows))
+    rows = (hashed.join(F.broadcast(picked), "h").groupBy("h")
+            .agg(F.min(F.substring(text, 1, 20_000)).alias("t")).orderBy("h").toPandas()["t"])
     words, pairs, firsts = Counter(), Counter(), Counter()
     for t in rows:
         found = WORD.findall(t.lower())
