@@ -125,7 +125,7 @@ def _rate(posterior: list[Column], history: list[list[float]]) -> Column:
 
 
 def fit_rates(rows: DataFrame, domains: tuple[str, ...], weights: Mapping[str, float],
-              budget: float | str | None = None, tolerance: float = 5e-3, most_steps: int = 12):
+              budget: float | str | None = None, tolerance: float = 1e-2, most_steps: int = 6):
     """``(rate column, report)`` for rows with ``tokens`` and one posterior column per domain.
 
     Minimizes ``sum over domains of (expected tokens - target)^2 / present tokens`` over nonnegative

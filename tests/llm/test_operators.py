@@ -341,7 +341,7 @@ def test_mixing_meets_its_targets(spark, docs, none):
     table = rows.toPandas()
     assert report["met"] and (table["rate"] >= 0).all() and len(table) == len(ROWS)
     total = (table["p_good"] * table["tokens"] * table["rate"]).sum()
-    assert abs(total - report["target"]["good"]) <= 2e-3 * table["tokens"].sum()
+    assert abs(total - report["target"]["good"]) <= 1e-2 * table["tokens"].sum()
     assert np.allclose(table["p_good"] + table["p_junk"], 1)
     kept = mixing.resample(docs, labels, {"good": 1.0, "junk": 0.0}, budget="good")
     assert set(kept.columns) == ROWS_NAMES
