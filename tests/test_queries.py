@@ -10,9 +10,10 @@ import pytest
 
 import __spark_entry__ as contract
 import check
+from cairn.plans.catalog.registry import all_queries, all_sql
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = list(contract.queries())
+NAMES = list(all_queries())
 
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="test tables are not here")
 
@@ -29,8 +30,8 @@ def test_query(spark, con, name):
 
 
 def test_every_sql_has_its_query():
-    assert set(contract.oracle_sql()) <= set(NAMES)
-    assert set(NAMES) - set(contract.oracle_sql()) == {
+    assert set(all_sql()) <= set(NAMES) <= set(contract.queries())
+    assert set(NAMES) - set(all_sql()) == {
         "optimized_routes", "planned_routes", "explore_routes", "admitted_calls",
         "stream_admission"}
 
