@@ -142,25 +142,35 @@ def one_review_each(reviews: DataFrame) -> DataFrame:
         .select(*reviews.columns))
 
 
-def review_scores(votes: DataFrame) -> DataFrame:
+def review_scores(votes: DataFrame, reviews: DataFrame) -> DataFrame:
     """Upvotes minus downvotes per review, from a log of up, down and report.
 
     The last vote of a user counts; a report adds a downvote unless one stands and leaves an upvote
-    in place; a later vote clears both.
+    in place; a later vote clears both. ``reviews`` has ``review_id, author_id``: votes of an author
+    on their own review are rejected (a report is not), and so are events on unknown reviews. The
+    guard looks up (review, user) pairs after the fold, so a busy review stays spread over tasks.
     """
+    own = reviews.select("review_id", F.col("author_id").alias("user_id"),
+                         F.lit(True).alias("own")).distinct()
     vote, report = F.col("kind") != "report", F.col("kind") == "report"
     per_user = votes.groupBy("review_id", "user_id").agg(
         F.max_by("kind", F.when(vote, F.col("ord"))).alias("last_vote"),
         F.max(F.when(vote, F.col("ord"))).alias("voted"),
         F.max(F.when(report, F.col("ord"))).alias("reported"),
         F.count_if(F.col("kind") == "up").alias("up_events"))
+    allowed = F.col("own").isNull()
+    per_user = per_user.join(own, ["review_id", "user_id"], "left").withColumns({
+        "last_vote": F.when(allowed, F.col("last_vote")), "voted": F.when(allowed, F.col("voted")),
+        "up_events": F.when(allowed, F.col("up_events")).otherwise(0)}).where(
+        "voted IS NOT NULL OR reported IS NOT NULL")
     down = (F.coalesce(F.col("last_vote") == "down", F.lit(False))
             | F.coalesce(F.col("reported") > F.coalesce("voted", F.lit(-1)), F.lit(False)))
     up = F.coalesce(F.col("last_vote") == "up", F.lit(False))
     return per_user.groupBy("review_id").agg(
         F.count_if(up).alias("upvotes"), F.count_if(down).alias("downvotes"),
         (F.count_if(up) - F.count_if(down)).alias("score"),
-        F.sum("up_events").alias("helpful_votes"))
+        F.sum("up_events").alias("helpful_votes")).join(
+        reviews.select("review_id"), "review_id", "left_semi")
 
 
 def place_activity(reviews: DataFrame, scores: DataFrame) -> DataFrame:

@@ -114,12 +114,15 @@ def single_reviews(spark, sf_dir):
         "id", "place_id", "author_id", "review_type")
 
 
-_SCORES = """per_user AS (
+_SCORES = """fair_events AS (
+  SELECT e.* FROM review_events e JOIN reviews r ON e.review_id * 1000 = r.id
+  WHERE kind = 'report' OR user_id <> author_id),
+per_user AS (
   SELECT review_id, user_id,
     arg_max(kind, ord) FILTER (WHERE kind <> 'report') AS last_vote,
     max(ord) FILTER (WHERE kind <> 'report') AS voted,
     max(ord) FILTER (WHERE kind = 'report') AS reported,
-    count(*) FILTER (WHERE kind = 'up') AS ups FROM review_events GROUP BY ALL),
+    count(*) FILTER (WHERE kind = 'up') AS ups FROM fair_events GROUP BY ALL),
 scores AS (
   SELECT review_id, count(*) FILTER (WHERE last_vote = 'up') AS upvotes,
     count(*) FILTER (WHERE last_vote = 'down' OR reported > coalesce(voted, -1)) AS downvotes,
@@ -128,17 +131,21 @@ scores AS (
     sum(ups)::BIGINT AS helpful_votes FROM per_user GROUP BY review_id)"""
 
 
-@catalog.add(q.with_ctes(q.REVIEW_EVENTS, _SCORES) + "SELECT * FROM scores")
-def review_scores(spark, sf_dir):
-    """AG-22."""
-    return community.review_scores(td.review_events(spark, sf_dir))
-
+def _scores(spark, sf_dir):
+    """Votes on review n are votes on the first turn of conversation n."""
+    first = td.reviews(spark, sf_dir).where(F.col("id") % 1000 == 0).select(
+        F.expr("id div 1000").alias("review_id"), "author_id")
+    return community.review_scores(td.review_events(spark, sf_dir), first)
 
 
 def _scores_by_conversation(spark, sf_dir):
-    """Votes on review n count for the first turn of conversation n."""
-    return community.review_scores(td.review_events(spark, sf_dir)).withColumn(
-        "review_id", F.col("review_id") * 1000)
+    return _scores(spark, sf_dir).withColumn("review_id", F.col("review_id") * 1000)
+
+
+@catalog.add(q.with_ctes(q.REVIEWS, q.REVIEW_EVENTS, _SCORES) + "SELECT * FROM scores")
+def review_scores(spark, sf_dir):
+    """AG-22, FL-20 votes."""
+    return _scores(spark, sf_dir)
 
 
 @catalog.add(q.with_ctes(q.REVIEWS, q.REVIEW_EVENTS, _SCORES) + f"""

@@ -114,10 +114,22 @@ def test_review_scores(spark):
             down[review].discard(user)
             (up if kind == "up" else down)[review].add(user)
     frame = spark.createDataFrame(log, "review_id bigint, user_id bigint, kind string, ord bigint")
-    got = {r["review_id"]: r["score"] for r in community.review_scores(frame).collect()}
+    written = spark.createDataFrame([(k, 99) for k in range(4)], "review_id bigint, author_id bigint")
+    got = {r["review_id"]: r["score"] for r in community.review_scores(frame, written).collect()}
     assert got == {k: len(up[k]) - len(down[k]) for k in range(4)}
 
 
+def test_own_votes_and_unknown_reviews(spark):
+    """An author's votes on their own review are rejected, their report is not; review 9 is unknown."""
+    log = [(1, 7, "up", 0), (1, 8, "up", 1), (2, 7, "up", 2), (3, 7, "up", 3), (3, 7, "report", 4),
+           (9, 8, "up", 5)]
+    frame = spark.createDataFrame(log, "review_id bigint, user_id bigint, kind string, ord bigint")
+    written = spark.createDataFrame([(1, 7), (2, 7), (3, 7)], "review_id bigint, author_id bigint")
+    got = {r["review_id"]: (r["upvotes"], r["downvotes"], r["helpful_votes"])
+           for r in community.review_scores(frame, written).collect()}
+    assert got == {1: (1, 0, 1), 3: (0, 1, 0)}
+
+
 def test_current_edges(spark):
     rng = random.Random(4)
     log = [(rng.randrange(3), rng.randrange(3), rng.choice(["follow", "unfollow", "consent"]),
