@@ -197,14 +197,13 @@ def copies(rate: Column, key: Column, snap: float = 0.1) -> Column:
 def resample(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float],
              budget: float | str | None = None, text: str = "text", key: str = "doc_id",
              **training) -> DataFrame:
-    """``docs`` with each row as often as its rate says; the columns stay. Texts are not shuffled:
-    posteriors are computed again where the text is, and the fitted rate is a column expression."""
+    """``docs`` with each row as often as its rate says; the columns stay. Rows are written once with
+    their posteriors: the fit reads only those columns, and the rate is computed from stored numbers
+    (a filter on it would otherwise repeat the classifier for every place a posterior stands in)."""
     domains = tuple(weights)
     plain = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     model = train(plain, labelled, domains, **training)
-    narrow = cut(classify(plain.select("text"), model).drop("text"))
-    rate, _ = fit_rates(narrow, domains, weights, budget)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    many = copies(rate, F.struct(*[F.col(f"row.{c}") for c in docs.columns]))
-    return (classify(packed, model).withColumn("n", many).filter("n > 0")
+    rows = cut(classify(docs.select(F.struct("*").alias("row")), model, f"row.{text}"))
+    rate, _ = fit_rates(rows, domains, weights, budget)
+    return (rows.withColumn("n", copies(rate, F.col("row"))).filter("n > 0")
             .withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*"))
