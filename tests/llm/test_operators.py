@@ -375,3 +375,16 @@ def test_pipeline_runs_stage_by_stage(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert packed.select("doc_id").distinct().count() == before
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+
+
+def test_resample_keeps_clashing_columns_and_null_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({
+        "row": F.lit(1), "n": F.lit("x"), "tokens": F.lit(None).cast("int"), "p_clean": F.lit(2),
+        "text": F.when(F.col("doc_id") % 7 > 0, F.col("text"))})
+    labelled = mixing.quality_domains(spark.read.parquet(f"{sf}/labels.parquet"))
+    weights = {"clean": 1.0, "poor": 0.0, "toxic": 0.0}
+    got = mixing.resample(docs, labelled, weights, budget="clean")
+    assert got.columns == docs.columns
+    assert got.filter("text IS NULL").count() == docs.filter("text IS NULL").count()
+    assert mixing.resample(docs.limit(0), labelled, weights, budget="clean").count() == 0
