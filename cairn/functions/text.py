@@ -112,15 +112,15 @@ def clean_note(value, limit: int = 10_000) -> Column:
     return _strip(F.substring(F.regexp_replace(as_col(value), fv.CONTROL_CHARS, ""), 1, limit))
 
 
-def clean_tags(tags) -> Column:
-    """Lower-case tags of letters, digits, ``_`` and ``-``; empty ones are dropped."""
+def clean_tags(tags, limit: int = 100) -> Column:
+    """Lower-case tags of letters, digits, ``_`` and ``-``; empty ones are dropped, long ones shortened."""
     cleaned = F.transform(as_col(tags), lambda t: F.substring(F.regexp_replace(
-        F.lower(_strip(t)), fv.TAG_CHARS_REMOVED, ""), 1, 100))
+        F.lower(_strip(t)), fv.TAG_CHARS_REMOVED, ""), 1, limit))
     return F.filter(cleaned, lambda t: t != "")
 
 
-def clean_urls(urls) -> Column:
-    """Only http, https and relative URLs, limited to 2000 characters."""
+def clean_urls(urls, limit: int = 2000) -> Column:
+    """Only http, https and relative URLs, limited to ``limit`` characters."""
     trimmed = F.transform(as_col(urls), _strip)
 
     def allowed(url: Column) -> Column:
@@ -129,7 +129,7 @@ def clean_urls(urls) -> Column:
             test = test | F.startswith(url, F.lit(prefix))
         return test
 
-    return F.transform(F.filter(trimmed, allowed), lambda u: F.substring(u, 1, 2000))
+    return F.transform(F.filter(trimmed, allowed), lambda u: F.substring(u, 1, limit))
 
 
 def html_escape(value) -> Column:

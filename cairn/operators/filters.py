@@ -18,9 +18,9 @@ def is_unusual(categories="categories") -> Column:
 
 def presets() -> dict[str, list[str]]:
     """Filter preset -> categories."""
-    groups = {name: [c for c, style in fv.CATEGORY_STYLES.items() if style[3] == group]
+    groups = {name: [c for c, own in fv.CATEGORY_GROUPS.items() if own == group]
               for name, group in fv.GROUP_PRESETS.items()}
-    return {"all": list(fv.CATEGORY_STYLES), **groups, **fv.NAMED_PRESETS}
+    return {"all": list(fv.CATEGORY_GROUPS), **groups, **fv.NAMED_PRESETS}
 
 
 def preset_members(places: DataFrame) -> DataFrame:

@@ -16,8 +16,6 @@ from cairn import fixed_values as fv
 from cairn.functions import geo, text
 from cairn.functions.columns import as_col, not_empty, round_to, strings
 
-MAX_SWEEPS = 100
-
 
 def _distances(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
     phi, lam = np.radians(lat), np.radians(lng)
@@ -30,7 +28,8 @@ def _tour(dist: np.ndarray) -> np.ndarray:
     """Tour through nodes 1..n from node 0 to node n+1: nearest neighbour, then 2-opt.
 
     2-opt takes the first improving reversal and goes on from there; only the two changed edges
-    are compared, for all ends of a start at once.
+    are compared, for all ends of a start at once. Every reversal shortens the tour, so it ends by
+    itself, at a tour without an improving reversal.
     """
     end = len(dist) - 1
     if end <= 3:
@@ -42,7 +41,8 @@ def _tour(dist: np.ndarray) -> np.ndarray:
         left[here] = False
         tour.append(here)
     path = np.array([0, *tour, end])
-    for _ in range(MAX_SWEEPS):
+    improved = True
+    while improved:
         improved = False
         for i in range(1, end - 1):
             j = i + 1
@@ -56,8 +56,6 @@ def _tour(dist: np.ndarray) -> np.ndarray:
                 j += int(better[0])
                 path[i:j + 1] = path[i:j + 1][::-1].copy()
                 improved, j = True, j + 1
-        if not improved:
-            break
     return path[1:-1]
 
 
@@ -277,19 +275,8 @@ def gpx(routes: DataFrame, product: str = "cairn", descriptions: bool = True) ->
         F.array_join(track, "\n"), F.lit("    </trkseg>\n  </trk>\n</gpx>")))
 
 
-# fixed values: KML styles (id, element, colour, size element, size)
-KML_STYLES = [("routeStyle", "LineStyle", "ff0078ff", "width", "4"),
-              ("startStyle", "IconStyle", "ff00ff00", "scale", "1.2"),
-              ("endStyle", "IconStyle", "ff0000ff", "scale", "1.2"),
-              ("waypointStyle", "IconStyle", "ffff7800", "scale", "1.0")]
-
-
 def kml(routes: DataFrame, product: str = "cairn", descriptions: bool = True) -> DataFrame:
     """Adds a KML document: styles, one placemark per waypoint, the line of the route."""
-    styles = "\n".join(
-        f'    <Style id="{name}">\n      <{element}>\n        <color>{colour}</color>\n'
-        f"        <{size}>{value}</{size}>\n      </{element}>\n    </Style>"
-        for name, element, colour, size, value in KML_STYLES)
 
     def position(w: Column) -> Column:
         return F.concat(number(w["lng"]), F.lit(","), number(w["lat"]), F.lit(",0"))
@@ -310,7 +297,7 @@ def kml(routes: DataFrame, product: str = "cairn", descriptions: bool = True) ->
         "\n", F.lit('<?xml version="1.0" encoding="UTF-8"?>'),
         F.lit('<kml xmlns="http://www.opengis.net/kml/2.2">\n  <Document>'),
         F.format_string(f"    <name>{product} Route (%d places)</name>", "places_count"),
-        F.concat(F.lit("    <description>"), _facts(), F.lit("</description>")), F.lit(styles),
+        F.concat(F.lit("    <description>"), _facts(), F.lit("</description>")), F.lit(fv.KML_STYLES),
         F.array_join(F.transform("waypoints", placemark), "\n"),
         F.concat(F.lit("    <Placemark>\n      <name>Route ("), "mode", F.lit(
             ")</name>\n      <styleUrl>#routeStyle</styleUrl>\n      <LineString>\n"

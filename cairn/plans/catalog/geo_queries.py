@@ -214,7 +214,7 @@ def nearest_place(spark, sf_dir):
 
 
 @catalog.add(f"""
-WITH groups(cat, grp) AS (VALUES {', '.join(f"('{c}', '{s[3]}')" for c, s in fv.CATEGORY_STYLES.items())}),
+WITH groups(cat, grp) AS (VALUES {', '.join(f"('{c}', '{g}')" for c, g in fv.CATEGORY_GROUPS.items())}),
 presets AS (
   SELECT 'all' AS preset, list(cat) AS cats FROM groups
   UNION ALL SELECT 'hidden', list(cat) FROM groups WHERE grp = 'unusual'

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn import fixed_values as fv
 from cairn.functions.columns import strings
 from cairn.operators import routes as ops
 from cairn.plans import discovery, route_planning
@@ -240,10 +241,7 @@ def gpx_exports(spark, sf_dir):
         "route_id", F.md5("gpx").alias("gpx_hash"))
 
 
-_KML_STYLES = " || chr(10) || ".join(
-    f"'    <Style id=\"{n}\">' || chr(10) || '      <{e}>' || chr(10) || '        <color>{c}</color>'"
-    f" || chr(10) || '        <{s}>{v}</{s}>' || chr(10) || '      </{e}>' || chr(10) || '    </Style>'"
-    for n, e, c, s, v in ops.KML_STYLES)
+_KML_STYLES = " || chr(10) || ".join(f"'{line}'" for line in fv.KML_STYLES.split("\n"))
 
 
 @catalog.add(q.with_ctes(_ROUTES, _POINTS) + f"""

@@ -13,7 +13,7 @@ from cairn.sources import atlas, osm, research, stores, wikidata
 
 catalog = Catalog()
 
-_PAIRS = list(fv.OSM_TAG_CATEGORIES)
+_PAIRS = [pair.split(":") for pair in fv.OSM_TAG_CATEGORIES]
 
 
 def osm_payloads(spark, sf_dir):
@@ -53,7 +53,7 @@ osm_raw AS (
     CASE WHEN s % 3 = 0 THEN MAP(['wikipedia'], ['en:x']) ELSE MAP(['stars_note'], ['4']) END,
     MAP([tk], [tv])) AS tags
   FROM tagged WHERE NOT (k % 4 = 3 AND s % 7 = 0)),
-tag_rules(tk, tv, cats) AS (VALUES {', '.join(f"('{k}', '{v}', {q.text_list(c)})" for (k, v), c in fv.OSM_TAG_CATEGORIES.items())}),
+tag_rules(tk, tv, cats) AS (VALUES {', '.join(f"('{k}', '{v}', {q.text_list(c)})" for (k, v), c in zip(_PAIRS, fv.OSM_TAG_CATEGORIES.values()))}),
 entries AS (SELECT k, unnest(map_entries(tags)) AS e FROM osm_raw),
 mapped AS (SELECT k, unnest(cats) AS cat FROM entries JOIN tag_rules
   ON e.key = tk AND e.value = tv

@@ -54,10 +54,11 @@ def score_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def recommend(requests: DataFrame, catalogue: DataFrame, excluded: DataFrame | None = None,
-              limit: int = 10) -> DataFrame:
+              limit: int = 10, most_candidates: int = MAX_CANDIDATES) -> DataFrame:
     """The ``limit`` best places per request.
 
-    Candidates are the best ``3 * limit`` search results; both cuts are literal rank bounds.
+    Candidates are the best ``3 * limit`` search results, at most ``most_candidates`` but never fewer
+    than ``limit``; both cuts are literal rank bounds.
     ``strategy`` is what applies without a model: favourites narrow the search, ranking is diverse.
     """
     planned = requests.withColumn("intended", strategy())
@@ -66,7 +67,7 @@ def recommend(requests: DataFrame, catalogue: DataFrame, excluded: DataFrame | N
             F.col("intended") == "personalized", F.col("favorites")).otherwise(strings([]))
         .alias("categories"))
     found = discovery.page(discovery.matches(search, catalogue, excluded), "confidence",
-                           min(3 * limit, MAX_CANDIDATES))
+                           max(limit, min(3 * limit, most_candidates)))
     taste = planned.select("request_id", "favorites", "time_of_day", F.when(
         F.col("intended") == "cold_start", "cold_start").otherwise("diverse").alias("strategy"))
     scored = score_candidates(cut(found.join(taste, "request_id")))

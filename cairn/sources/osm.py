@@ -50,9 +50,8 @@ def tag_categories(tags="tags") -> Column:
     Restaurants and hotels only count with a marker of note; disused industry is abandoned.
     """
     tags = as_col(tags)
-    table = {f"{k}:{v}": cats for (k, v), cats in fv.OSM_TAG_CATEGORIES.items()}
     mapped = F.flatten(F.transform(F.map_entries(tags), lambda e: lookup(
-        table, F.concat_ws(":", e["key"], e["value"]), [])))
+        fv.OSM_TAG_CATEGORIES, F.concat_ws(":", e["key"], e["value"]), [])))
     idle = (F.try_element_at(tags, F.lit("building")) == "industrial") & (
         F.try_element_at(tags, F.lit("disused")) == "yes")
     found = F.array_sort(F.array_distinct(F.when(
@@ -62,10 +61,10 @@ def tag_categories(tags="tags") -> Column:
         ["restaurant_notable", "hotel_notable"])))
 
 
-def tag_list(tags="tags") -> Column:
-    """``key=value`` texts of the meaningful tags."""
+def tag_list(tags="tags", limit: int = 100) -> Column:
+    """``key=value`` texts of the meaningful tags with values shorter than ``limit``."""
     kept = F.filter(F.map_entries(as_col(tags)), lambda e: ~e["key"].isin(
-        fv.OSM_SKIPPED_TAG_KEYS) & (F.length(e["value"]) < 100))
+        fv.OSM_SKIPPED_TAG_KEYS) & (F.length(e["value"]) < limit))
     return F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"]))
 
 
