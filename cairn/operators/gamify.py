@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from cairn.functions import geo
 from cairn.functions.columns import as_col, round_to, strings
 from cairn.operators import spatial
 from cairn.operators.journal import VISITED, path_km, rating_average, visit_days
-from cairn.operators.ordered import day_runs, descending_rank, running_totals
+from cairn.operators.ordered import day_runs, descending_rank, previous_row, running_totals
 from cairn.session import cut
 
 # --- explored cells -----------------------------------------------------------------------------
@@ -192,6 +194,12 @@ def list_achievements(users: DataFrame, evaluated: DataFrame) -> DataFrame:
         F.coalesce("completed", F.lit(False)).alias("completed"))
 
 
+def metric_value(total) -> Column:
+    """A running total of ``condition_type`` as achievements see it: kilometres to two places."""
+    return F.when(F.col("condition_type") == "total_distance_km",
+                  round_to(as_col(total), 2)).otherwise(as_col(total))
+
+
 def first_unlocks(increments: DataFrame) -> DataFrame:
     """When each counted achievement was reached, replaying a log of increments.
 
@@ -203,31 +211,65 @@ def first_unlocks(increments: DataFrame) -> DataFrame:
     targets = F.filter(definition_table(), lambda d: d["condition_type"] == F.col(
         "condition_type"))
     hits = running.select("user_id", "condition_type", "ts", "reached", F.explode(targets)
-                          .alias("d")).where(F.col("reached") >= F.col("d.condition_value"))
+                          .alias("d")).where(metric_value("reached") >= F.col("d.condition_value"))
     return hits.groupBy("user_id", F.col("d.id").alias("achievement_id")).agg(
         F.min("ts").alias("unlocked_at"))
 
 
-def visit_increments(visits: DataFrame, notes: DataFrame) -> DataFrame:
-    """Increment log of the count-like metrics: visits, night and early visits, trips, notes."""
-    visited = visits.where(VISITED)
-    hour = F.hour("visited_at")
-    per_visit = visited.select("user_id", F.col("visited_at").alias("ts"), "ord", F.explode(
-        F.filter(F.array(
-            F.lit("total_visits"), F.when(hour < 5, F.lit("night_visit")),
-            F.when(hour == 5, F.lit("early_visit")),
-            F.when(F.coalesce(F.length("place_name"), F.lit(0)) == 0,
-                   F.lit("no_description_visit"))), lambda c: c.isNotNull()))
-        .alias("condition_type"))
-    per_trip = visited.where("trip_id IS NOT NULL").groupBy("user_id", "trip_id").agg(
-        F.min(F.struct("visited_at", "ord")).alias("f")).select(
-        "user_id", F.col("f.visited_at").alias("ts"), F.col("f.ord").alias("ord"),
-        F.lit("unique_trips").alias("condition_type"))
-    per_note = notes.select("user_id", F.col("created_at").alias("ts"), "ord", F.explode(
-        F.filter(F.array(F.lit("total_notes"),
-                         F.when(F.size("photos") > 0, F.lit("total_photos"))),
-                 lambda c: c.isNotNull())).alias("condition_type"))
-    return per_visit.unionByName(per_trip).unionByName(per_note).withColumn("amount", F.lit(1))
+def visit_increments(visits: DataFrame, notes: DataFrame, cells: DataFrame) -> DataFrame:
+    """Increment log of every metric, one row per (user, metric, ts, ord) that moves it.
+
+    Counts add one; cells add their area and steps their length. A metric that is a maximum (days in
+    a row, places of one trip) adds one whenever a value is reached for the first time.
+    """
+    visited = visits.where(VISITED).withColumn("ts", F.col("visited_at"))
+    moment, one = F.struct("ts", "ord"), F.lit(1.0)
+    hour = F.hour("ts")
+
+    def log(rows: DataFrame, metric, amount: Column) -> DataFrame:
+        return rows.select("user_id", metric.alias("condition_type"), "ts", "ord",
+                           amount.cast("double").alias("amount"))
+
+    def firsts(rows: DataFrame, *key: str) -> DataFrame:
+        return rows.groupBy("user_id", *key).agg(F.min(moment).alias("f")).select(
+            "user_id", *key, "f.*")
+
+    def marks(*metrics: Column) -> Column:
+        return F.explode(F.filter(F.array(*metrics), lambda c: c.isNotNull()))
+
+    per_visit = visited.select("user_id", "ts", "ord", marks(
+        F.lit("total_visits"), F.when(hour < 5, F.lit("night_visit")),
+        F.when(hour == 5, F.lit("early_visit")),
+        F.when(F.coalesce(F.length("place_name"), F.lit(0)) == 0,
+               F.lit("no_description_visit"))).alias("m"))
+    in_trips = visited.where("trip_id IS NOT NULL").select("user_id", "trip_id", "ts", "ord")
+    trip_sizes = running_totals(in_trips, ["user_id", "trip_id"], ["ts", "ord"],
+                                {"nth": F.lit(1)})
+    run_days = visited.withColumn("day", F.to_date("ts")).join(
+        day_runs(visit_days(visits), "user_id"), ["user_id", "day"])
+    legs = previous_row(visited.select("user_id", "lat", "lng", "ts", "ord"), ["user_id"],
+                        ["ts", "ord"], ["lat", "lng"]).where("previous IS NOT NULL")
+    leg = geo.haversine_m("previous.lat", "previous.lng", "lat", "lng") / 1000.0
+    fog = cells.groupBy("user_id", F.col("explored_at").alias("ts"), "ord").agg(
+        F.count(F.lit(1)).alias("n"))
+    written = notes.withColumn("ts", F.col("created_at"))
+    per_note = written.select("user_id", "ts", "ord", marks(
+        F.lit("total_notes"), F.when(F.size("photos") > 0, F.lit("total_photos"))).alias("m"))
+    tags = written.select("user_id", "ts", "ord", F.explode("tags").alias("tag")).withColumn(
+        "tag", F.lower("tag"))
+    places = tags.where(F.col("tag").isin(TAG_METRICS)).groupBy(
+        "user_id", "tag", "ts", "ord").agg(F.count(F.lit(1)).alias("n"))
+    new_tags = firsts(tags, "tag").groupBy("user_id", "ts", "ord").agg(
+        F.count(F.lit(1)).alias("n"))
+    parts = [log(per_visit, F.col("m"), one), log(per_note, F.col("m"), one),
+             log(firsts(in_trips, "trip_id"), F.lit("unique_trips"), one),
+             log(firsts(trip_sizes, "nth"), F.lit("region_places"), one),
+             log(firsts(run_days, "run_day"), F.lit("streak_days"), one),
+             log(legs, F.lit("total_distance_km"), leg),
+             log(fog, F.lit("fog_area_km2"), area_km2("n")),
+             log(places, F.concat(F.lit("category_"), "tag"), F.col("n")),
+             log(new_tags, F.lit("unique_categories"), F.col("n"))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- experience ---------------------------------------------------------------------------------

@@ -93,6 +93,12 @@ def region_coverage(spark, sf_dir):
     return gamify.coverage(regions, cells)
 
 
+def _visit_points(visits):
+    return visits.where("status = 'visited'").select(
+        "user_id", "lat", "lng", F.col("visited_at").alias("ts"), F.lit(50.0).alias("radius_m"),
+        F.col("id").alias("visit_id"), "ord")
+
+
 def _derived(spark, sf_dir):
     return gamify.derive_all(td.visits(spark, sf_dir), td.notes(spark, sf_dir), td.AS_OF)
 
@@ -156,10 +162,7 @@ _BASE = (q.VISITS, q.NOTES, RUNS, STREAKS, PATH_USER, _METRICS)
 def achievement_metrics(spark, sf_dir):
     """AG-13, D-2."""
     seen, written = td.visits(spark, sf_dir), td.notes(spark, sf_dir)
-    points = seen.where("status = 'visited'").select(
-        "user_id", "lat", "lng", F.col("visited_at").alias("ts"), F.lit(50.0).alias("radius_m"),
-        F.col("id").alias("visit_id"), "ord")
-    rows = gamify.user_metrics(seen, written, gamify.revealed_cells(points),
+    rows = gamify.user_metrics(seen, written, gamify.revealed_cells(_visit_points(seen)),
                                journal.streaks(seen, td.AS_OF), journal.path_km(seen))
     return rows.withColumn("fog_area_km2", round_to("fog_area_km2", 6))
 
@@ -268,23 +271,56 @@ def leaderboard(spark, sf_dir):
     return gamify.leaderboard(_derived(spark, sf_dir)["profiles"])
 
 
-@catalog.add(q.with_ctes(q.VISITS, q.NOTES, _DEFS, """increments AS (
-  SELECT user_id, visited_at AS ts, ord, 'total_visits' AS cond FROM visits WHERE status = 'visited'
-  UNION ALL SELECT user_id, visited_at, ord, 'night_visit' FROM visits
-    WHERE status = 'visited' AND hour(visited_at) < 5
-  UNION ALL SELECT user_id, visited_at, ord, 'early_visit' FROM visits
-    WHERE status = 'visited' AND hour(visited_at) = 5
-  UNION ALL SELECT user_id, visited_at, ord, 'no_description_visit' FROM visits
-    WHERE status = 'visited' AND place_name IS NULL
-  UNION ALL SELECT user_id, min(visited_at), arg_min(ord, visited_at), 'unique_trips' FROM visits
-    WHERE status = 'visited' GROUP BY user_id, trip_id
-  UNION ALL SELECT user_id, created_at, ord, 'total_notes' FROM notes
-  UNION ALL SELECT user_id, created_at, ord, 'total_photos' FROM notes WHERE len(photos) > 0),
-counted AS (SELECT *, row_number() OVER (PARTITION BY user_id, cond ORDER BY ts, ord) AS reached
-  FROM increments)""") + """
+_VISIT_POINTS = """visit_points AS (
+  SELECT user_id, lat, lng, visited_at AS ts, id AS visit_id, ord FROM visits
+  WHERE status = 'visited')"""
+_MOMENT = "min({'ts': visited_at, 'ord': ord}) AS f"
+_TAGS = ", ".join(f"'{t}'" for t in gamify.TAG_METRICS)
+
+
+@catalog.add(q.with_ctes(q.VISITS, q.NOTES, RUNS, _VISIT_POINTS, _cells("visit_points"), _DEFS, f"""
+seen AS (SELECT * FROM visits WHERE status = 'visited'),
+steps AS (SELECT *, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng FROM seen
+  WINDOW w AS (PARTITION BY user_id ORDER BY visited_at, ord)),
+used AS (SELECT user_id, created_at, ord, lower(tag) AS tag
+  FROM (SELECT *, unnest(tags) AS tag FROM notes)),
+increments(user_id, ts, ord, cond, amount) AS (
+  SELECT user_id, visited_at, ord, 'total_visits', 1e0 FROM seen
+  UNION ALL SELECT user_id, visited_at, ord, 'night_visit', 1e0 FROM seen
+    WHERE hour(visited_at) < 5
+  UNION ALL SELECT user_id, visited_at, ord, 'early_visit', 1e0 FROM seen
+    WHERE hour(visited_at) = 5
+  UNION ALL SELECT user_id, visited_at, ord, 'no_description_visit', 1e0 FROM seen
+    WHERE coalesce(place_name, '') = ''
+  UNION ALL SELECT user_id, f.ts, f.ord, 'unique_trips', 1e0 FROM (
+    SELECT user_id, {_MOMENT} FROM seen WHERE trip_id IS NOT NULL GROUP BY user_id, trip_id)
+  UNION ALL SELECT user_id, f.ts, f.ord, 'region_places', 1e0 FROM (
+    SELECT user_id, nth, {_MOMENT} FROM (SELECT *, row_number() OVER (
+      PARTITION BY user_id, trip_id ORDER BY visited_at, ord) AS nth FROM seen
+      WHERE trip_id IS NOT NULL) GROUP BY user_id, nth)
+  UNION ALL SELECT user_id, f.ts, f.ord, 'streak_days', 1e0 FROM (
+    SELECT s.user_id, run_day, {_MOMENT} FROM seen s JOIN runs r
+      ON r.user_id = s.user_id AND r.day = s.visited_at::DATE GROUP BY s.user_id, run_day)
+  UNION ALL SELECT user_id, visited_at, ord, 'total_distance_km',
+    {q.hav('plat', 'plng', 'lat', 'lng')} / 1000e0 FROM steps WHERE plat IS NOT NULL
+  UNION ALL SELECT user_id, explored_at, ord, 'fog_area_km2', count(*) * {_AREA} FROM cells
+    GROUP BY user_id, explored_at, ord
+  UNION ALL SELECT user_id, created_at, ord, 'total_notes', 1e0 FROM notes
+  UNION ALL SELECT user_id, created_at, ord, 'total_photos', 1e0 FROM notes WHERE len(photos) > 0
+  UNION ALL SELECT user_id, created_at, ord, 'category_' || tag, count(*)::DOUBLE FROM used
+    WHERE tag IN ({_TAGS}) GROUP BY user_id, created_at, ord, tag
+  UNION ALL SELECT user_id, f.ts, f.ord, 'unique_categories', count(*)::DOUBLE FROM (
+    SELECT user_id, tag, {_MOMENT.replace('visited_at', 'created_at')} FROM used
+    GROUP BY user_id, tag) GROUP BY ALL),
+counted AS (SELECT *, sum(amount) OVER (PARTITION BY user_id, cond ORDER BY ts, ord) AS reached
+  FROM increments)""".strip()) + f"""
 SELECT user_id, id AS achievement_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS unlocked_at
-FROM counted JOIN defs USING (cond) WHERE reached >= target GROUP BY user_id, id""")
+FROM counted JOIN defs USING (cond)
+WHERE CASE WHEN cond = 'total_distance_km' THEN {q.rnd('reached', 2)} ELSE reached END >= target
+GROUP BY user_id, id""")
 def first_unlocks(spark, sf_dir):
     """W-8."""
-    log = gamify.visit_increments(td.visits(spark, sf_dir), td.notes(spark, sf_dir))
+    seen = td.visits(spark, sf_dir)
+    log = gamify.visit_increments(seen, td.notes(spark, sf_dir),
+                                  gamify.revealed_cells(_visit_points(seen)))
     return gamify.first_unlocks(log).withColumn("unlocked_at", iso_second("unlocked_at"))

@@ -35,7 +35,9 @@ class ChangeTable:
         stored = f"{self.schema}, batch bigint"
         try:
             changes = spark.read.schema(stored).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as error:  # nothing written yet; any other error is one
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             changes = spark.createDataFrame([], stored)
         if before is not None:
             changes = changes.where(F.col("batch") < before)
@@ -93,7 +95,7 @@ def award_xp(ledger: DataFrame, totals: ChangeTable, history_path: str,
 
 def counts_table(path: str) -> ChangeTable:
     return ChangeTable(path, ["user_id", "condition_type"],
-                       "user_id bigint, condition_type string, reached bigint")
+                       "user_id bigint, condition_type string, reached double")
 
 
 def unlock_achievements(increments: DataFrame, counts: ChangeTable, unlocks_path: str,
@@ -107,12 +109,13 @@ def unlock_achievements(increments: DataFrame, counts: ChangeTable, unlocks_path
             "reached", F.col("reached") + F.coalesce("before", F.lit(0)))
         targets = F.filter(gamify.definition_table(), lambda d: (
             d["condition_type"] == F.col("condition_type"))
-            & (F.col("reached") >= d["condition_value"])
-            & (F.col("reached") - F.col("amount") < d["condition_value"]))
+            & (gamify.metric_value("reached") >= d["condition_value"])
+            & (gamify.metric_value(F.col("reached") - F.col("amount")) < d["condition_value"]))
         unlocked = running.select("user_id", "ts", F.explode(targets).alias("d")).select(
             "user_id", F.col("d.id").alias("achievement_id"), F.col("ts").alias("unlocked_at"))
         unlocked.write.mode("overwrite").parquet(f"{unlocks_path}/batch={batch_id}")
-        counts.write(running.groupBy(*key).agg(F.max("reached").alias("reached")), batch_id)
+        counts.write(running.groupBy(*key).agg(
+            F.max("reached").cast("double").alias("reached")), batch_id)
     return _run(increments, checkpoint, each)
 
 
@@ -174,9 +177,17 @@ def cache_table(path: str) -> ChangeTable:
 
 
 def keep_latest(entries: DataFrame, table: ChangeTable, checkpoint: str) -> StreamingQuery:
-    """Cache entries to the latest value per key; ``filters.unexpired`` applies the lifetime."""
+    """Cache entries to the latest value per key; ``filters.unexpired`` applies the lifetime.
+
+    Latest means by time, then by value, whatever batch brings it: an entry that arrives late does
+    not replace a newer one.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("key").agg(F.max_by(F.struct("data", "ts"), "ts").alias("v"))
+        known = table.rows(batch.sparkSession, batch_id).join(
+            batch.select("key").distinct(), "key", "left_semi")
+        both = batch.select("key", "data", "ts").unionByName(known.select("key", "data", "ts"))
+        newest = both.groupBy("key").agg(F.max_by(F.struct("data", "ts"), F.struct("ts", "data"))
+                                         .alias("v"))
         table.write(newest.select("key", "v.*"), batch_id)
     return _run(entries, checkpoint, each)
 

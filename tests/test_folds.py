@@ -8,7 +8,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import admission, changes, community, fusion, journal, ordered, spatial
+from cairn.operators import (admission, changes, community, fusion, gamify, journal, ordered,
+                             spatial)
 from tests.test_geo import haversine
 
 T0 = 1_700_000_000
@@ -240,3 +241,33 @@ def test_group_visits_last_trip_wins(spark):
                       "region_lng": F.lit(19.0)})
     got = {r["id"]: r["trip_id"] for r in journal.group_visits(trips, visits).collect()}
     assert got == {1: "b", 2: "old", 3: None, 4: "a"}
+
+
+def test_every_achievement_unlocks(spark):
+    """One long journey: a place a day, 11 km apart, five places a trip, notes with every tag."""
+    day = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 86_400)  # midnights, UTC
+    visits = spark.range(100).select(
+        F.lit(1).cast("bigint").alias("user_id"), "id", F.col("id").alias("ord"),
+        F.lit("visited").alias("status"), (day + F.expr("make_interval(0,0,0,0,5 * int(id = 1))"))
+        .alias("visited_at"), F.when(F.col("id") != 2, "here").alias("place_name"),
+        F.floor(F.col("id") / 5).alias("trip_id"), (F.col("id") * 0.1).alias("lat"),
+        F.lit(0.0).alias("lng"))
+    tags = ["Abandoned", "underground", "cave", "viewpoint", "ruins", "military"]
+    notes = spark.range(30).select(
+        F.lit(1).cast("bigint").alias("user_id"), F.col("id").alias("ord"), day.alias("created_at"),
+        F.array(*map(F.lit, tags)).alias("tags"), F.array(F.lit("p.jpg")).alias("photos"))
+    cells = spark.range(90_000).select(
+        F.lit(1).cast("bigint").alias("user_id"), F.floor(F.col("id") / 1000).alias("ord"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.floor(F.col("id") / 1000) * 86_400)
+        .alias("explored_at"))
+    log = gamify.visit_increments(visits, notes, cells)
+    days = {r["achievement_id"]: r["day"] for r in gamify.first_unlocks(log).select(
+        "achievement_id", (F.floor((F.unix_seconds("unlocked_at") - 1_704_067_200) / 86_400) + 1)
+        .alias("day")).collect()}
+    assert days == {
+        "first_visit": 1, "visits_10": 10, "visits_50": 50, "visits_100": 100, "abandoned_10": 10,
+        "underground_5": 5, "cave_3": 3, "viewpoint_10": 10, "ruins_5": 5, "military_3": 3,
+        "streak_3": 3, "streak_7": 7, "streak_30": 30, "distance_10": 2, "distance_100": 10,
+        "distance_500": 46, "notes_10": 10, "photos_20": 20, "night_explorer": 1, "fog_1km": 9,
+        "fog_10km": 82, "early_bird": 2, "no_description": 3, "region_5_places": 5,
+        "region_diverse": 1, "multi_region": 11}

@@ -102,6 +102,16 @@ def test_keep_latest(spark, tmp_path, feed):
         "k2", "k3", "k4"}
 
 
+def test_keep_latest_ignores_late_entries(spark, tmp_path, feed):
+    """The second run goes on from the first; what it brings for ``a`` is older or ties."""
+    schema, table = "key string, data string, s bigint", jobs.cache_table(str(tmp_path / "late"))
+    for rows in ([("a", "new", T0 + 600), ("b", "one", T0)],
+                 [("a", "old", T0), ("a", "more", T0 + 600), ("b", "two", T0 + 60)]):
+        _, stream, check = feed(rows, schema, "entries")
+        jobs.keep_latest(stream.select("key", "data", "ts"), table, check).awaitTermination()
+    assert {r["key"]: r["data"] for r in table.rows(spark).collect()} == {"a": "new", "b": "two"}
+
+
 def test_admit_stream(spark, tmp_path, feed):
     rng = random.Random(5)
     rows = [(rng.randrange(2), "g", T0 + i * 7, i) for i in range(150)]
