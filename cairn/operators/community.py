@@ -122,6 +122,16 @@ def moderation_status(history: DataFrame, places: DataFrame) -> DataFrame:
         F.coalesce("confirm_awards", F.lit(0)).alias("confirm_awards"))
 
 
+def list_places(places: DataFrame, status: str | None = None, author_id=None, limit: int = 50,
+                offset: int = 0) -> DataFrame:
+    """One page of community places, newest (largest id) first."""
+    if status is not None:
+        places = places.where(F.col("status") == status)
+    if author_id is not None:
+        places = places.where(F.col("submitted_by") == author_id)
+    return places.orderBy(F.col("place_id").desc()).offset(offset).limit(limit)
+
+
 def editable(edits: DataFrame, status: DataFrame) -> DataFrame:
     """Edits (place_id, author_id) by the author of a place that is still pending."""
     return edits.join(status.select("place_id", "submitted_by", "status"), "place_id").where(

@@ -62,6 +62,17 @@ def moderation_status(spark, sf_dir):
                                        td.community_places(spark, sf_dir))
 
 
+@catalog.add(q.with_ctes(q.MODERATION, _HISTORY) + """
+SELECT place_id, submitted_by, status FROM status WHERE status = 'pending'
+ORDER BY place_id DESC LIMIT 50 OFFSET 50""")
+def listed_places(spark, sf_dir):
+    """FL-8: the second page of places that wait for moderation (a page report)."""
+    rows = community.moderation_status(_history(spark, sf_dir),
+                                       td.community_places(spark, sf_dir))
+    return community.list_places(rows, "pending", offset=50).select(
+        "place_id", "submitted_by", "status")
+
+
 @catalog.add(q.with_ctes(q.MODERATION, _HISTORY) + """
 SELECT status, count(*) AS places, count(*) FILTER (WHERE author_match) AS editable FROM (
   SELECT s.status, s.status = 'pending' AND e.l_partkey IS NOT NULL AS author_match
@@ -114,6 +125,15 @@ def single_reviews(spark, sf_dir):
         "id", "place_id", "author_id", "review_type")
 
 
+@catalog.add(q.with_ctes(q.REVIEWS) + """
+SELECT id, author_id, review_type FROM reviews WHERE place_id = 7 AND review_type = 'tip'
+ORDER BY created_ord DESC LIMIT 50""")
+def listed_reviews(spark, sf_dir):
+    """FL-9: the newest tips on one place (a page report)."""
+    return community.list_reviews(td.reviews(spark, sf_dir), 7, "tip", "newest").select(
+        "id", "author_id", "review_type")
+
+
 _SCORES = """fair_events AS (
   SELECT e.* FROM review_events e JOIN reviews r ON e.review_id * 1000 = r.id
   WHERE kind = 'report' OR user_id <> author_id),

@@ -143,6 +143,14 @@ _QUEUE = """queue AS (
     o_orderdate AS created_at, o_orderkey AS ord, o_orderkey % 4 = 0 AS synced FROM orders)"""
 
 
+@catalog.add(q.with_ctes(_QUEUE) + """
+SELECT id, operation, resource_id, note FROM queue WHERE NOT synced""")
+def pending_queue(spark, sf_dir):
+    """FL-14: what is still to be sent."""
+    return changes.pending_items(_queue(spark, sf_dir)).select("id", "operation", "resource_id",
+                                                               "note")
+
+
 @catalog.add(q.with_ctes(_QUEUE) + """
 SELECT id, synced OR id NOT LIKE '%/%' AS synced, CASE WHEN synced THEN
     strftime(created_at, '%Y-%m-%d %H:%M:%S') WHEN id NOT LIKE '%/%' THEN '2024-01-31 00:00:00' END

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import iso_second
+from cairn.operators import gamify
 from cairn.plans import testdata as td
 from cairn.plans.catalog import Catalog
 from cairn.plans.catalog import base as q
 from cairn.plans.catalog.community_queries import _HISTORY
-from cairn.plans.catalog.gamify_queries import _cells
+from cairn.plans.catalog.gamify_queries import _cells, _visit_points
+from cairn.plans.catalog.gamify_queries import catalog as gamify_catalog
 from cairn.session import shared_folder
 from cairn.streaming import jobs
 
@@ -35,6 +37,36 @@ def stream_fog_reveal(spark, sf_dir):
                                     iso_second("explored_at").alias("explored_at"))
 
 
+def _stream_of(rows, path: str):
+    """Write ``rows`` to the shared folder and read them back as a stream."""
+    rows.write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
+
+
+@catalog.add(gamify_catalog.sql["xp_history"])
+def stream_xp(spark, sf_dir):
+    """ST-S2."""
+    home = _folder(spark)
+    ledger = gamify.xp_ledger(td.visits(spark, sf_dir), td.notes(spark, sf_dir))
+    jobs.award_xp(_stream_of(ledger, f"{home}/ledger"), jobs.totals_table(f"{home}/totals"),
+                  f"{home}/history", f"{home}/check").awaitTermination()
+    return spark.read.parquet(f"{home}/history").select(
+        "user_id", "visit_id", "xp_earned", "total_xp", "level", "leveled_up")
+
+
+@catalog.add(gamify_catalog.sql["first_unlocks"])
+def stream_unlocks(spark, sf_dir):
+    """ST-S3."""
+    home = _folder(spark)
+    seen = td.visits(spark, sf_dir)
+    log = gamify.visit_increments(seen, td.notes(spark, sf_dir),
+                                  gamify.revealed_cells(_visit_points(seen)))
+    jobs.unlock_achievements(_stream_of(log, f"{home}/log"), jobs.counts_table(f"{home}/counts"),
+                             f"{home}/unlocks", f"{home}/check").awaitTermination()
+    return spark.read.parquet(f"{home}/unlocks").select(
+        "user_id", "achievement_id", iso_second("unlocked_at").alias("unlocked_at"))
+
+
 @catalog.add(q.with_ctes(q.MODERATION, _HISTORY) + """
 SELECT place_id, confirmations, rejections, status, confirm_awards FROM status
 WHERE place_id IN (SELECT place_id FROM accepted)""")
