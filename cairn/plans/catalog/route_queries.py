@@ -170,13 +170,13 @@ def route_budget(spark, sf_dir):
 
 
 @catalog.add(q.with_ctes(_ROUTES) + """
-SELECT route_id, string_agg(CASE WHEN surprise THEN 'Mystery Stop #' || pos || '|'
-    || coalesce(name, '-') ELSE coalesce(name, '-') END, ',' ORDER BY pos) AS shown
-FROM stops JOIN routes USING (route_id) WHERE pos <= most GROUP BY route_id""")
+SELECT route_id, coalesce(string_agg(CASE WHEN surprise THEN 'Mystery Stop #' || pos || '|'
+    || coalesce(name, '-') ELSE coalesce(name, '-') END, ',' ORDER BY pos)
+  FILTER (WHERE pos <= most), '') AS shown
+FROM routes LEFT JOIN stops USING (route_id) GROUP BY route_id""")
 def surprise_stops(spark, sf_dir):
     """ST-15, S-7."""
-    rows = ops.mask_stops(ops.cap_stops(stopped_routes(spark, sf_dir).where(
-        F.size("stops") > 0)))
+    rows = ops.mask_stops(ops.cap_stops(stopped_routes(spark, sf_dir)))
     return rows.select("route_id", F.array_join(F.transform("stops", lambda s: F.when(
         F.startswith(s["name"], F.lit("Mystery")), F.concat(s["name"], F.lit("|"), F.coalesce(
             s["metadata"]["_surprise_original_name"], F.lit("-"))))
@@ -184,7 +184,8 @@ def surprise_stops(spark, sf_dir):
 
 
 @catalog.add(q.with_ctes(_ROUTES) + f"""
-, asked AS (SELECT route_id, route_id % 7 = 0 AS bad, n FROM (SELECT DISTINCT route_id, n FROM stops)),
+, asked AS (SELECT route_id, route_id % 7 = 0 AND count(pos) > 0 AS bad
+  FROM routes LEFT JOIN stops USING (route_id) GROUP BY route_id),
 turned AS (SELECT s.route_id, n - pos AS npos, id, lat, lng FROM stops s),
 pts AS (SELECT route_id, npos + 1 AS i, id, lat, lng FROM turned
   UNION ALL SELECT route_id, 0, '', o_lat, o_lng FROM routes
@@ -194,13 +195,15 @@ sums AS (SELECT route_id, sum(m) AS m FROM (SELECT route_id,
   WINDOW w AS (PARTITION BY route_id ORDER BY i)) GROUP BY route_id)
 SELECT a.route_id, NOT bad AS accepted,
   CASE WHEN NOT bad THEN {q.rnd('m', 1)} END AS total_distance_m,
-  CASE WHEN NOT bad THEN (SELECT string_agg(id, ',' ORDER BY npos) FROM turned t
-    WHERE t.route_id = a.route_id) END AS stops
+  CASE WHEN NOT bad THEN coalesce((SELECT string_agg(id, ',' ORDER BY npos) FROM turned t
+    WHERE t.route_id = a.route_id), '') END AS stops
 FROM asked a JOIN sums USING (route_id)""")
 def reordered_routes(spark, sf_dir):
-    """TF-8, A-6: routes turned around; every seventh asks for a position that does not exist."""
-    rows = stopped_routes(spark, sf_dir).where(F.size("stops") > 0)
-    turned = F.reverse(F.sequence(F.lit(0), F.size("stops") - 1))
+    """TF-8, A-6: routes turned around; every seventh with stops asks for a position that
+    does not exist."""
+    rows = stopped_routes(spark, sf_dir)
+    turned = F.when(F.size("stops") > 0, F.reverse(F.sequence(F.lit(0), F.size("stops") - 1))) \
+        .otherwise(F.array().cast("array<int>"))
     asked = rows.withColumn("wanted", F.when(F.col("route_id") % 7 == 0, F.transform(
         turned, lambda i: i + 1)).otherwise(turned))
     good, bad = ops.reorder(asked, "wanted")
@@ -269,13 +272,14 @@ def kml_exports(spark, sf_dir):
 
 
 @catalog.add(q.with_ctes(_ROUTES) + """
-SELECT route_id, 'A route through ' || n || ' stops: ' || string_agg(coalesce(nullif(name, ''),
-  'unnamed stop'), ', ' ORDER BY pos) || '. Explore each one!' AS story
-FROM stops GROUP BY route_id, n""")
+SELECT route_id, 'A route through ' || count(pos) || ' stops: ' || coalesce(string_agg(
+  coalesce(nullif(name, ''), 'unnamed stop'), ', ' ORDER BY pos) FILTER (WHERE pos IS NOT NULL), '')
+  || '. Explore each one!' AS story
+FROM routes LEFT JOIN stops USING (route_id) GROUP BY route_id""")
 def route_stories(spark, sf_dir):
     """ST-16 route story."""
     from cairn.functions import text
-    rows = stopped_routes(spark, sf_dir).where(F.size("stops") > 0)
+    rows = stopped_routes(spark, sf_dir)
     return rows.select("route_id", text.route_story(F.transform("stops", lambda s: s["name"]),
                                                     F.lit("en")).alias("story"))
 

@@ -30,10 +30,10 @@ def _search_requests(requests: DataFrame, explore: bool) -> DataFrame:
 
 
 def candidates(requests: DataFrame, catalogue: DataFrame, excluded: DataFrame | None = None,
-               explore: bool = False) -> DataFrame:
-    """The best 200 places of each route's search area, with their details."""
+               explore: bool = False, most: int = CANDIDATES) -> DataFrame:
+    """The best ``most`` places of each route's search area, with their details."""
     found = discovery.page(discovery.matches(_search_requests(requests, explore), catalogue,
-                                             excluded), "confidence", CANDIDATES)
+                                             excluded), "confidence", most)
     details = catalogue.select("ord", "description", "photos", "lat", "lng", "metadata")
     return found.select(F.col("request_id").alias("route_id"), "position", "ord", "id", "name",
                         "categories").join(details, "ord")
