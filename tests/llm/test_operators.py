@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cairn.llm import (embeddings, licenses, mixing, packing, quality, secrets, shards, simhash,
-                       substrings, tokens, warc)
+from cairn.llm import (embeddings, licenses, mixing, packing, quality, secrets, shards, shingles,
+                       simhash, substrings, tokens, warc)
 from cairn.llm.queries import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -121,6 +121,33 @@ def test_one_of_each_keeps_other_columns(docs, none):
     assert simhash.one_of_each(none).collect() == []
 
 
+@pytest.mark.parametrize("leaders", [1, 4])
+def test_near_copies_go_like_in_a_full_comparison(spark, leaders):
+    random.seed(8)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    texts = [None, "", "one", "One", "two words"]
+    for family in range(6):
+        base = [word() for _ in range(200)]
+        for _ in range(30):  # an edit changes up to five shingles: similarities from 0.5 to 1
+            copy = list(base)
+            for at in random.sample(range(200), random.randint(0, 5)):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+            for w in ((t or "").lower().split() for t in texts)]
+    label = _reach(len(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = corpus_pipeline.simhash_dedup(spark, frame, SMALL)
+    assert {r["doc_id"] for r in kept.collect()} == set(label)
+    nodes = spark.createDataFrame([(i, [hash(x) for x in s]) for i, s in enumerate(sets[5:])],
+                                  "node long, hashes array<long>")
+    block = nodes.select(F.lit(1).cast("long").alias("key"), "node")
+    tied = simhash.connected_components(shingles.close_pairs(block, nodes, 0.8, leaders))
+    assert {tuple(r) for r in tied.collect()} == {
+        (i - 5, g - 5) for i, g in enumerate(label) if i >= 5 and label.count(g) > 1}
+    assert corpus_pipeline.simhash_dedup(spark, frame.limit(0), SMALL).collect() == []
+
+
 ROWS_NAMES = {part.split()[0] for part in DOCS.split(", ")}
 
 
