@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.llm import (embeddings, licenses, mixing, packing, quality, secrets, shards, simhash,
                        substrings, warc)
@@ -20,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @catalog.add()
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.quality_domains(table(spark, sf_dir, "labels"))
-    rows, _ = mixing.mix(table(spark, sf_dir, "documents"), labelled,
-                         {"clean": 0.9, "poor": 0.04, "toxic": 0.06})
-    return rows
+    rows, report = mixing.mix(table(spark, sf_dir, "documents"), labelled,
+                              {"clean": 0.9, "poor": 0.04, "toxic": 0.06})
+    return rows.withColumns({"met": F.lit(report["met"]), "steps": F.lit(report["steps"])})
 
 
 @catalog.add()

@@ -378,6 +378,25 @@ def test_mixing_meets_its_targets(spark, docs, none):
     assert mixing.mix(docs, labels.limit(0), {"good": 0.5, "junk": 0.5})[0].count() == len(ROWS)
 
 
+def test_overlapping_posteriors_meet_their_targets(spark):
+    random.seed(2)
+    rows = []
+    for i in range(600):
+        at, uniform = i % 3, 0.3 if i % 2 else 0.6
+        p = [uniform / 3 + (1 - uniform) * (j == at) for j in range(3)]
+        rows.append((random.randint(1, 500), *p))
+    frame = spark.createDataFrame(rows, "tokens long, p_a double, p_b double, p_c double")
+    names = ("a", "b", "c")
+    for weights in ((0.5, 0.25, 0.25), (0.6, 0.2, 0.2)):
+        rate, report = mixing.fit_rates(frame, names, dict(zip(names, weights)), stored=2)
+        got = frame.withColumn("r", rate).agg(*[F.sum(F.expr(f"p_{d} * tokens * r")) for d in names]).first()
+        size = sum(r[0] for r in rows)
+        assert report["met"] and all(abs(g - w * size) <= 2e-3 * size for g, w in zip(got, weights))
+    rate, report = mixing.fit_rates(frame, names, {"a": 1.0, "b": 0.0, "c": 0.0}, stored=2)
+    assert not report["met"] and frame.withColumn("r", rate).filter("r < 0").count() == 0
+    assert report["expected"]["a"] > report["target"]["a"] / 2
+
+
 @pytest.mark.parametrize("name", sorted(catalog.sql))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
