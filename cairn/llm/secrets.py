@@ -15,11 +15,17 @@ from pyspark.sql import functions as F
 
 from cairn.session import cut
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_-]))?")
 #: Names that announce a secret.
 NAMES = ("token secret password passwd pwd apikey api_key key credential credentials "
          "authorization bearer").split()
-ASSIGNED = re.compile(r"([A-Za-z_]+)[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?$")
+ASSIGNED = re.compile(r"([A-Za-z0-9_.-]+)[\"']?\s{0,3}[:=]{1,2}\s{0,3}(?:(?:bearer|basic)\s{1,3})?[\"']?$", re.I)
+#: A value of eight or more characters after a name that holds an announcing one and ``:`` or ``=``:
+#: up to the closing quote, in a URL up to the next parameter, else up to the next space.
+ANNOUNCED = re.compile(
+    rf"(?:{'|'.join(NAMES)})[A-Za-z0-9_-]{{0,40}}[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}(?:(?:bearer|basic)\s{{1,3}})?"
+    r"(?:\"([^\s\"]{8,})\"|'([^\s']{8,})'|([^\s\"']\S{7,}))", re.I)
+URL_START = re.compile(r"[?&][A-Za-z0-9_.-]*$")
 WORD = re.compile(r"[^\W_]+")
 FEATURES = ("length letters digits upper changes transitions coverage path quoted assigned "
             "neighbours").split()
@@ -35,17 +41,39 @@ def near_words(text: str, start: int, end: int) -> list[str]:
     return before + WORD.findall(text[end:end + 64].lower())[:1]
 
 
+def announces(name: str | None) -> bool:
+    """Whether a name is or holds an announcing one as a part: ``password``, ``db_password``."""
+    return name is not None and (name in NAMES or any(x in NAMES for x in re.split(r"[_.-]", name)))
+
+
 def candidates(text: str | None) -> Iterator[tuple[int, int]]:
-    for m in CANDIDATE.finditer(text or ""):
-        yield m.start(), m.end()
+    """Spans in order, without overlaps: announced values, and long runs outside of them."""
+    text, spans = text or "", []
+    low = text.lower()
+    for m in ANNOUNCED.finditer(text) if any(name in low for name in NAMES) else ():
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 3:
+            if URL_START.search(text[max(0, m.start() - 64):m.start()]):
+                b = a + len(re.split("[&#]", text[a:b], maxsplit=1)[0])
+            b = a + len(text[a:b].rstrip(".,;:)]}>\"'`"))
+        if b - a >= 8:
+            spans.append((a, b))
+    at = 0
+    for m in CANDIDATE.finditer(text):
+        while at < len(spans) and spans[at][1] <= m.start():
+            yield spans[at]
+            at += 1
+        if at == len(spans) or m.end() <= spans[at][0]:
+            yield m.span()
+    yield from spans[at:]
 
 
 def seed_label(value: str, name: str | None, quoted: bool) -> int | None:
-    """Label of a finding where its form leaves no doubt: a quoted mix of letters and digits
-    assigned to a telling name is one; a value without digits or without letters that nothing
-    announces is none. All else stays unlabelled."""
+    """Label of a finding where its form leaves no doubt: a mix of letters and digits assigned to a
+    telling name is one if it is quoted or has twelve characters or more; a value without digits or
+    without letters that nothing announces is none. All else stays unlabelled."""
     letters, digits = any(map(str.isalpha, value)), any(map(str.isdigit, value))
-    if name in NAMES and quoted and letters and digits:
+    if announces(name) and (quoted or len(value) >= 12) and letters and digits:
         return 1
     if name is None and not quoted and letters != digits:
         return 0
@@ -103,14 +131,14 @@ def measure(text: str, start: int, end: int, language: Language) -> tuple[list[f
     value = text[start:end]
     before = text[max(0, start - 64):start]
     match = ASSIGNED.search(before)
-    name = match[1].lower().rpartition(".")[2] if match else None
+    name = match[1].lower() if match else None
     quoted = before[-1:] in "\"'" and before != "" and text[end:end + 1] == before[-1:]
     kinds = [_class(c) for c in value]
     n = len(value)
     path = value.count("/") + (before[-1:] in "/.@" and before != "") + ("://" in before[-16:])
     numbers = [n, kinds.count(0) / n, kinds.count(2) / n, kinds.count(1) / n,
                sum(a != b for a, b in zip(kinds, kinds[1:])) / n, language.transitions(value),
-               language.coverage(value), float(path), float(quoted), float(name in NAMES)]
+               language.coverage(value), float(path), float(quoted), float(announces(name))]
     return numbers, near_words(text, start, end), seed_label(value, name, quoted)
 
 

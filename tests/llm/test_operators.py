@@ -351,6 +351,25 @@ def test_secrets_are_found_masked_and_learned(docs, none):
     assert secrets.scan_secrets(none)[0].collect() == []
 
 
+def test_unquoted_short_and_url_secrets(spark):
+    planted = ["Zx9kQ2mP7vLt4RnB8sWd", "ghp_a8Kd93kLmQ0zX72b", "wJalrXUtnFEMIK7MDENGbPxRfiCYEX", "Tr0ub4dor&3xyz!!"]
+    forms = ["run password={} now", "see https://x.org/a?token={}&page=2 there", "AWS_SECRET_ACCESS_KEY={}",
+             "db_password: '{}'"]
+    texts = [f.format(v) for f, v in zip(forms, planted)]
+    assert [[t[a:b] for a, b in secrets.candidates(t) if b - a != 21] for t in texts] == [[v] for v in planted]
+    assert [t[a:b] for t in ["pwd=aB3$xY9z.", "pwd=short"] for a, b in secrets.candidates(t)] == ["aB3$xY9z"]
+    random.seed(4)
+    mixed = lambda n: "".join(random.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=n))
+    values = [mixed(20) + "7a" for _ in range(60)]
+    rows = [f"{'some plain words here ' * 3}{forms[i % 4].format(v)}" for i, v in enumerate(values)]
+    rows += [f"an internationalizationofthings{'abcdefgh'[i % 8]}andmore text" for i in range(60)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    _, model = secrets.scan_secrets(frame)
+    clean = [r["text"] for r in secrets.redact(frame, model).orderBy("doc_id").collect()]
+    assert not any(v in t for v, t in zip(values, clean)) and clean[60:] == rows[60:]
+    assert "&page=2" in clean[1]
+
+
 def test_forest_on_held_out_rows():
     random = np.random.default_rng(1)
     x = random.normal(size=(800, 5))
