@@ -82,7 +82,7 @@ def seed_label(value: str, name: str | None, quoted: bool) -> int | None:
 
 @dataclass
 class Language:
-    """Common words and letter pairs of ordinary text, from a bounded sample."""
+    """Common words and letter pairs of the corpus."""
     words: frozenset[str] = frozenset()
     pairs: dict[str, float] = field(default_factory=dict)
     rare: float = -12.0
@@ -102,28 +102,72 @@ class Language:
 
     def transitions(self, value: str) -> float:
         """Mean log2 probability of the letter pairs."""
-        low = value.lower()
+        low = _fold(value.lower())
         return float(np.mean([self.pairs.get(low[i:i + 2], self.rare) for i in range(len(low) - 1)]))
 
 
-def learn_language(docs: DataFrame, text: str, most_rows: int, most_words: int = 4000) -> Language:
-    """From ``most_rows`` texts picked by hash; their first 20,000 characters are enough here."""
-    hashed = docs.filter(F.col(text).isNotNull()).withColumn("h", F.xxhash64(text))
-    picked = cut(hashed.select("h").distinct().orderBy("h").limit(most_rows))
-    rows = (hashed.join(F.broadcast(picked), "h").groupBy("h")
-            .agg(F.min(F.substring(text, 1, 20_000)).alias("t")).orderBy("h").toPandas()["t"])
-    words, pairs, firsts = Counter(), Counter(), Counter()
-    for t in rows:
-        found = WORD.findall(t.lower())
-        words.update(w for w in found if len(w) >= 3 and w.isalpha())
-        for w in set(found):
-            for i in range(len(w) - 1):
-                pairs[w[i:i + 2]] += 1
-                firsts[w[i]] += 1
+#: Different words a task counts before it passes its counts on.
+COUNTED = 100_000
+
+
+def _letter(c: str) -> str:
+    """Letters of alphabets as they are; of larger scripts one per 256, so that pairs stay few."""
+    return c if c < "\u0600" else chr(ord(c) & ~0xFF)
+
+
+def _fold(word: str) -> str:
+    return word if word.isascii() else "".join(map(_letter, word))
+
+
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """``word, n, texts`` of all words of all whole texts: how often, and in how many texts."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, texts = Counter(), Counter()
+
+        def counts() -> pd.DataFrame:
+            return pd.DataFrame({"word": list(words), "n": list(words.values()),
+                                 "texts": [texts[w] for w in words]}).astype({"n": "int64", "texts": "int64", "word": "object"})
+        for batch in batches:
+            for t in batch["t"]:
+                found = WORD.findall(t.lower())
+                words.update(found)
+                texts.update(set(found))
+                if len(words) > COUNTED:
+                    yield counts()
+                    words.clear()
+                    texts.clear()
+        yield counts()
+    return (docs.select(F.col(text).alias("t")).filter("t IS NOT NULL")
+            .mapInPandas(count, "word string, n long, texts long")
+            .groupBy("word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")))
+
+
+def pair_counts(counted: DataFrame) -> DataFrame:
+    """``pair, n`` of all letter pairs; a word counts once per text that holds it."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = Counter()
+        for batch in batches:
+            for word, texts in zip(batch["word"], batch["texts"]):
+                w = _fold(word)
+                for i in range(len(w) - 1):
+                    pairs[w[i:i + 2]] += texts
+        yield pd.DataFrame({"pair": list(pairs), "n": list(pairs.values())}).astype({"pair": "object", "n": "int64"})
+    return (counted.select("word", "texts").mapInPandas(count, "pair string, n long")
+            .groupBy("pair").agg(F.sum("n").alias("n")))
+
+
+def learn_language(docs: DataFrame, text: str, most_words: int = 4000) -> Language:
+    """From all whole texts: the ``most_words`` most common words, then by the word itself, and the
+    letter pairs, whose number is bounded by the alphabets. Only these two tables reach the driver."""
+    counted = cut(word_counts(docs, text))
+    pairs = {r["pair"]: r["n"] for r in pair_counts(counted).collect()}
+    firsts = Counter()
+    for p, n in pairs.items():
+        firsts[p[0]] += n
     scores = {p: float(np.log2(n / firsts[p[0]])) for p, n in pairs.items() if n > 1}
-    # ties in the count are cut by the word itself, so the result does not depend on row order
-    common = sorted(words.items(), key=lambda x: (-x[1], x[0]))[:most_words]
-    return Language(frozenset(w for w, n in common if n > 1), scores)
+    common = (counted.filter((F.col("n") > 1) & F.col("word").rlike(r"^\p{L}{3,}$"))
+              .orderBy(F.desc("n"), "word").limit(most_words).collect())
+    return Language(frozenset(r["word"] for r in common), scores)
 
 
 def measure(text: str, start: int, end: int, language: Language) -> tuple[list[float], list[str], int | None]:
@@ -276,19 +320,18 @@ def labelled_findings(found: DataFrame, most_rows: int) -> pd.DataFrame:
 
 
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, id: str = "doc_id",
-                 text: str = "text", language_rows: int = 400,
-                 most_rows: int = 4000) -> tuple[DataFrame, SecretModel]:
+                 text: str = "text", most_rows: int = 4000) -> tuple[DataFrame, SecretModel]:
     """``(findings, model)``: id, ``start``, ``length`` (code points), ``digest``, ``probability``,
     ``is_secret`` of every candidate of every text.
 
     ``labelled`` has ``digest, label`` of reviewed findings; without it, findings whose form leaves
     no doubt are the labelled ones. The forest is fitted on at most ``most_rows`` of each label and
-    the language on ``language_rows`` texts; every candidate of all documents is judged. Null and
+    the language counted over all texts; every candidate of all documents is judged. Null and
     empty texts have none; repeated rows give repeated findings; null ids come back as null; an
     empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
-    language = learn_language(rows, "text", language_rows)
+    language = learn_language(rows, "text")
     found = cut(find(rows, language))
     reviewed = found
     if labelled is not None:

@@ -370,6 +370,23 @@ def test_unquoted_short_and_url_secrets(spark):
     assert "&page=2" in clean[1]
 
 
+def test_language_is_counted_over_all_whole_texts(spark, none):
+    texts = [f"plain{chr(97 + i % 26)} words" for i in range(900)] + ["x " * 11_000 + "zyrqwal zyrqwal", None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    language = secrets.learn_language(frame, "text")
+    words, pairs, firsts = Counter(), Counter(), Counter()
+    for t in texts:
+        found = (t or "").split()
+        words.update(found)
+        for w in set(found):
+            pairs.update(w[i:i + 2] for i in range(len(w) - 1))
+            firsts.update(w[:-1])
+    assert language.words == {w for w, n in words.items() if n > 1 and len(w) >= 3} and "zyrqwal" in language.words
+    assert language.pairs.keys() == {p for p, n in pairs.items() if n > 1}
+    assert all(np.isclose(x, np.log2(pairs[p] / firsts[p[0]])) for p, x in language.pairs.items())
+    assert secrets.learn_language(none, "text") == secrets.Language()
+
+
 def test_forest_on_held_out_rows():
     random = np.random.default_rng(1)
     x = random.normal(size=(800, 5))
