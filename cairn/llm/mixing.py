@@ -115,80 +115,99 @@ def classify(docs: DataFrame, model: Classifier, text: str = "text") -> DataFram
                       *[(F.col(f"_e_{d}") / total).alias(f"p_{d}") for d in names])
 
 
-def _rate(start: Column, posterior: list[Column], history: list[list[float]]) -> Column:
-    """From ``start``; every step moves against the errors and is projected to zero or more. The
-    steps are one literal, so the plan does not grow with them."""
-    if not history:
-        return start
-    steps = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in history])
-    return F.aggregate(steps, start, lambda rate, step: F.greatest(
-        F.lit(0.0), rate - sum((p * step[i] for i, p in enumerate(posterior)), F.lit(0.0))))
-
-
-def fit_rates(rows: DataFrame, domains: tuple[str, ...], weights: Mapping[str, float],
-              budget: float | str | None = None, tolerance: float = 1e-3, stored: int = 4):
-    """``(rate column, report)`` for rows with ``tokens`` and one posterior column per domain.
-
-    Minimizes ``sum over domains of (expected tokens - target)^2 / present tokens`` over nonnegative
-    rates by projected gradient steps. A step is scaled by the matrix of posterior products over the
-    rows with a positive rate, summed along with the totals, and halved while it does not lower the
-    objective; if no part of it does, a plain step of length one is taken, which always descends, as
-    posteriors sum to one. Each try is one distributed sum of a few numbers; after every ``stored``
-    steps the rates so far are written as a column. Stops when every target is met within
-    ``tolerance`` of the budget, or when the objective stops falling (by less than a thousandth of
-    what the tolerance stands for); the report says which. ``budget`` is the sum of the targets: by
-    default the present tokens; the name of a domain keeps that domain's tokens as they are.
+def _rate(start: Column, posterior: list[Column], history: list[list[float]], bound: float) -> Column:
+    """From ``start``; every step moves against the errors and is projected to 0 .. ``bound``. Each
+    step names the one before it once, so the expression grows by a few nodes per step."""
+    for step in history:
+        start = F.least(F.lit(bound), F.greatest(F.lit(0.0), start - sum(
+            (p * F.lit(float(x)) for p, x in zip(posterior, step)), F.lit(0.0))))
+    return start
+
+
+#: Step lengths tried in one sum: of the scaled step, and of the plain one.
+LENGTHS = ((4.0, 2.0, 1.0, 0.5, 0.25, 0.125), (8.0, 4.0, 2.0, 1.0))
+
+
+def fit(rows: DataFrame, domains: tuple[str, ...], weights: Mapping[str, float],
+        budget: float | str | None = None, tolerance: float = 1e-3, stored: int = 4,
+        bound: float = math.inf, stall: float = 1e-2, look: int = 3):
+    """``(rows with _r, steps, report)`` for rows with ``tokens`` and one posterior column per domain.
+
+    Minimizes ``sum over domains of (expected tokens - target)^2 / present tokens`` over rates from 0
+    to ``bound`` by projected gradient steps. A step is scaled by the matrix of posterior products
+    over the rows that are free to move (inside the bounds, or at one and led off it); all lengths of
+    it and of the plain step, which always descends as posteriors sum to one, are summed in one
+    aggregate, and the best is taken: two distributed sums of a few numbers per step. After every
+    ``stored`` steps the rates so far are written as a column, so no pass repeats an old step.
+
+    Ends when every target is met within ``tolerance`` of the budget, or when the last ``look`` steps
+    lowered the objective by less than ``look * stall`` of it, or no length lowers it. That rule is
+    relative, so targets out of reach end as soon as targets within. The report says whether they
+    were met, and how many steps and passes it took. ``budget`` is the sum of the targets: by default
+    the present tokens; the name of a domain keeps that domain's tokens as they are.
     """
     p = [F.col(f"p_{d}") for d in domains]
     k = len(domains)
-    products = [(i, j) for i in range(k) for j in range(i, k)]
     share = sum(weights.get(d, 0.0) for d in domains)
     wanted = np.array([weights.get(d, 0.0) / share for d in domains])
-    state = rows.select("tokens", *p, F.lit(1.0).alias("_r"))
-
-    def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        rated = state.withColumn("_r", _rate(F.col("_r"), p, steps))
-        live = F.when(F.col("_r") > 0, F.col("tokens")).otherwise(0)
-        got = np.array([x or 0.0 for x in rated.agg(
-            *[F.sum(q * F.col("tokens") * F.col("_r")) for q in p],
-            *[F.sum(p[i] * p[j] * live) for i, j in products]).first()])
-        matrix = np.zeros((k, k))
-        for (i, j), x in zip(products, got[k:]):
-            matrix[i, j] = matrix[j, i] = x
-        return got[:k], matrix
+    state = rows.withColumn("_r", F.lit(min(1.0, bound)))
+    steps: list[list[float]] = []
+    pending: list[list[float]] = []  # steps that the stored rates lack
+    passes = 0
+
+    def sums(columns: list[Column]) -> np.ndarray:
+        nonlocal passes
+        passes += 1
+        return np.array([x or 0.0 for x in state.withColumn("_r", _rate(F.col("_r"), p, pending, bound)).agg(
+            *[F.sum(c) for c in columns]).first()])
 
-    present, matrix = totals([])
+    expected = sums([q * F.col("tokens") * F.col("_r") for q in p] + [q * F.col("tokens") for q in p])
+    expected, present = expected[:k], expected[k:]
     some = present > 0
     size = float(present.sum()) if budget is None else (
         present[domains.index(budget)] / wanted[domains.index(budget)]
         if isinstance(budget, str) else float(budget))
-    target, expected = wanted * size, present
+    target = wanted * size
     cost = lambda e: float((((e - target) ** 2)[some] / present[some]).sum())
     far = lambda: bool((np.abs(expected - target)[some] > tolerance * size).any())
-    history: list[list[float]] = []
-    pending: list[list[float]] = []  # steps that the stored rates lack
-    scale = 1.0
+    costs = [cost(expected)]
     while far():
         error = np.where(some, expected - target, 0.0)
         plain = np.divide(error, present, out=np.zeros(k), where=some)
+        pull = sum((q * F.lit(float(x)) for q, x in zip(p, plain)), F.lit(0.0))
+        free = F.when(((F.col("_r") > 0) | (pull < 0)) & ((F.col("_r") < bound) | (pull > 0)), F.col("tokens")).otherwise(0)
+        upper = sums([p[i] * p[j] * free for i in range(k) for j in range(i, k)])
+        matrix = np.zeros((k, k))
+        matrix[np.triu_indices(k)] = upper
+        matrix += np.triu(matrix, 1).T
         full = np.linalg.pinv(matrix, rcond=1e-6, hermitian=True) @ error
-        for length in (scale, scale / 2, scale / 4, None):
-            step = (plain if length is None else length * full).tolist()
-            reached, around = totals([*pending, step])
-            fall = cost(expected) - cost(reached)
-            if fall > 1e-3 * tolerance ** 2 * size:
-                break
-        else:
+        tried = [(x * s).tolist() for lengths, s in zip(LENGTHS, (full, plain)) for x in lengths]
+        got = sums([q * F.col("tokens") * _rate(F.col("_r"), p, [t], bound) for t in tried for q in p])
+        reached = min(range(len(tried)), key=lambda i: cost(got[i * k:i * k + k]))
+        if cost(got[reached * k:reached * k + k]) >= costs[-1]:
             break
-        history.append(step)
-        pending.append(step)
-        expected, matrix, scale = reached, around, min(1.0, 2 * (length or scale / 8))
+        expected = got[reached * k:reached * k + k]
+        steps.append(tried[reached])
+        pending.append(tried[reached])
+        costs.append(cost(expected))
         if len(pending) == stored:
-            state, pending = cut(state.withColumn("_r", _rate(F.col("_r"), p, pending))), []
+            state, pending = cut(state.withColumn("_r", _rate(F.col("_r"), p, pending, bound))), []
+        if len(costs) > look and costs[-1 - look] - costs[-1] < look * stall * costs[-1 - look]:
+            break
     report = {"target": dict(zip(domains, target.tolist())),
               "expected": dict(zip(domains, expected.tolist())),
-              "present": dict(zip(domains, present.tolist())), "steps": len(history), "met": not far()}
-    return _rate(F.lit(1.0), p, history), report
+              "present": dict(zip(domains, present.tolist())),
+              "steps": len(steps), "passes": passes, "met": not far()}
+    return state.withColumn("_r", _rate(F.col("_r"), p, pending, bound)), steps, report
+
+
+def fit_rates(rows: DataFrame, domains: tuple[str, ...], weights: Mapping[str, float],
+              budget: float | str | None = None, tolerance: float = 1e-3, stored: int = 4,
+              bound: float = math.inf, stall: float = 1e-2):
+    """``(rate column, report)`` by ``fit``; the column needs the posteriors only."""
+    narrow = rows.select("tokens", *[f"p_{d}" for d in domains])
+    _, steps, report = fit(narrow, domains, weights, budget, tolerance, stored, bound, stall)
+    return _rate(F.lit(min(1.0, bound)), [F.col(f"p_{d}") for d in domains], steps, bound), report
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
@@ -200,12 +219,13 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], id: str = "doc_id",
-        text: str = "text", budget: float | str | None = None, **training):
+        text: str = "text", budget: float | str | None = None, bound: float = math.inf, **training):
     """``(rows, report)``: id, ``tokens``, ``p_<domain>`` and ``rate`` for each row of ``docs``.
 
     ``labelled`` has ``label_id, domain``; ``weights`` names the domains. ``rate`` is the expected
-    number of times a document is taken: expected domain totals ``sum(p * tokens * rate)`` meet the
-    targets, or come as near as nonnegative rates can (``report["met"]`` says which). A domain
+    number of times a document is taken, at most ``bound``: expected domain totals
+    ``sum(p * tokens * rate)`` meet the targets, or come as near as such rates can
+    (``report["met"]`` says which). A domain
     without tokens cannot be filled and is left out of the fit. Null and empty texts have zero
     tokens and a rate like any other; without usable labels all posteriors are equal; repeated rows
     and null ids are rated alike; an empty table gives no rows. Other columns are not read.
@@ -214,8 +234,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], id:
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     model = train(rows, labelled, domains, **training)
     narrow = cut(classify(rows, model).drop("text"))
-    rate, report = fit_rates(narrow, domains, weights, budget)
-    return narrow.withColumn("rate", rate).withColumnRenamed("id", id), report
+    rated, _, report = fit(narrow, domains, weights, budget, bound=bound)
+    return rated.withColumnsRenamed({"_r": "rate", "id": id}), report
 
 
 def copies(rate: Column, key: Column, snap: float = 0.1) -> Column:
@@ -228,14 +248,17 @@ def copies(rate: Column, key: Column, snap: float = 0.1) -> Column:
 
 def resample(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float],
              budget: float | str | None = None, text: str = "text", key: str = "doc_id",
-             **training) -> DataFrame:
-    """``docs`` with each row as often as its rate says; the columns stay. Rows are written once with
-    their posteriors: the fit reads only those columns, and the rate is computed from stored numbers
-    (a filter on it would otherwise repeat the classifier for every place a posterior stands in)."""
+             bound: float = math.inf, **training) -> DataFrame:
+    """``docs`` with each row as often as its rate says; the columns stay. A rate over 1 takes a row
+    more than once; with a ``bound`` of 1 no row is repeated. Null and empty texts are rated like any
+    other; an empty table gives no rows.
+
+    Rows are written once with their posteriors. The fit reads and rewrites only those numbers; the
+    few steps are applied to each row once at the end, which spares a join of whole rows."""
     domains = tuple(weights)
     plain = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     model = train(plain, labelled, domains, **training)
     rows = cut(classify(docs.select(F.struct("*").alias("row")), model, f"row.{text}"))
-    rate, _ = fit_rates(rows, domains, weights, budget)
-    return (rows.withColumn("n", copies(rate, F.col("row"))).filter("n > 0")
-            .withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*"))
+    rate, _ = fit_rates(rows, domains, weights, budget, bound=bound)
+    taken = rows.select("row", copies(rate, F.col("row")).alias("n"))
+    return taken.select(F.explode(F.array_repeat("row", F.col("n"))).alias("row")).select("row.*")

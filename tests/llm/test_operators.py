@@ -433,6 +433,26 @@ def test_overlapping_posteriors_meet_their_targets(spark):
     assert report["expected"]["a"] > report["target"]["a"] / 2
 
 
+@pytest.mark.parametrize("bound", [1.0, float("inf")])
+def test_targets_out_of_reach_end_after_few_passes(spark, bound):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet((2.0, 0.2, 0.1), 4000)
+    tokens = rng.integers(1, 2000, 4000)
+    frame = spark.createDataFrame([(int(t), *map(float, r)) for t, r in zip(tokens, p)],
+                                  "tokens long, p_a double, p_b double, p_c double")
+    rate, report = mixing.fit_rates(frame, ("a", "b", "c"), {"a": 1.0, "b": 0.0, "c": 0.0}, budget="a", bound=bound)
+    assert not report["met"] and report["passes"] <= 60
+    taken = np.array([r["r"] for r in frame.select(rate.alias("r")).collect()])
+    assert taken.min() >= 0 and taken.max() <= bound
+    present = (p * tokens[:, None]).sum(axis=0)
+    target = np.array([present[0], 0, 0])
+    cost = lambda r: (((p * (tokens * r)[:, None]).sum(axis=0) - target) ** 2 / present).sum()
+    best = np.ones(4000)  # a long run of plain steps
+    for _ in range(20_000):
+        best = np.clip(best - p @ (((p * (tokens * best)[:, None]).sum(axis=0) - target) / present), 0, bound)
+    assert (np.sqrt(cost(taken)) - np.sqrt(cost(best))) <= 5e-3 * np.sqrt(present[0])
+
+
 @pytest.mark.parametrize("name", sorted(catalog.sql))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
