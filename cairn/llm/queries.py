@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import (embeddings, licenses, mixing, packing, quality, secrets, shards, simhash,
-                       substrings, warc)
+from cairn.llm import (audit, embeddings, licenses, mixing, packing, prefixes, quality, secrets, shards,
+                       simhash, substrings, warc)
 from cairn.plans.catalog import Catalog
 from cairn.session import configure
 
@@ -109,3 +109,83 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return findings
+
+
+@catalog.add("""
+WITH said AS (
+    SELECT conv_id AS c, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS turn,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(turn ORDER BY k) AS turns FROM said GROUP BY c),
+hashed AS (
+    SELECT c, turns, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(
+        list_transform(string_split(c::VARCHAR, ''), lambda x:
+            [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END),
+        4294967295::BIGINT) % 9 AS h
+    FROM own),
+whole AS (
+    SELECT a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS seq
+    FROM hashed a LEFT JOIN own b ON b.c = a.base),
+members AS (
+    SELECT c, d, len(seq) AS depth_of_c, md5(to_json(seq[1:d])::VARCHAR) AS name,
+        CASE WHEN d > 0 THEN md5(to_json(seq[1:d - 1])::VARCHAR) END AS up,
+        CASE WHEN d > 0 THEN strlen(seq[d].t) ELSE 0 END AS bytes
+    FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM whole)),
+nodes AS (
+    SELECT name, d, min(c) AS conv_id, count(*) AS n, any_value(up) AS up, any_value(bytes) AS bytes,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth_of_c = d), '')) AS ends
+    FROM members GROUP BY name, d),
+kids AS (SELECT up, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+lines AS (
+    SELECT DISTINCT a.name AS top, b.name AS low FROM members a JOIN members b ON a.c = b.c AND a.d <= b.d),
+sums AS (
+    SELECT top, count(*) FILTER (kids.n IS NULL) AS leaves, sum((nodes.n - 1) * bytes) AS saved
+    FROM lines JOIN nodes ON nodes.name = low LEFT JOIN kids ON kids.up = low GROUP BY top)
+SELECT nodes.conv_id, nodes.d::BIGINT AS depth, parent.conv_id AS parent_conv_id, nodes.n AS n_convs,
+    coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes JOIN sums ON sums.top = nodes.name LEFT JOIN kids ON kids.up = nodes.name
+LEFT JOIN nodes parent ON parent.name = nodes.up""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@catalog.add(r"""
+WITH read AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+flags AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+        + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 16 ELSE 0 END AS mask
+    FROM read LEFT JOIN flags USING (doc_id)),
+counted AS (SELECT part, mask, good, toxic, count(*) AS n FROM judged GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+        AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (
+    SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+    FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+report AS (
+    SELECT part, filter_order, own, step::INT AS step,
+        sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN mask & before > 0 AND mask & own > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN good AND mask & before = 0 AND mask & own > 0 THEN n ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN toxic AND mask & before = 0 AND mask & own > 0 THEN n ELSE 0 END)::BIGINT AS toxic_lost
+    FROM counted, steps GROUP BY ALL),
+shares AS (SELECT part, own, sum(removed)::BIGINT AS shapley FROM report GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley
+FROM report JOIN shares USING (part, own)""")
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
