@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import (audit, embeddings, licenses, mixing, packing, prefixes, quality, secrets, shards,
-                       simhash, substrings, warc)
+                       simhash, substrings, suffixes, warc)
 from cairn.plans.catalog import Catalog
 from cairn.session import configure
 
@@ -189,3 +189,29 @@ FROM report JOIN shares USING (part, own)""")
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+@catalog.add("""
+WITH src AS (
+    SELECT doc_id, encode(coalesce(text, '')) AS body, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (
+    SELECT doc_id, h, unnest(range(0, (length(h) // 2) // 1000 + 1)) AS k FROM src),
+cuts AS (SELECT doc_id, k * 1000 AS base, substring(h, 1 + 2000 * k, 2098) AS part FROM pieces),
+windows AS (
+    SELECT doc_id, base + j AS pos, unhex(substring(part, 1 + 2 * j, 100)) AS piece
+    FROM (SELECT doc_id, base, part, unnest(range(0, least(1000, length(part) // 2 - 49))) AS j FROM cuts)),
+firsts AS (SELECT piece, min(doc_id) AS least FROM windows GROUP BY piece),
+hits AS (SELECT doc_id, pos FROM windows JOIN firsts USING (piece) WHERE least < doc_id),
+runs AS (
+    SELECT doc_id, min(pos) AS a, max(pos) + 50 AS b FROM (
+        SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (
+            SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS fresh
+            FROM hits))
+    GROUP BY doc_id, run),
+gone AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM runs GROUP BY doc_id)
+SELECT src.doc_id, octet_length(body)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+    sha256(CASE WHEN n IS NULL THEN body ELSE unhex(array_to_string(list_transform(range(1, len(a) + 2), lambda i:
+        substring(h, 1 + 2 * coalesce(b[i - 1], 0), 2 * (coalesce(a[i], octet_length(body)) - coalesce(b[i - 1], 0)))), '')) END) AS kept_sha256
+FROM src LEFT JOIN gone ON gone.doc_id = src.doc_id""")
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
