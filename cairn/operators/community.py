@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn import fixed_values as fv
 from cairn.functions import text
 from cairn.functions.columns import round_to
+from cairn.operators.election import elect
 from cairn.operators.filters import guard_actor
 from cairn.operators.ordered import previous_row, running_totals
 from cairn.session import cut
@@ -43,38 +44,12 @@ def flag_duplicates(submissions: DataFrame,
     """Adds ``duplicate``: an accepted earlier row has the same name and lies within the band.
 
     A row is accepted if no accepted earlier row matches it, which is leader election again; equal
-    positions of one name are folded first, and only cells of side ``degrees`` are compared.
+    positions of one name are folded first.
     """
     keyed = submissions.withColumn("_name", F.lower("name"))
-    sites = cut(keyed.where("_name <> ''").groupBy("_name", "lat", "lng").agg(
-        F.min("ord").alias("ord")).withColumns({
-            "_y": F.floor(F.col("lat") / degrees), "_x": F.floor(F.col("lng") / degrees)}))
-    around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda dy: F.transform(
-        F.sequence(F.lit(-1), F.lit(1)), lambda dx: F.struct(dy.alias("dy"), dx.alias("dx"))))))
-    apart = (F.abs(F.col("lat") - F.col("c_lat")) < degrees) & (
-        F.abs(F.col("lng") - F.col("c_lng")) < degrees)
-
-    def reach(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_d", around).select(
-            F.col("ord").alias("c_ord"), F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"),
-            "_name", (F.col("_y") + F.col("_d.dy")).alias("_y"),
-            (F.col("_x") + F.col("_d.dx")).alias("_x"))
-
-    cell = ["_name", "_y", "_x"]
-    undecided, leaders = sites, None
-    while True:
-        first = undecided.groupBy(*cell).agg(F.min_by(F.struct("ord", "lat", "lng"), "ord")
-                                             .alias("p")).select(*cell, "p.*")
-        blocked = undecided.join(reach(first), cell).where(
-            (F.col("ord") < F.col("c_ord")) & apart).select(F.col("c_ord").alias("ord")).distinct()
-        elected = cut(first.join(blocked, "ord", "left_anti"))
-        decided = undecided.join(reach(elected), cell).where(apart).select("ord").distinct()
-        undecided = cut(undecided.join(decided, "ord", "left_anti"))
-        leaders = elected if leaders is None else leaders.unionByName(elected)
-        if undecided.isEmpty():
-            break
-    kept = leaders.select("ord", F.lit(False).alias("_dup"))
-    joined = keyed.join(kept, "ord", "left")
+    sites = keyed.where("_name <> ''").groupBy("_name", "lat", "lng").agg(F.min("ord").alias("ord"))
+    leaders = elect(sites.withColumnRenamed("_name", "name"), degrees, degrees=True).where("leads")
+    joined = keyed.join(leaders.select("ord", F.lit(False).alias("_dup")), "ord", "left")
     return joined.withColumn("duplicate", (F.col("_name") != "") & F.coalesce(
         F.col("_dup"), F.lit(True))).select(*submissions.columns, "duplicate")
 

@@ -1,8 +1,9 @@
-"""Running totals and previous-row lookups that stay balanced when one key owns most rows.
+"""Running totals, previous rows and ranks that stay balanced when one key owns most rows.
 
-A plain window sends all rows of a key to one task. Here a key is cut into time blocks: windows run
-inside (key, block), one small row per block carries the state across blocks, and the window over
-those rows sees only the blocks of a key, never its events.
+A plain window sends all rows of a key to one task. Here the rows are dealt into ranges of
+(key, order), about equal in rows whatever the keys and times are: windows run inside (key, range),
+and one small row per key and range carries the state on, so a window across ranges sees at most as
+many rows of a key as there are ranges.
 """
 
 from __future__ import annotations
@@ -12,50 +13,69 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# a key that owns a third of a month of events has 43 200 blocks of a minute: small blocks for the
-# windows inside, and still few rows for the window across
-BLOCK_UNIT = "minute"
+from cairn.session import cut
 
 
-def _blocked(rows: DataFrame, ts: str, unit: str) -> DataFrame:
-    return rows.withColumn("_block", F.date_trunc(unit, F.col(ts)))
+def in_ranges(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
+              ranges: int | None = None) -> DataFrame:
+    """Rows with the number of their range, ascending in (keys, order), as a stored table.
+
+    Stored, since range bounds are sampled and every reader has to see the same ones. ``ranges``
+    defaults to the session's shuffle partitions; AQE then folds small ranges.
+    """
+    columns = [*keys, *order]
+    dealt = rows.repartitionByRange(ranges, *columns) if ranges else rows.repartitionByRange(*columns)
+    return cut(dealt.withColumn("_range", F.spark_partition_id()))
+
+
+def _before(blocks: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Per (key, range) the sums of all earlier ranges, as ``_c_<name>``.
+
+    Without keys there is one row per range; each is added to the later ones by a grouped sum, as a
+    window over all rows would run in one task.
+    """
+    if keys:
+        earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
+            Window.unboundedPreceding, -1)
+        return blocks.select(*keys, "_range", *[
+            F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in names])
+    last = blocks.agg(F.max("_range")).first()[0] or 0
+    later = blocks.withColumn("_to", F.explode(F.sequence(F.col("_range"), F.lit(last))))
+    own = F.col("_to") == F.col("_range")
+    return later.groupBy(F.col("_to").alias("_range")).agg(*[
+        F.sum(F.when(own, 0).otherwise(F.col(f"_b_{n}"))).alias(f"_c_{n}") for n in names])
 
 
 def running_totals(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   values: Mapping[str, Column], unit: str = BLOCK_UNIT) -> DataFrame:
-    """Adds inclusive running sums of ``values`` per key; ``order[0]`` must be the timestamp.
+                   values: Mapping[str, Column], ranges: int | None = None) -> DataFrame:
+    """Adds inclusive running sums of ``values`` per key (no keys: over all rows).
 
     ``order`` must identify a row within its key, so that the running order is total.
     """
-    blocked = _blocked(rows, order[0], unit).withColumns(
-        {f"_v_{name}": value for name, value in values.items()})
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(
+    dealt = in_ranges(rows.withColumns({f"_v_{name}": value for name, value in values.items()}),
+                      keys, order, ranges)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocked.groupBy(*keys, "_block").agg(
+    blocks = dealt.groupBy(*keys, "_range").agg(
         *[F.sum(f"_v_{name}").alias(f"_b_{name}") for name in values])
-    carried = blocks.select(*keys, "_block", *[
-        F.coalesce(F.sum(f"_b_{name}").over(before), F.lit(0)).alias(f"_c_{name}")
-        for name in values])
-    summed = blocked.withColumns({f"_s_{name}": F.sum(f"_v_{name}").over(inside)
-                                  for name in values})
-    joined = summed.join(carried, [*keys, "_block"])
+    summed = dealt.withColumns({f"_s_{name}": F.sum(f"_v_{name}").over(inside) for name in values})
+    joined = summed.join(_before(blocks, keys, list(values)), [*keys, "_range"])
     return joined.select(*rows.columns, *[
         (F.col(f"_s_{name}") + F.col(f"_c_{name}")).alias(name) for name in values])
 
 
 def previous_row(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
                  fields: Sequence[str], name: str = "previous",
-                 unit: str = BLOCK_UNIT) -> DataFrame:
+                 ranges: int | None = None) -> DataFrame:
     """Adds struct ``name`` with the previous row's ``fields`` per key, null on the first row."""
-    blocked = _blocked(rows, order[0], unit)
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy("_block")
-    ends = blocked.groupBy(*keys, "_block").agg(
+    dealt = in_ranges(rows, keys, order, ranges)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy("_range")
+    ends = dealt.groupBy(*keys, "_range").agg(
         F.max_by(F.struct(*fields), F.struct(*order)).alias("_end"))
-    carried = ends.select(*keys, "_block", F.lag("_end").over(across).alias("_carried"))
-    lagged = blocked.withColumn("_lag", F.lag(F.struct(*fields)).over(inside))
-    joined = lagged.join(carried, [*keys, "_block"])
+    carried = ends.select(*keys, "_range", F.lag("_end").over(across).alias("_carried"))
+    lagged = dealt.withColumn("_lag", F.lag(F.struct(*fields)).over(inside))
+    joined = lagged.join(carried, [*keys, "_range"])
     return joined.select(*rows.columns, F.coalesce("_lag", "_carried").alias(name))
 
 
@@ -80,20 +100,12 @@ def trailing_count(rows: DataFrame, keys: Sequence[str], ts: str, seconds: int,
 def descending_rank(rows: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """Adds the competition rank by descending ``value`` over all rows.
 
-    Ranks come from the counts per distinct value, folded into ranges first, so no task sees more
-    than one range of distinct values; rows are never collected into one partition.
+    Equal values are counted first; the running totals of the counts over ranges of the values give
+    the ranks. No window and no exchange brings all values together.
     """
-    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = counts.withColumn("_range", F.floor(F.col(value) / 1000))
-    totals = ranged.groupBy("_range").agg(F.sum("_n").alias("_range_n"))
-    above = totals.withColumn("_above", F.coalesce(F.sum("_range_n").over(
-        Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0))).select("_range", "_above")
-    inside = Window.partitionBy("_range").orderBy(F.col(value).desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    ranks = ranged.join(above, "_range").select(value, (
-        F.lit(1) + F.col("_above") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias(name))
-    return rows.join(ranks, value)
+    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_down", -F.col(value))
+    ranked = running_totals(counts, [], ["_down"], {"_upto": F.col("_n")})
+    return rows.join(ranked.select(value, (F.col("_upto") - F.col("_n") + 1).alias(name)), value)
 
 
 def day_runs(days: DataFrame, key: str, day: str = "day") -> DataFrame:

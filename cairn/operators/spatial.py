@@ -10,37 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import geo
+from cairn.operators.cells import cell_degrees_for, expand_reach, expand_to_cells
+from cairn.operators.election import elect
 from cairn.session import cut
 
 BOX_CELL_DEGREES = 0.05
 
 
-def cell_degrees_for(radius_m: float) -> float:
-    """Cell height such that a circle of this radius touches about nine cells."""
-    return radius_m / 111_000.0
-
-
-def expand_to_cells(rows: DataFrame, size: float, box: str | None = None,
-                    cell: str = "_cell") -> DataFrame:
-    """One row per join cell that the row's box touches (columns, or fields of struct ``box``).
-
-    Two plain explodes, rows then columns of cells, which stay in generated code.
-    """
-    side = (lambda name: F.col(f"{box}.{name}")) if box else F.col
-    by_row = rows.withColumn("_row", F.explode(geo.cell_rows(side("south"), side("north"), size)))
-    sized = by_row.withColumn("_cells", geo.row_cells("_row", size))
-    by_cell = sized.withColumn("_column", F.explode(geo.cell_columns(
-        side("west"), side("east"), "_cells")))
-    return by_cell.withColumn(cell, geo.cell_id("_row", "_column", "_cells")).drop(
-        "_row", "_cells", "_column")
-
-
-def expand_reach(rows: DataFrame, lat: str, lng: str, radius_m: Column, size: float) -> DataFrame:
-    """One row per join cell that can hold a point within the radius."""
-    boxed = rows.withColumn("_box", geo.reach_box(lat, lng, radius_m))
-    return expand_to_cells(boxed, size, "_box").drop("_box")
-
-
 def box_join(queries: DataFrame, points: DataFrame, *, lat: str = "lat", lng: str = "lng",
              cell_degrees: float = BOX_CELL_DEGREES) -> DataFrame:
     """Rows of ``queries`` (with south, west, north, east) joined to the points in their box."""
@@ -130,38 +106,16 @@ def leader_sites(points: DataFrame, threshold_m: float) -> DataFrame:
     """Greedy leader clustering of (ord, lat, lng) in ``ord`` order: (lat, lng, leader).
 
     Going through the rows in order, a row joins the first leader closer than the threshold or
-    becomes a leader itself. In parallel: a row without an undecided smaller neighbour is a leader
-    and its neighbours are decided; repeat on the rest.
-
-    Work stays linear in the rows however crowded a spot is: equal positions are folded (they
-    always share a leader), each round tests only the first undecided row of every small cell, and
-    leaders are a threshold apart, so a cell sees a bounded number of candidates and leaders.
+    becomes a leader itself. Equal positions are folded, as they always share a leader; ``election``
+    finds the leaders in a few rounds, and as leaders lie a threshold apart, a cell of the last join
+    meets a bounded number of them, however crowded a spot is.
     """
     size = cell_degrees_for(threshold_m)
-    sites = cut(points.groupBy("lat", "lng").agg(F.min("ord").alias("ord"))
-                .withColumn("_cell", geo.join_cell("lat", "lng", size)))
-
-    def reach(rows: DataFrame) -> DataFrame:
-        named = rows.select(F.col("ord").alias("c_ord"), F.col("lat").alias("c_lat"),
-                            F.col("lng").alias("c_lng"))
-        return expand_reach(named, "c_lat", "c_lng", F.lit(threshold_m), size)
-
-    close = geo.haversine_m("lat", "lng", "c_lat", "c_lng") < threshold_m
-    undecided, leaders = sites, None
-    while True:
-        first = undecided.groupBy("_cell").agg(
-            F.min_by(F.struct("ord", "lat", "lng"), "ord").alias("p")).select("p.*")
-        blocked = undecided.join(reach(first), "_cell").where(
-            (F.col("ord") < F.col("c_ord")) & close).select(F.col("c_ord").alias("ord")).distinct()
-        elected = first.join(blocked, "ord", "left_anti")
-        decided = undecided.join(reach(elected), "_cell").where(close).groupBy("ord").agg(
-            F.max(F.col("ord") == F.col("c_ord")).alias("leads"))
-        state = cut(undecided.join(decided, "ord", "left"))
-        elected = state.where("leads").drop("leads")
-        undecided = state.where("leads IS NULL").drop("leads")
-        leaders = elected if leaders is None else leaders.unionByName(elected)
-        if undecided.isEmpty():
-            break
-    return cut(sites.join(reach(leaders), "_cell").where(
-        (F.col("c_ord") <= F.col("ord")) & close).groupBy("lat", "lng").agg(
+    sites = cut(points.groupBy("lat", "lng").agg(F.min("ord").alias("ord")))
+    leaders = elect(sites, threshold_m).where("leads").select(
+        F.col("ord").alias("c_ord"), F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"))
+    reach = expand_reach(leaders, "c_lat", "c_lng", F.lit(threshold_m), size)
+    near = geo.haversine_m("lat", "lng", "c_lat", "c_lng") < threshold_m
+    return cut(sites.withColumn("_cell", geo.join_cell("lat", "lng", size)).join(reach, "_cell").where(
+        (F.col("c_ord") <= F.col("ord")) & near).groupBy("lat", "lng").agg(
         F.min("c_ord").alias("leader")))

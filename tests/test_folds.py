@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import (admission, changes, community, fusion, gamify, journal, ordered,
+from cairn.operators import (admission, changes, community, election, fusion, gamify, journal, ordered,
                              spatial)
 from tests.test_geo import haversine
 
@@ -40,6 +40,31 @@ def test_leader_clusters(spark, seed, count, spread):
     assert got == want
 
 
+@pytest.mark.parametrize("tile_rows", [5, 40, 400])
+def test_election_is_the_same_with_any_tiles(spark, tile_rows):
+    rng = random.Random(4)
+    rows = [(i, 42 + rng.uniform(0, .02), 19 + rng.uniform(0, .02)) for i in range(400)]
+    rows += [(400 + i, 60 + i * .0003, 5.0) for i in range(150)]  # a trail, each near the next only
+    rng.shuffle(rows)
+    rows = [(i, lat, lng) for i, (_, lat, lng) in enumerate(rows)]
+    want = greedy(rows, lambda a, b: haversine(a[1], a[2], b[1], b[2]) < 50)
+    points = spark.createDataFrame(rows, "ord bigint, lat double, lng double")
+    got = election.elect(points, 50.0, tile_rows=tile_rows).where("leads")
+    assert {r["ord"] for r in got.collect()} == set(want.values())
+
+
+def test_a_long_trail_in_order_takes_few_jobs(spark):
+    n = 100_000
+    points = spark.range(n).select(F.col("id").alias("ord"), (F.lit(-30.0) + F.col("id") * .0003).alias("lat"),
+                                   F.lit(11.0).alias("lng"))
+    group = f"trail-{n}"
+    spark.sparkContext.setJobGroup(group, "leaders of a trail")
+    leaders = {r["ord"] for r in election.elect(points, 50.0, tile_rows=60_000).where("leads").collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert leaders == set(range(0, n, 2)) and jobs < 20
+
+
 def test_leaders_across_the_date_line(spark):
     rows = [(0, 0.0, 179.9999), (1, 0.0, -179.9999), (2, 0.0, 179.99)]
     points = spark.createDataFrame(rows, "ord bigint, lat double, lng double")
@@ -194,13 +219,33 @@ def test_running_and_previous_with_a_hot_key(spark):
     for k, s, n, v in sorted(rows, key=lambda r: (r[1], r[2])):
         total[k] += v
         want_sum[n], want_prev[n], last[k] = total[k], last.get(k), n
-    for unit in ("hour", "minute", "day"):
-        sums = ordered.running_totals(frame, ["k"], ["ts", "ord"], {"t": F.col("v")}, unit)
+    for ranges in (None, 7, 40):
+        sums = ordered.running_totals(frame, ["k"], ["ts", "ord"], {"t": F.col("v")}, ranges)
         assert {r["ord"]: r["t"] for r in sums.collect()} == want_sum
-        prev = ordered.previous_row(frame, ["k"], ["ts", "ord"], ["ord"], "p", unit)
+        prev = ordered.previous_row(frame, ["k"], ["ts", "ord"], ["ord"], "p", ranges)
         assert {r["ord"]: r["p"] and r["p"]["ord"] for r in prev.collect()} == want_prev
 
 
+def test_a_million_rows_of_one_minute_spread(spark):
+    moment = F.timestamp_seconds(F.lit(T0) + F.col("id") % 60)
+    frame = spark.range(1_000_000).select(F.lit(7).alias("k"), moment.alias("ts"),
+                                          F.col("id").alias("ord"), (F.col("id") % 3).alias("v"))
+    sizes = ordered.in_ranges(frame, ["k"], ["ts", "ord"], 16).groupBy("_range").count().collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) < 3 * 1_000_000 / 16
+    sums = ordered.running_totals(frame, ["k"], ["ts", "ord"], {"t": F.col("v")}, 16)
+    want = sums.agg(F.max("t").alias("t"), F.count_distinct("ord").alias("n")).first()
+    assert (want["t"], want["n"]) == (sum(i % 3 for i in range(1_000_000)), 1_000_000)
+    # the sum up to a row does not depend on the number of ranges
+    again = ordered.running_totals(frame, ["k"], ["ts", "ord"], {"t": F.col("v")}, 3)
+    assert sums.exceptAll(again.select(sums.columns)).isEmpty()
+
+
+def test_rank_has_no_single_partition(spark):
+    frame = spark.range(5000).select((F.col("id") % 1700).alias("v"))
+    text = ordered.descending_rank(frame, "v")._jdf.queryExecution().toString()
+    assert "SinglePartition" not in text
+
+
 def test_trailing_count_and_rank(spark):
     rng = random.Random(9)
     rows = [(rng.randrange(2), T0 + rng.randrange(300), i, rng.randrange(3000)) for i in range(200)]
