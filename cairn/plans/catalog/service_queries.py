@@ -235,6 +235,11 @@ def unexpired_entries(spark, sf_dir):
 _DEC = "regexp_replace(printf('%.2f', {0}), '0$', '')"
 _DATE = "strftime({0}, '%Y-%m-%d %H:%M:%S') || '+00:00'"
 _STARS = "repeat('⭐', round_even(average, 0)::INTEGER)"
+_PARTS = """,
+cuts AS (SELECT trip_id, string_split(content, chr(10)) AS l FROM whole),
+parts AS (SELECT trip_id, l, unnest(range(0, (len(l) - 1) // 1000 + 1)) AS part FROM cuts)
+SELECT trip_id, part::BIGINT AS part,
+  md5(array_to_string(l[part * 1000 + 1:part * 1000 + 1000], chr(10))) AS content_hash FROM parts"""
 _REPORT = """heads AS (SELECT t.*, coalesce(c.total_visited, 0) AS places,
   coalesce(p.total_distance_km, 0e0) AS km, coalesce(c.total_hours, 0e0) AS hours
   FROM trips t LEFT JOIN counts c USING (trip_id) LEFT JOIN path p USING (trip_id)),
@@ -252,13 +257,13 @@ place_text AS (SELECT v.trip_id, string_agg('- **' || coalesce(v.place_name, v.p
     || CASE WHEN r.text <> '' THEN chr(10) || '  > ' || r.text ELSE '' END
     || CASE WHEN r.average > 0 THEN chr(10) || '  Rating: ' || {_STARS} || ' ('
       || {_DEC.format('average')} || '/5)' ELSE '' END, chr(10) ORDER BY v.visited_at, v.ord) AS p
-  FROM visits v LEFT JOIN rated r ON r.visit_id = v.id GROUP BY v.trip_id)
-SELECT trip_id, 0::BIGINT AS part, md5('# 🌍 ' || name || chr(10) || chr(10) || '**Region:** ' || region
+  FROM visits v LEFT JOIN rated r ON r.visit_id = v.id GROUP BY v.trip_id),
+whole AS (SELECT trip_id, '# 🌍 ' || name || chr(10) || chr(10) || '**Region:** ' || region
   || chr(10) || '**Dates:** ' || {_DATE.format('start_date')} || ' — ' || {_DATE.format('end_date')}
   || chr(10) || '**Places visited:** ' || places || chr(10) || '**Distance:** ' || {_DEC.format('km')}
   || ' km' || chr(10) || '**Time:** ' || {_DEC.format('hours')} || ' hours' || chr(10) || chr(10)
-  || coalesce(b, '') || '## 📍 Places' || chr(10) || p || chr(10)) AS content_hash
-FROM heads LEFT JOIN best_text USING (trip_id) JOIN place_text USING (trip_id)""")
+  || coalesce(b, '') || '## 📍 Places' || chr(10) || p || chr(10) AS content
+FROM heads LEFT JOIN best_text USING (trip_id) JOIN place_text USING (trip_id)){_PARTS}""")
 def trip_markdown(spark, sf_dir):
     """SK-4, D-6."""
     seen, written = td.visits(spark, sf_dir), td.notes(spark, sf_dir)
@@ -280,8 +285,8 @@ place_text AS (SELECT v.trip_id, string_agg('<h3>' || coalesce(v.place_name, v.p
       || '</blockquote>' ELSE '' END
     || CASE WHEN r.average > 0 THEN chr(10) || '<p class=''rating''>' || {_STARS} || ' ('
       || {_DEC.format('average')} || '/5)</p>' ELSE '' END, chr(10) ORDER BY v.visited_at, v.ord) AS p
-  FROM visits v LEFT JOIN rated r ON r.visit_id = v.id GROUP BY v.trip_id)
-SELECT trip_id, md5('<!DOCTYPE html>' || chr(10) || '<html lang="en">' || chr(10) || '<head>' || chr(10)
+  FROM visits v LEFT JOIN rated r ON r.visit_id = v.id GROUP BY v.trip_id),
+whole AS (SELECT trip_id, '<!DOCTYPE html>' || chr(10) || '<html lang="en">' || chr(10) || '<head>' || chr(10)
   || '<meta charset="UTF-8">' || chr(10) || '<title>' || {_ESC.format('name')} || ' — cairn</title>'
   || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '<h1>🌍 ' || {_ESC.format('name')}
   || '</h1>' || chr(10) || '<div class="meta">' || chr(10)
@@ -291,14 +296,14 @@ SELECT trip_id, md5('<!DOCTYPE html>' || chr(10) || '<html lang="en">' || chr(10
   || '<p><strong>Distance:</strong> ' || {_DEC.format('km')} || ' km</p>' || chr(10)
   || '<p><strong>Time:</strong> ' || {_DEC.format('hours')} || ' hours</p>' || chr(10) || '</div>'
   || chr(10) || coalesce(b, '') || '<h2>📍 Places</h2>' || chr(10) || p || chr(10) || '</body>'
-  || chr(10) || '</html>') AS content_hash
-FROM heads LEFT JOIN best_text USING (trip_id) JOIN place_text USING (trip_id)""")
+  || chr(10) || '</html>' AS content
+FROM heads LEFT JOIN best_text USING (trip_id) JOIN place_text USING (trip_id)){_PARTS}""")
 def trip_html(spark, sf_dir):
     """SK-5, ST-11."""
     seen, written = td.visits(spark, sf_dir), td.notes(spark, sf_dir)
     docs = trip_export.html(td.trips(spark, sf_dir), seen, written,
                             journal.trip_summary(seen, written))
-    return docs.select("trip_id", F.md5("content").alias("content_hash"))
+    return docs.select("trip_id", "part", F.md5("content").alias("content_hash"))
 
 
 @catalog.add(q.with_ctes(q.VISITS, q.TRIPS) + """

@@ -77,8 +77,8 @@ def matches(requests: DataFrame, catalogue: DataFrame, excluded: DataFrame | Non
     if excluded is not None:
         hits = hits.join(excluded.select("request_id", F.col("place_id").alias("id")),
                          ["request_id", "id"], "left_anti")
-    return hits.select("request_id", "ord", "id", "name", "categories", "confidence", "exact_m",
-                       round_to("exact_m", 1).alias("distance_m"))
+    return hits.select("request_id", "ord", "id", "lat", "lng", "name", "categories", "confidence",
+                       "exact_m", round_to("exact_m", 1).alias("distance_m"))
 
 
 def encode_cursor(offset: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import geo
@@ -10,11 +10,9 @@ from cairn.functions.columns import strings
 from cairn.operators import routes as ops
 from cairn.plans import discovery
 
-CANDIDATES = 200
-
 # request columns: route_id, o_lat, o_lng, d_lat, d_lng (null: circular), mode,
 # max_duration_hours, categories, corridor_width_km, max_waypoints, optimize, surprise_mode,
-# and radius_km for explore routes
+# max_candidates (null: all), and radius_km for explore routes
 
 
 def _search_requests(requests: DataFrame, explore: bool) -> DataFrame:
@@ -30,17 +28,31 @@ def _search_requests(requests: DataFrame, explore: bool) -> DataFrame:
 
 
 def candidates(requests: DataFrame, catalogue: DataFrame, excluded: DataFrame | None = None,
-               explore: bool = False, most: int = CANDIDATES) -> DataFrame:
-    """The best ``most`` places of each route's search area, with their details."""
-    found = discovery.page(discovery.matches(_search_requests(requests, explore), catalogue,
-                                             excluded), "confidence", most)
-    details = catalogue.select("ord", "description", "photos", "lat", "lng", "metadata")
-    return found.select(F.col("request_id").alias("route_id"), "position", "ord", "id", "name",
-                        "categories").join(details, "ord")
+               explore: bool = False) -> DataFrame:
+    """Places of each route's search area that lie in its corridor, best first, with details.
+
+    The corridor is part of the search: places are ranked inside it, and ``max_candidates`` of the
+    request (null: all) cuts last, so a place off the line never takes the room of one near it. If
+    every request has a bound, the largest goes into the window, which then drops rows early.
+    """
+    found = discovery.matches(_search_requests(requests, explore), catalogue, excluded) \
+        .withColumnRenamed("request_id", "route_id")
+    if not explore:
+        found = in_corridor(requests, found)
+    order = Window.partitionBy("route_id").orderBy(F.col("confidence").desc(), "ord")
+    ranked = found.withColumn("position", F.row_number().over(order))
+    most = requests.agg(F.when(F.count_if(F.col("max_candidates").isNull()) == 0, F.max("max_candidates"))).first()[0]
+    if most is not None:
+        ranked = ranked.where(F.col("position") <= int(most))
+    limits = requests.select("route_id", "max_candidates")
+    kept = ranked.join(limits, "route_id").where(
+        F.col("max_candidates").isNull() | (F.col("position") <= F.col("max_candidates")))
+    details = catalogue.select("ord", "description", "photos", "metadata")
+    return kept.select("route_id", "position", "ord", "id", "name", "categories", "lat", "lng").join(details, "ord")
 
 
 def in_corridor(requests: DataFrame, places: DataFrame) -> DataFrame:
-    """Candidates near the straight line of their route; circular routes keep all."""
+    """Places near the straight line of their route; circular routes keep all."""
     lines = requests.select("route_id", "o_lat", "o_lng", "d_lat", "d_lng", "corridor_width_km")
     off = geo.segment_distance_m("lat", "lng", "o_lat", "o_lng", "d_lat", "d_lng")
     joined = places.join(lines, "route_id").where(
@@ -49,7 +61,7 @@ def in_corridor(requests: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def with_stops(requests: DataFrame, places: DataFrame) -> DataFrame:
-    """Requests with their candidates as array ``stops``, in search order (at most 200)."""
+    """Requests with their candidates as array ``stops``, in search order."""
     fields = ["id", "name", "description", "categories", "photos", "lat", "lng"]
     # maps cannot be sorted, so metadata travels as entries
     stop = F.struct("position", *fields, F.map_entries("metadata").alias("entries"))
@@ -76,8 +88,7 @@ def _ordered(routes: DataFrame) -> DataFrame:
 def build_routes(requests: DataFrame, catalogue: DataFrame,
                  excluded: DataFrame | None = None) -> DataFrame:
     """Point-to-point (or circular) routes through places near the straight line."""
-    found = candidates(requests, catalogue, excluded)
-    return finish(with_stops(requests, in_corridor(requests, found)))
+    return finish(with_stops(requests, candidates(requests, catalogue, excluded)))
 
 
 def build_explore_routes(requests: DataFrame, catalogue: DataFrame,

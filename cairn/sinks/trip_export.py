@@ -1,7 +1,8 @@
 """Trip reports as Markdown, HTML or JSON.
 
-A report is built as lines, one row each, and lines are joined per document. A trip with very many
-lines is written in parts, one per hour of visits, that follow each other; nothing is left out.
+A report is built as lines, one row each, numbered per trip, and comes in parts of a fixed number of
+lines that follow each other. A part is the same row whatever else the trip holds, so reports grow by
+rows, and no row grows with them.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from cairn.functions import text
 from cairn.functions.columns import iso_minute, not_empty
 from cairn.operators.journal import best_rated, rating_average
+from cairn.operators.ordered import running_totals
 from cairn.session import cut
 
-LINES_PER_DOCUMENT = 20_000
+LINES_PER_PART = 1000
 HEAD, BEST, PLACES, END = 0, 1, 2, 3
 
 
@@ -34,6 +36,7 @@ def _stars(average: Column) -> Column:
 
 def _rows(source: DataFrame, section: int, ts: Column, lines: Column, ord_: Column,
           step: Column) -> DataFrame:
+    lines = F.flatten(F.transform(lines, lambda line: F.split(line, "\n")))
     return source.select("trip_id", F.lit(section).alias("section"), ts.alias("ts"),
                          ord_.alias("ord"), step.alias("step"),
                          F.posexplode(lines).alias("n", "line"))
@@ -84,20 +87,17 @@ def _lines(trips: DataFrame, visits: DataFrame, notes: DataFrame, summary: DataF
     return cut(lines)
 
 
-def documents(lines: DataFrame, per_document: int = LINES_PER_DOCUMENT) -> DataFrame:
-    """(trip_id, part, content): one part, or one per hour of visits for a long trip."""
-    sizes = lines.groupBy("trip_id").agg(F.count(F.lit(1)).alias("size"))
-    hour = F.when(F.col("section") < PLACES, 0).when(F.col("section") > PLACES, 1 << 40).otherwise(
-        F.coalesce(F.floor(F.unix_seconds("ts") / 3600), F.lit(0)) + 1)
-    parted = lines.join(sizes, "trip_id").withColumn(
-        "part", F.when(F.col("size") <= per_document, F.lit(0)).otherwise(hour).cast("bigint"))
-    key = F.struct("section", "ts", "ord", "step", "n", "line")
+def documents(lines: DataFrame, per_part: int = LINES_PER_PART) -> DataFrame:
+    """(trip_id, part, content): lines ``part * per_part`` and on, joined by newlines."""
+    order = ["section", "ts", "ord", "step", "n", "line"]
+    numbered = running_totals(lines, ["trip_id"], order, {"number": F.lit(1)})
+    parted = numbered.withColumn("part", F.floor((F.col("number") - 1) / per_part))
     return parted.groupBy("trip_id", "part").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(key)), lambda r: r["line"]), "\n").alias("content"))
+        F.array_sort(F.collect_list(F.struct("number", "line"))), lambda r: r["line"]), "\n").alias("content"))
 
 
 def markdown(trips: DataFrame, visits: DataFrame, notes: DataFrame, summary: DataFrame,
-             per_document: int = LINES_PER_DOCUMENT) -> DataFrame:
+             per_part: int = LINES_PER_PART) -> DataFrame:
     """Markdown report per trip."""
     head = F.array(
         F.concat(F.lit("# 🌍 "), "name"), F.lit(""),
@@ -119,11 +119,11 @@ def markdown(trips: DataFrame, visits: DataFrame, notes: DataFrame, summary: Dat
         trips, visits, notes, summary, head, F.array(F.lit("## ⭐ Best Places")),
         lambda label: F.array(F.concat(F.lit("- "), label)), F.array(F.lit("## 📍 Places")),
         lambda label: F.array(F.concat(F.lit("- **"), label, F.lit("** — "),
-                                       iso_minute("visited_at"))), note, None), per_document)
+                                       iso_minute("visited_at"))), note, None), per_part)
 
 
 def html(trips: DataFrame, visits: DataFrame, notes: DataFrame, summary: DataFrame,
-         product: str = "cairn", per_document: int = LINES_PER_DOCUMENT) -> DataFrame:
+         product: str = "cairn", per_part: int = LINES_PER_PART) -> DataFrame:
     """HTML report per trip, user texts escaped."""
     title = text.html_escape("name")
 
@@ -155,7 +155,7 @@ def html(trips: DataFrame, visits: DataFrame, notes: DataFrame, summary: DataFra
         lambda label: F.array(
             F.concat(F.lit("<h3>"), text.html_escape(label), F.lit("</h3>")),
             F.concat(F.lit('<p class="date">'), iso_minute("visited_at"), F.lit("</p>"))),
-        note, F.array(F.lit("</body>\n</html>"))), per_document)
+        note, F.array(F.lit("</body>\n</html>"))), per_part)
 
 
 def json(trips: DataFrame, summary: DataFrame) -> DataFrame:

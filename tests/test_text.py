@@ -230,7 +230,7 @@ def test_long_reports_come_in_parts(spark):
     text_ = whole.first()["content"]
     assert whole.count() == 1 and text_.startswith("# 🌍 My trip\n\n**Region:** N/A\n")
     assert "  > nice\n  Rating: ⭐⭐⭐⭐ (3.5/5)" in text_ and "**Time:** 2.5 hours" in text_
-    parts = trip_export.markdown(trips, visits, notes, summary, per_document=3).orderBy("part")
+    parts = trip_export.markdown(trips, visits, notes, summary, per_part=3).orderBy("part")
     contents = [r["content"] for r in parts.collect()]
     assert len(contents) > 5 and "\n".join(contents) == text_
     named = trip_export.with_file_name(whole, trips, "md").first()
