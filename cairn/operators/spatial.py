@@ -61,13 +61,13 @@ def first_within(queries: DataFrame, points: DataFrame, radius_m: float) -> Data
 
 
 def nearest_point(queries: DataFrame, points: DataFrame,
-                  levels: tuple[float, ...] = (0.001, 0.02, 0.5, 5.0)) -> DataFrame:
+                  levels: tuple[float, ...] = (0.001, 0.02, 0.5)) -> DataFrame:
     """Nearest point for each query row, ties to the lowest ``ord``. Adds ``distance_m``.
 
     Cells grow level by level: a query is answered at the first level where the best distance is
     below the distance that the searched neighbourhood covers completely; only unanswered queries
-    go on. The last level has no bound. Copies of a position are folded first, on both sides, so
-    crowded positions are compared once.
+    go on. Those with no point near descend a pyramid of cells instead. Copies of a position are
+    folded first, on both sides, so crowded positions are compared once.
     """
     fields = [c for c in points.columns if c not in ("lat", "lng")]
     sites = cut(points.groupBy("lat", "lng").agg(F.min_by(F.struct(*fields), F.col("ord"))
@@ -76,13 +76,10 @@ def nearest_point(queries: DataFrame, points: DataFrame,
     answered = None
     for size in (*levels, None):
         if size is None:
-            # antipodal reach: every site is a candidate, for the few spots that are still open
-            reach = F.lit(geo.EARTH_RADIUS_M * 3.2)
-            cell = 180.0
+            hits = far_pairs(open_spots, sites).withColumn(
+                "distance_m", geo.haversine_m("q_lat", "q_lng", "lat", "lng"))
         else:
-            reach = F.lit(size * 111_000.0)
-            cell = size
-        hits = circle_join(open_spots, sites, reach, cell_degrees=cell)
+            hits = circle_join(open_spots, sites, F.lit(size * 111_000.0), cell_degrees=size)
         best = hits.groupBy("q_lat", "q_lng").agg(F.min_by(
             F.struct("site", "lat", "lng", "distance_m"),
             F.struct(F.col("distance_m"), F.col("site.ord"))).alias("best"))
@@ -96,6 +93,63 @@ def nearest_point(queries: DataFrame, points: DataFrame,
     return queries.join(flat, ["q_lat", "q_lng"], "left")
 
 
+#: Cells of the pyramid in degrees, each a whole number of the next; the first has 72 at most.
+PYRAMID = (30.0, 7.5, 1.5, 0.3, 0.06, 0.012, 0.003)
+
+
+def _on_sphere(lat, lng) -> dict[str, Column]:
+    """Coordinates on the unit sphere."""
+    lat, lng = F.radians(lat), F.radians(lng)
+    return {"x": F.cos(lat) * F.cos(lng), "y": F.cos(lat) * F.sin(lng), "z": F.sin(lat)}
+
+
+def _degree_cell(lat: str, lng: str, size: float) -> Column:
+    return F.struct(F.floor((F.col(lat) + 90) / size).alias("r"), F.floor((F.col(lng) + 180) / size).alias("c"))
+
+
+def far_pairs(spots: DataFrame, sites: DataFrame) -> DataFrame:
+    """(q_lat, q_lng, site, lat, lng): for each spot a few sites with the nearest among them.
+
+    A cell of the pyramid knows the box of its sites in space and one of them. Level by level a spot
+    keeps the cells whose box is no farther than the nearest site known so far, and looks at the
+    cells inside those; straight distances in space order like distances on the ground.
+    """
+    placed = cut(sites.withColumns(_on_sphere("lat", "lng")))
+    box = [f(F.col(f"{s}{c}" if s else c)).alias(f"{t}{c}") for c in "xyz" for t, f, s in (("lo_", F.min, "lo_"), ("hi_", F.max, "hi_"))]
+    cells, finer = [], None
+    for size, parent in reversed(list(zip(PYRAMID, (None, *PYRAMID[:-1])))):
+        source = finer if finer is not None else placed.select(
+            "lat", "lng", *[F.col(c).alias(f"{t}{c}") for c in "xyz" for t in ("lo_", "hi_", "")])
+        finer = cut(source.withColumn("cell", _degree_cell("lat", "lng", size)).groupBy("cell").agg(
+            *box, F.min_by(F.struct("lat", "lng", "x", "y", "z"), F.struct("lat", "lng")).alias("one"))
+            .select("cell", *[f"{t}{c}" for c in "xyz" for t in ("lo_", "hi_")], "one.*"))
+        inside = _degree_cell("lat", "lng", parent) if parent else F.lit(None)
+        cells.insert(0, finer.withColumn("parent", inside))
+    sphere = {f"q_{c}": v for c, v in _on_sphere("q_lat", "q_lng").items()}
+    first = PYRAMID[0]
+    everywhere = F.array(*[F.struct(F.lit(r).cast("bigint").alias("r"), F.lit(c).cast("bigint").alias("c"))
+                           for r in range(int(180 / first) + 1) for c in range(int(360 / first) + 1)])
+    kept = spots.withColumns(sphere).withColumn("cell", F.explode(everywhere))
+    outside = [F.greatest(F.lit(0.0), F.col(f"lo_{c}") - F.col(f"q_{c}"), F.col(f"q_{c}") - F.col(f"hi_{c}")) for c in "xyz"]
+    away = [F.col(c) - F.col(f"q_{c}") for c in "xyz"]
+    square = lambda parts: sum((d * d for d in parts[1:]), parts[0] * parts[0])
+    # each side of a tight box has a site on it, so one is at most as far as the far end of some side
+    low_half = {c: F.col(f"q_{c}") * 2 <= F.col(f"lo_{c}") + F.col(f"hi_{c}") for c in "xyz"}
+    to_near = {c: F.when(low_half[c], F.col(f"lo_{c}")).otherwise(F.col(f"hi_{c}")) - F.col(f"q_{c}") for c in "xyz"}
+    to_far = {c: F.when(low_half[c], F.col(f"hi_{c}")).otherwise(F.col(f"lo_{c}")) - F.col(f"q_{c}") for c in "xyz"}
+    sides = [square([to_near[c], *[to_far[o] for o in "xyz" if o != c]]) for c in "xyz"]
+    spot = ["q_lat", "q_lng", "q_x", "q_y", "q_z"]
+    for level, table in enumerate(cells):
+        held = table.select(F.col("parent" if level else "cell").alias("cell"), F.col("cell").alias("own"),
+                            *[f"{t}{c}" for c in "xyz" for t in ("lo_", "hi_", "")])
+        seen = kept.join(held, "cell").withColumns({"least": square(outside), "sure": F.least(square(away), *sides)})
+        seen = cut(seen.select(*spot, F.col("own").alias("cell"), "least", "sure"))
+        bound = seen.groupBy("q_lat", "q_lng").agg((F.min("sure") * (1 + 1e-9) + 1e-24).alias("bound"))
+        kept = seen.join(bound, ["q_lat", "q_lng"]).where("least <= bound").select(*spot, "cell")
+    fine = placed.withColumn("cell", _degree_cell("lat", "lng", PYRAMID[-1])).select("cell", "site", "lat", "lng")
+    return kept.join(fine, "cell").select("q_lat", "q_lng", "site", "lat", "lng")
+
+
 def leader_clusters(points: DataFrame, threshold_m: float) -> DataFrame:
     """Points with the ``leader`` of their position."""
     return points.join(leader_sites(points.select("ord", "lat", "lng"), threshold_m),

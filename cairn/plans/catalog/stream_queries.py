@@ -14,6 +14,7 @@ from cairn.plans.catalog import base as q
 from cairn.plans.catalog.community_queries import _HISTORY
 from cairn.plans.catalog.gamify_queries import _cells, _visit_points
 from cairn.plans.catalog.gamify_queries import catalog as gamify_catalog
+from cairn.plans.catalog.service_queries import ADMISSION
 from cairn.session import shared_folder
 from cairn.streaming import jobs
 
@@ -48,8 +49,8 @@ def stream_xp(spark, sf_dir):
     """ST-S2."""
     home = _folder(spark)
     ledger = gamify.xp_ledger(td.visits(spark, sf_dir), td.notes(spark, sf_dir))
-    jobs.award_xp(_stream_of(ledger, f"{home}/ledger"), jobs.totals_table(f"{home}/totals"),
-                  f"{home}/history", f"{home}/check").awaitTermination()
+    history = jobs.award_xp(_stream_of(ledger, f"{home}/ledger"))
+    jobs.append(history, f"{home}/history", f"{home}/check").awaitTermination()
     return spark.read.parquet(f"{home}/history").select(
         "user_id", "visit_id", "xp_earned", "total_xp", "level", "leveled_up")
 
@@ -61,8 +62,8 @@ def stream_unlocks(spark, sf_dir):
     seen = td.visits(spark, sf_dir)
     log = gamify.visit_increments(seen, td.notes(spark, sf_dir),
                                   gamify.revealed_cells(_visit_points(seen)))
-    jobs.unlock_achievements(_stream_of(log, f"{home}/log"), jobs.counts_table(f"{home}/counts"),
-                             f"{home}/unlocks", f"{home}/check").awaitTermination()
+    unlocked = jobs.unlock_achievements(_stream_of(log, f"{home}/log"))
+    jobs.append(unlocked, f"{home}/unlocks", f"{home}/check").awaitTermination()
     return spark.read.parquet(f"{home}/unlocks").select(
         "user_id", "achievement_id", iso_second("unlocked_at").alias("unlocked_at"))
 
@@ -94,12 +95,10 @@ def stream_latest_values(spark, sf_dir):
     return table.rows(spark).select("key", "data")
 
 
-@catalog.add()
+@catalog.add(ADMISSION)
 def stream_admission(spark, sf_dir):
-    """ST-S4: decisions depend on earlier decisions, so no SQL; tests compare with the batch."""
+    """ST-S4."""
     home = _folder(spark)
     calls = td.api_calls(spark, sf_dir, td.read_stream)
-    jobs.admit_stream(calls, 5, 3600).writeStream.format("parquet").option(
-        "path", f"{home}/decisions").option("checkpointLocation", f"{home}/check").outputMode(
-        "append").trigger(availableNow=True).start().awaitTermination()
+    jobs.append(jobs.admit_stream(calls, 5, 3600), f"{home}/decisions", f"{home}/check").awaitTermination()
     return spark.read.parquet(f"{home}/decisions").select("ord", "accepted")

@@ -105,21 +105,26 @@ def decode_cursor(cursor: str | None) -> int:
 
 
 def page(hits: DataFrame, sort_by: str = "confidence", limit: int = 50,
-         cursor: str | None = None) -> DataFrame:
+         cursor: str | None = None, spread: int = 8) -> DataFrame:
     """One page per request with ``position``, ``total``, ``has_more`` and the next ``cursor``.
 
-    The rank bound is a literal, so each map task keeps only its own best rows of a request before
-    the shuffle; totals are counted by a separate, map-side combined aggregate.
+    The matches are computed once. They are dealt by request and a hash of the place, so a request
+    that matches most places is no single task: each deal counts its rows and keeps its own first
+    ones, and the page is picked from those. ``spread`` deals per request.
     """
     start = decode_cursor(cursor)
-    order = Window.partitionBy("request_id").orderBy(*SORT_KEYS[sort_by](), F.col("ord").asc())
-    ranked = hits.withColumn("position", F.row_number().over(order)).where(
-        F.col("position") <= start + limit).where(F.col("position") > start)
-    totals = hits.groupBy("request_id").agg(F.count(F.lit(1)).alias("total"))
-    more = F.col("total") > start + limit
-    return ranked.join(totals, "request_id").withColumns({
-        "has_more": more,
-        "cursor": F.when(more, encode_cursor(F.lit(start + limit)))})
+    end, order = start + limit, [*SORT_KEYS[sort_by](), F.col("ord").asc()]
+    deal = Window.partitionBy("request_id", "_deal")
+    dealt = hits.withColumn("_deal", F.pmod(F.hash("ord"), F.lit(spread))) \
+        .withColumn("_count", F.count(F.lit(1)).over(deal)) \
+        .withColumn("_nth", F.row_number().over(deal.orderBy(*order))).where(F.col("_nth") <= end)
+    request = Window.partitionBy("request_id")
+    ranked = dealt.withColumn("total", F.sum(F.when(F.col("_nth") == 1, F.col("_count"))).over(request)) \
+        .withColumn("position", F.row_number().over(request.orderBy(*order))) \
+        .where(F.col("position") <= end).where(F.col("position") > start)
+    more = F.col("total") > end
+    return ranked.drop("_deal", "_count", "_nth").withColumns({
+        "has_more": more, "cursor": F.when(more, encode_cursor(F.lit(end)))})
 
 
 def discover(requests: DataFrame, places: DataFrame, *, excluded: DataFrame | None = None,

@@ -1,8 +1,10 @@
-"""Structured Streaming versions of the incremental parts.
+"""Structured Streaming versions of the incremental parts, on Spark's own state.
 
-Every micro-batch runs the batch operators on its rows and carries a small state: one row per key
-in an append-only change table. Batches write under their own id and read only older ids, so a
-repeated batch gives the same result.
+Explored cells and cache entries are streaming aggregates in update mode. Points, unlocks and
+admission keep a few numbers per key in group state and append what they decide. Both give the same
+result however the input is cut into micro-batches, as long as a key's events arrive in time order;
+cells and cache entries in any order. No row is dropped for being late. Bound a batch by the source's
+``maxFilesPerTrigger``; a key's rows of one batch are held together.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from cairn.operators.filters import guard_actor
 from cairn.operators.ordered import previous_row, running_totals
 
 
-class ChangeTable:
-    """Rows by key with the latest batch winning; ``schema`` lists the columns."""
+class Upserts:
+    """Sink for streams in update mode: rows by key, the latest batch wins. Batches write under their
+    own id, so one that is run again counts once."""
 
     def __init__(self, path: str, keys: list[str], schema: str) -> None:
         self.path, self.keys, self.schema = path, keys, schema
@@ -48,6 +51,18 @@ class ChangeTable:
     def write(self, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
+    def follow(self, changed: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Take up all changed rows of a streaming aggregate."""
+        fields = [c.split()[0] for c in self.schema.split(", ")]
+        return changed.select(*fields).writeStream.outputMode("update").foreachBatch(self.write).option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write a stream of decisions as Parquet; a batch that is run again counts once."""
+    return rows.writeStream.format("parquet").option("path", path).option(
+        "checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
 
 def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]
          ) -> StreamingQuery:
@@ -59,77 +74,77 @@ CELLS = "user_id bigint, cell_key string, lat double, lng double, explored_at ti
         "visit_id bigint, ord bigint"
 
 
-def cells_table(path: str) -> ChangeTable:
-    return ChangeTable(path, ["user_id", "cell_key"], CELLS)
+def cells_table(path: str) -> Upserts:
+    return Upserts(path, ["user_id", "cell_key"], CELLS)
 
 
-def reveal_cells(points: DataFrame, table: ChangeTable, checkpoint: str) -> StreamingQuery:
-    """Trail points to explored cells; the first revealer of a cell stays."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        known = table.rows(batch.sparkSession, batch_id)
-        table.write(gamify.new_cells(batch, known).select(
-            *[c.split()[0] for c in CELLS.split(", ")]), batch_id)
-    return _run(points, checkpoint, each)
+def reveal_cells(points: DataFrame, table: Upserts, checkpoint: str) -> StreamingQuery:
+    """Trail points to explored cells; the first revealer of a cell stays, in whatever order points
+    come. State: one row per cell."""
+    return table.follow(gamify.revealed_cells(points), checkpoint)
 
 
-def totals_table(path: str) -> ChangeTable:
-    return ChangeTable(path, ["user_id"], "user_id bigint, total_xp bigint")
+AWARDS = "user_id bigint, ts timestamp, ord bigint, visit_id bigint, xp_earned bigint, total_xp bigint"
 
 
-def award_xp(ledger: DataFrame, totals: ChangeTable, history_path: str,
-             checkpoint: str) -> StreamingQuery:
-    """Point events to running totals, levels and level-ups per award."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        carried = totals.rows(batch.sparkSession, batch_id).withColumnRenamed("total_xp", "before")
-        here = gamify.award_history(batch).drop("level", "leveled_up").join(
-            carried, "user_id", "left").withColumn(
-            "total_xp", F.col("total_xp") + F.coalesce("before", F.lit(0)))
-        level = gamify.level_of("total_xp")["level"]
-        earlier = gamify.level_of(F.col("total_xp") - F.col("xp_earned"))["level"]
-        history = here.drop("before").withColumns({"level": level,
-                                                   "leveled_up": level != earlier})
-        history.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
-        totals.write(history.groupBy("user_id").agg(F.max("total_xp").alias("total_xp")), batch_id)
-    return _run(ledger, checkpoint, each)
-
-
-def counts_table(path: str) -> ChangeTable:
-    return ChangeTable(path, ["user_id", "condition_type"],
-                       "user_id bigint, condition_type string, reached double")
-
-
-def unlock_achievements(increments: DataFrame, counts: ChangeTable, unlocks_path: str,
-                        checkpoint: str) -> StreamingQuery:
-    """Metric increments to achievements, each unlocked exactly once."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        carried = counts.rows(batch.sparkSession, batch_id).withColumnRenamed("reached", "before")
-        key = ["user_id", "condition_type"]
-        running = running_totals(batch, key, ["ts", "ord"], {"reached": F.col("amount")}).join(
-            carried, key, "left").withColumn(
-            "reached", F.col("reached") + F.coalesce("before", F.lit(0)))
-        targets = F.filter(gamify.definition_table(), lambda d: (
-            d["condition_type"] == F.col("condition_type"))
-            & (gamify.metric_value("reached") >= d["condition_value"])
-            & (gamify.metric_value(F.col("reached") - F.col("amount")) < d["condition_value"]))
-        unlocked = running.select("user_id", "ts", F.explode(targets).alias("d")).select(
-            "user_id", F.col("d.id").alias("achievement_id"), F.col("ts").alias("unlocked_at"))
-        unlocked.write.mode("overwrite").parquet(f"{unlocks_path}/batch={batch_id}")
-        counts.write(running.groupBy(*key).agg(
-            F.max("reached").cast("double").alias("reached")), batch_id)
-    return _run(increments, checkpoint, each)
-
-
-def votes_table(path: str) -> ChangeTable:
-    return ChangeTable(path, ["place_id", "user_id"],
+def award_xp(ledger: DataFrame) -> DataFrame:
+    """Point events to running totals, levels and level-ups per award, in append mode.
+
+    State: a user's total. Awards of one batch are taken in time order.
+    """
+    def each(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total = state.get[0] if state.exists else 0
+        rows = pd.concat(list(frames)).groupby(["ts", "ord", "visit_id"], as_index=False)["xp"].sum()
+        reached = total + rows["xp"].cumsum()
+        state.update((int(reached.iloc[-1]),))
+        yield pd.DataFrame({"user_id": key[0], "ts": rows["ts"], "ord": rows["ord"], "visit_id": rows["visit_id"],
+                            "xp_earned": rows["xp"], "total_xp": reached})
+
+    totals = ledger.select("user_id", "ts", "ord", "visit_id", "xp").groupBy("user_id").applyInPandasWithState(
+        each, AWARDS, "total bigint", "append", GroupStateTimeout.NoTimeout)
+    earlier = gamify.level_of(F.col("total_xp") - F.col("xp_earned"))["level"]
+    level = gamify.level_of("total_xp")["level"]
+    return totals.withColumns({"level": level, "leveled_up": level != earlier})
+
+
+COUNTS = "user_id bigint, condition_type string, ts timestamp, amount double, reached double"
+
+
+def unlock_achievements(increments: DataFrame) -> DataFrame:
+    """Metric increments to achievements, each unlocked exactly once, in append mode.
+
+    State: what a user has reached of a metric.
+    """
+    def each(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get[0] if state.exists else 0.0
+        rows = pd.concat(list(frames)).sort_values(["ts", "ord"])
+        reached = before + rows["amount"].cumsum()
+        state.update((float(reached.iloc[-1]),))
+        yield pd.DataFrame({"user_id": key[0], "condition_type": key[1], "ts": rows["ts"],
+                            "amount": rows["amount"], "reached": reached})
+
+    counted = increments.select("user_id", "condition_type", "ts", "ord", F.col("amount").cast("double")) \
+        .groupBy("user_id", "condition_type").applyInPandasWithState(
+            each, COUNTS, "reached double", "append", GroupStateTimeout.NoTimeout)
+    targets = F.filter(gamify.definition_table(), lambda d: (
+        d["condition_type"] == F.col("condition_type"))
+        & (gamify.metric_value("reached") >= d["condition_value"])
+        & (gamify.metric_value(F.col("reached") - F.col("amount")) < d["condition_value"]))
+    return counted.select("user_id", "ts", F.explode(targets).alias("d")).select(
+        "user_id", F.col("d.id").alias("achievement_id"), F.col("ts").alias("unlocked_at"))
+
+
+def votes_table(path: str) -> Upserts:
+    return Upserts(path, ["place_id", "user_id"],
                        "place_id bigint, user_id bigint, confirm boolean")
 
 
-def tallies_table(path: str) -> ChangeTable:
-    return ChangeTable(path, ["place_id"], "place_id bigint, confirmations bigint, "
+def tallies_table(path: str) -> Upserts:
+    return Upserts(path, ["place_id"], "place_id bigint, confirmations bigint, "
                        "rejections bigint, status string, confirm_awards bigint")
 
 
-def moderate(events: DataFrame, places: DataFrame, votes: ChangeTable, tallies: ChangeTable,
+def moderate(events: DataFrame, places: DataFrame, votes: Upserts, tallies: Upserts,
              checkpoint: str, threshold: int = fv.MODERATION_THRESHOLD) -> StreamingQuery:
     """Confirm and reject events to tallies and status per place.
 
@@ -172,49 +187,42 @@ def moderate(events: DataFrame, places: DataFrame, votes: ChangeTable, tallies:
     return _run(events, checkpoint, each)
 
 
-def cache_table(path: str) -> ChangeTable:
-    return ChangeTable(path, ["key"], "key string, data string, ts timestamp")
+def cache_table(path: str) -> Upserts:
+    return Upserts(path, ["key"], "key string, data string, ts timestamp")
 
 
-def keep_latest(entries: DataFrame, table: ChangeTable, checkpoint: str) -> StreamingQuery:
+def keep_latest(entries: DataFrame, table: Upserts, checkpoint: str) -> StreamingQuery:
     """Cache entries to the latest value per key; ``filters.unexpired`` applies the lifetime.
 
     Latest means by time, then by value, whatever batch brings it: an entry that arrives late does
-    not replace a newer one.
+    not replace a newer one. State: one row per key.
     """
-    def each(batch: DataFrame, batch_id: int) -> None:
-        known = table.rows(batch.sparkSession, batch_id).join(
-            batch.select("key").distinct(), "key", "left_semi")
-        both = batch.select("key", "data", "ts").unionByName(known.select("key", "data", "ts"))
-        newest = both.groupBy("key").agg(F.max_by(F.struct("data", "ts"), F.struct("ts", "data"))
-                                         .alias("v"))
-        table.write(newest.select("key", "v.*"), batch_id)
-    return _run(entries, checkpoint, each)
+    newest = entries.groupBy("key").agg(F.max_by(F.struct("data", "ts"), F.struct("ts", "data")).alias("v"))
+    return table.follow(newest.select("key", "v.*"), checkpoint)
 
 
-def admit_stream(calls: DataFrame, limit: int, window_seconds: int = fv.RATE_WINDOW_SECONDS,
-                 late: str = "10 minutes") -> DataFrame:
+def admit_stream(calls: DataFrame, limit: int, window_seconds: int = fv.RATE_WINDOW_SECONDS
+                 ) -> DataFrame:
     """Accept or reject each call (client, grp, ts, ord) against the client's last accepted calls.
 
-    State is at most ``limit`` times per client and group and is dropped when event time has moved
-    a window past the newest of them.
+    Every call gets a decision. A call that arrives in a later batch than a newer one of its client is
+    marked ``late`` and rejected: the calls after it are decided, and admitting it could break the
+    limit among them. State: at most ``limit`` times per client and group, and the newest time.
     """
     width = window_seconds * 1_000_000
 
-    def each(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["us", "ord"])
-        accepted = deque(state.get[0]) if state.exists else deque()
-        decisions = admit(rows["us"].to_numpy(), accepted, limit, width)
-        state.update(([int(t) for t in accepted],))
-        newest = max(int(rows["us"].max()) // 1000, state.getCurrentWatermarkMs())
-        state.setTimeoutTimestamp(newest + window_seconds * 1000)
+    def each(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, newest = state.get if state.exists else ([], -(1 << 62))
+        rows = pd.concat(list(frames)).sort_values(["us", "ord"])
+        late = rows["us"] < newest
+        accepted, timely = deque(times), rows.loc[~late, "us"]
+        decisions = pd.Series(False, rows.index)
+        decisions[~late] = admit(timely.to_numpy(), accepted, limit, width)
+        state.update(([int(t) for t in accepted], int(max(newest, rows["us"].max()))))
         yield pd.DataFrame({"client": key[0], "grp": key[1], "ord": rows["ord"],
-                            "accepted": decisions})
+                            "accepted": decisions, "late": late})
 
-    timed = calls.withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
+    timed = calls.select("client", "grp", F.unix_micros("ts").alias("us"), "ord")
     return timed.groupBy("client", "grp").applyInPandasWithState(
-        each, "client bigint, grp string, ord bigint, accepted boolean",
-        "accepted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+        each, "client bigint, grp string, ord bigint, accepted boolean, late boolean",
+        "accepted array<bigint>, newest bigint", "append", GroupStateTimeout.NoTimeout)

@@ -40,6 +40,28 @@ def test_leader_clusters(spark, seed, count, spread):
     assert got == want
 
 
+def test_far_spots_meet_few_sites(spark):
+    rng = random.Random(12)
+    sites = [(i, 42 + rng.uniform(0, .6), 19 + rng.uniform(0, .6)) for i in range(50_000)]
+    spots = [(-33.0, 151.0), (41.0, 18.0), (89.9, -170.0)]
+    points = spark.createDataFrame(sites, "ord bigint, lat double, lng double")
+    queries = spark.createDataFrame(spots, "q_lat double, q_lng double")
+    folded = points.select("lat", "lng", F.struct("ord").alias("site"))
+    assert spatial.far_pairs(queries, folded).count() < 1000
+    got = {(r["q_lat"], r["q_lng"]): r["ord"] for r in spatial.nearest_point(queries, points).collect()}
+    assert got == {(a, b): min(sites, key=lambda r: haversine(a, b, r[1], r[2]))[0] for a, b in spots}
+
+
+def test_nearest_around_the_globe(spark):
+    rng = random.Random(13)
+    sites = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)] + [(300, 90.0, 180.0), (301, -90.0, -180.0)]
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(40)] + [(0.0, 179.99), (90.0, 0.0), (-90.0, 5.0)]
+    points = spark.createDataFrame(sites, "ord bigint, lat double, lng double")
+    queries = spark.createDataFrame(spots, "q_lat double, q_lng double")
+    got = {(r["q_lat"], r["q_lng"]): r["ord"] for r in spatial.nearest_point(queries, points).collect()}
+    assert got == {(a, b): min(sites, key=lambda r: (haversine(a, b, r[1], r[2]), r[0]))[0] for a, b in spots}
+
+
 @pytest.mark.parametrize("tile_rows", [5, 40, 400])
 def test_election_is_the_same_with_any_tiles(spark, tile_rows):
     rng = random.Random(4)

@@ -32,8 +32,7 @@ def test_query(spark, con, name):
 def test_every_sql_has_its_query():
     assert set(all_sql()) <= set(NAMES) <= set(contract.queries())
     assert set(NAMES) - set(all_sql()) == {
-        "optimized_routes", "planned_routes", "explore_routes", "admitted_calls",
-        "stream_admission"}
+        "optimized_routes", "planned_routes", "explore_routes"}
 
 
 def test_entry(spark):

@@ -15,11 +15,11 @@ T0 = 1_704_067_200
 
 @pytest.fixture()
 def feed(spark, tmp_path):
-    """Write rows as three files in time order and read them one file per micro-batch."""
-    def build(rows, schema, name):
+    """Write rows as files in time order and read them one file per micro-batch."""
+    def build(rows, schema, name, files=3):
         frame = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s"))
         folder = str(tmp_path / name)
-        step = len(rows) // 3 + 1
+        step = len(rows) // files + 1
         ordered = sorted(rows, key=lambda r: r[schema.replace(",", "").split().index("s") // 2])
         for i in range(0, len(ordered), step):
             spark.createDataFrame(ordered[i:i + step], schema).withColumn(
@@ -44,13 +44,14 @@ def test_reveal_cells(spark, tmp_path, feed):
     assert got == want
 
 
-def test_award_xp(spark, tmp_path, feed):
+@pytest.mark.parametrize("files", [1, 20])
+def test_award_xp(spark, tmp_path, feed, files):
     rng = random.Random(2)
     rows = [(rng.randrange(3), i, rng.choice([10, 25, 80]), T0 + i * 600, i) for i in range(90)]
     batch, stream, check = feed(rows, "user_id bigint, visit_id bigint, xp bigint, s bigint, "
-                                      "ord bigint", "xp")
-    totals, history = jobs.totals_table(str(tmp_path / "totals")), str(tmp_path / "history")
-    jobs.award_xp(stream, totals, history, check).awaitTermination()
+                                      "ord bigint", "xp", files)
+    history = str(tmp_path / "history")
+    jobs.append(jobs.award_xp(stream), history, check).awaitTermination()
     columns = ["user_id", "visit_id", "total_xp", "level", "leveled_up"]
     got = {tuple(r) for r in spark.read.parquet(history).select(*columns).collect()}
     want = {tuple(r) for r in gamify.award_history(batch).select(*columns).collect()}
@@ -64,8 +65,7 @@ def test_unlock_achievements(spark, tmp_path, feed):
     batch, stream, check = feed(rows, "user_id bigint, condition_type string, amount bigint, "
                                       "s bigint, ord bigint", "inc")
     unlocks = str(tmp_path / "unlocks")
-    jobs.unlock_achievements(stream, jobs.counts_table(str(tmp_path / "counts")), unlocks,
-                             check).awaitTermination()
+    jobs.append(jobs.unlock_achievements(stream), unlocks, check).awaitTermination()
     columns = ["user_id", "achievement_id", "unlocked_at"]
     got = [tuple(r) for r in spark.read.parquet(unlocks).select(*columns).collect()]
     want = [tuple(r) for r in gamify.first_unlocks(batch).select(*columns).collect()]
@@ -112,14 +112,33 @@ def test_keep_latest_ignores_late_entries(spark, tmp_path, feed):
     assert {r["key"]: r["data"] for r in table.rows(spark).collect()} == {"a": "new", "b": "two"}
 
 
-def test_admit_stream(spark, tmp_path, feed):
+def test_state_does_not_grow_with_repeated_keys(spark, tmp_path, feed):
+    rows = [(f"k{i % 5}", f"v{i}", T0 + i * 60) for i in range(250)]
+    _, stream, check = feed(rows, "key string, data string, s bigint", "flat", 50)
+    query = jobs.keep_latest(stream.select("key", "data", "ts"), jobs.cache_table(str(tmp_path / "flat-out")), check)
+    query.awaitTermination()
+    sizes = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert len(sizes) >= 40 and set(sizes) == {5}
+
+
+@pytest.mark.parametrize("files", [1, 20])
+def test_admit_stream(spark, tmp_path, feed, files):
     rng = random.Random(5)
     rows = [(rng.randrange(2), "g", T0 + i * 7, i) for i in range(150)]
-    batch, stream, check = feed(rows, "client bigint, grp string, s bigint, ord bigint", "calls")
+    batch, stream, check = feed(rows, "client bigint, grp string, s bigint, ord bigint", "calls", files)
     out = str(tmp_path / "decisions")
-    jobs.admit_stream(stream, 3).writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", check).outputMode("append").trigger(
-        availableNow=True).start().awaitTermination()
-    got = {r["ord"]: r["accepted"] for r in spark.read.parquet(out).collect()}
+    jobs.append(jobs.admit_stream(stream, 3), out, check).awaitTermination()
+    got = {r["ord"]: r["accepted"] for r in spark.read.parquet(out).where("NOT late").collect()}
     want = {r["ord"]: r["accepted"] for r in admission.admit_calls(batch, 3).collect()}
     assert got == want and not all(want.values())
+
+
+def test_late_calls_are_decided(spark, tmp_path):
+    schema, folder = "client bigint, grp string, s bigint, ord bigint", str(tmp_path / "calls")
+    for rows in ([(1, "g", T0 + 100, 1)], [(1, "g", T0, 2), (1, "g", T0 + 101, 3), (2, "g", T0, 4)]):
+        spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode(
+            "append").parquet(folder)
+    stream = spark.readStream.schema(f"{schema}, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    jobs.append(jobs.admit_stream(stream, 5), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = {r["ord"]: (r["accepted"], r["late"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (True, False), 2: (False, True), 3: (True, False), 4: (True, False)}
