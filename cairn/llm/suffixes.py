@@ -32,6 +32,9 @@ from cairn.session import cut
 BLOCK = 8 << 20
 #: Names sorted at once in a bucket, at most, as planned from the corpus.
 BUCKET = 4 << 20
+#: Bits by which a sample name is longer than needed to number the sample: one of 2^SPARE_BITS strings
+#: that no other block has is taken for shared, and costs a place in the second sort, no more.
+SPARE_BITS = 10
 #: Positions whose names are made at once; bounds the memory of a block.
 SLICE = 1 << 20
 ENTRY = "kind int, bucket int, block int, size int, blob binary"
@@ -97,10 +100,10 @@ class Block:
             places.append(at + a)
         self.sample = np.concatenate(places) if places else np.zeros(0, np.int64)
 
-    def sorted_names(self, at: np.ndarray, width: int):
+    def sorted_names(self, at: np.ndarray, width: int, shift: int = 0):
         """``(distinct names in order, which of them each place has, whether several documents have it
         here, the row of the first document that has it)``."""
-        names = names_at(self.data, at, width)
+        names = names_at(self.data, at, width) >> np.uint64(shift)
         order = np.argsort(names, kind="stable")  # places ascend, so ids do within a name
         ranked = names[order]
         new = np.ones(len(ranked), bool)
@@ -127,10 +130,9 @@ class Block:
         return np.flatnonzero(np.cumsum(edge) > 0)
 
 
-def _sent(kind: int, names: np.ndarray, wanted: np.ndarray, block: int, buckets: int) -> Iterator[tuple]:
-    """A block's wanted names by bucket."""
-    names = names[wanted]
-    edges = [0, *np.searchsorted(names, bucket_edges(buckets)).tolist(), len(names)]
+def _sent(kind: int, names: np.ndarray, block: int, buckets: int, shift: int = 0) -> Iterator[tuple]:
+    """A block's names by bucket."""
+    edges = [0, *np.searchsorted(names, bucket_edges(buckets) >> np.uint64(shift)).tolist(), len(names)]
     for bucket, (a, b) in enumerate(zip(edges, edges[1:])):
         if a < b:
             yield kind, bucket, block, b - a, packed(names[a:b])
@@ -190,7 +192,9 @@ def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text
     total = narrow.agg(F.sum("size")).first()[0] or 0
     first_ids = block_starts(narrow)
     width = length - period + 1
-    sample_buckets = int(total * len(COVERS[period]) / period) // BUCKET + 1
+    places = int(total * len(COVERS[period]) / period)
+    sample_buckets = places // BUCKET + 1
+    shift = max(0, 64 - places.bit_length() - SPARE_BITS)
     suffix_buckets = int(total) // BUCKET + 1
 
     @F.pandas_udf("int")
@@ -218,12 +222,12 @@ def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text
         if not len(texts):
             return table(iter(()))
         block = opened(texts, small)
-        names, _, _, _ = block.sorted_names(block.sample, width)
-        return table(_sent(SAMPLE, names, np.ones(len(names), bool), int(texts["block"].iloc[0]), sample_buckets))
+        names, _, _, _ = block.sorted_names(block.sample, width, shift)
+        return table(_sent(SAMPLE, names, int(texts["block"].iloc[0]), sample_buckets, shift))
 
     def suffixes(block: Block, small: pd.DataFrame):
         """Candidate suffixes, and which of them might meet one of another block."""
-        _, group, _, several = block.sorted_names(block.sample, width)
+        _, group, _, several = block.sorted_names(block.sample, width, shift)
         elsewhere = _bits(small, SAMPLE)
         far = elsewhere[group] if len(group) else np.zeros(0, bool)
         at = block.candidates(far | several[group])
@@ -235,7 +239,7 @@ def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text
         block = opened(texts, small)
         at, far = suffixes(block, small)
         names = np.unique(names_at(block.data, at[far], length))
-        return table(_sent(SUFFIX, names, np.ones(len(names), bool), int(texts["block"].iloc[0]), suffix_buckets))
+        return table(_sent(SUFFIX, names, int(texts["block"].iloc[0]), suffix_buckets))
 
     def answer(texts: pd.DataFrame, small: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
