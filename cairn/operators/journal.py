@@ -142,24 +142,61 @@ def trip_visits(trips: DataFrame, visits: DataFrame) -> DataFrame:
         visits.drop("trip_id"), "id")
 
 
+#: Days are counted from before the first calendar day; so many halvings cover the last one.
+DAY_SHIFT, DAY_LEVELS = 1 << 20, 23
+
+
+def _day_number(moment: str) -> Column:
+    return F.unix_date(F.to_date(moment)).cast("bigint") + DAY_SHIFT
+
+
+def day_pieces(start: str, end: str) -> Column:
+    """``array<struct<level, piece>>``: blocks of 2^level days that make up a closed date range, two
+    per level at most; empty if it is reversed, null if an end is missing."""
+    first, last = _day_number(start), _day_number(end)
+    none = F.array().cast("array<struct<level:int,piece:bigint>>")
+
+    def step(held: Column, level: Column) -> Column:
+        a, b = held["a"], held["b"]
+        one = lambda at: F.array(F.struct(level.alias("level"), at.alias("piece")))
+        left, right = (a <= b) & (a % 2 == 1), (a <= b) & (b % 2 == 0)
+        low = F.when(left, a + 1).otherwise(a)
+        high = F.when(right, b - 1).otherwise(b)
+        # nothing left stays so: halving must not bring the ends together again
+        return F.struct(F.shiftright(low, 1).alias("a"),
+                        F.when(low <= high, F.shiftright(high, 1)).otherwise(-1).alias("b"),
+                        F.concat(held["found"], F.when(left, one(a)).otherwise(none),
+                                 F.when(right & (low <= b), one(b)).otherwise(none)).alias("found"))
+
+    begin = F.struct(first.alias("a"), last.alias("b"), none.alias("found"))
+    return F.when(first.isNotNull() & last.isNotNull(), F.aggregate(
+        F.sequence(F.lit(0), F.lit(DAY_LEVELS - 1)), begin, step, lambda held: held["found"]))
+
+
 def group_visits(trips: DataFrame, visits: DataFrame) -> DataFrame:
     """Assign visits to trips by owner, closed date range and optional circle.
 
     ``trips``: trip_id, user_id, start_date, end_date and optionally region_lat, region_lng,
     region_radius_km. A visit that several trips claim goes to the last one (highest trip ``ord``),
-    as if the trips were grouped one after the other. Ranges are expanded to days, so a visit only
-    meets the trips of its own day.
+    as if the trips were grouped one after the other. A range is cut into blocks of days whose
+    lengths are powers of two, so a trip of any length has a few rows; a visit looks for the blocks
+    that its day lies in, at the lengths that occur.
     """
     ranges = trips.select(
-        "user_id", F.explode(F.sequence(F.to_date("start_date"), F.to_date("end_date")))
-        .alias("_day"), F.struct("ord", F.col("trip_id").alias("id")).alias("claim"),
+        "user_id", F.explode(day_pieces("start_date", "end_date")).alias("_block"),
+        F.struct("ord", F.col("trip_id").alias("id")).alias("claim"),
         "start_date", "end_date", *[F.col(c) if c in trips.columns else F.lit(None).cast("double").alias(c)
                       for c in ("region_lat", "region_lng", "region_radius_km")])
     near = F.col("region_lat").isNull() | F.col("region_lng").isNull() | F.col(
         "region_radius_km").isNull() | (geo.haversine_m(
             "region_lat", "region_lng", "lat", "lng") / 1000.0 <= F.col("region_radius_km"))
-    dated = visits.withColumn("_day", F.to_date("visited_at"))
-    claimed = dated.join(ranges, ["user_id", "_day"]).where(
+    levels = [r["level"] for r in ranges.select("_block.level").distinct().collect()]  # 23 at most
+    day = _day_number("visited_at")
+    blocks = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(day, n).alias("piece")) for n in sorted(levels)])
+    if not levels:
+        return visits
+    dated = visits.select("id", "user_id", "visited_at", "lat", "lng", F.explode(blocks).alias("_block"))
+    claimed = dated.join(ranges, ["user_id", "_block"]).where(
         F.col("visited_at").between(F.col("start_date"), F.col("end_date")) & near)
     owner = claimed.groupBy("id").agg(F.max("claim").alias("claim"))
     return visits.join(owner, "id", "left").withColumn(

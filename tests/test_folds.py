@@ -40,6 +40,36 @@ def test_leader_clusters(spark, seed, count, spread):
     assert got == want
 
 
+def test_day_pieces_cover_a_range_once(spark):
+    rng = random.Random(15)
+    days = [(a, a + rng.randrange(-2, 900)) for a in (rng.randrange(-5000, 20_000) for _ in range(60))]
+    days += [(0, 2_932_896), (7, 7), (5, 4), (-719_162, 2_932_896)]
+    frame = spark.createDataFrame(days, "a int, b int").withColumns({
+        "start": F.date_from_unix_date("a"), "end": F.date_from_unix_date("b")})
+    for a, b, pieces in frame.select("a", "b", journal.day_pieces("start", "end")).collect():
+        spans = sorted(((p["piece"] << p["level"]) - journal.DAY_SHIFT, 1 << p["level"]) for p in pieces)
+        assert len(spans) < 100 and sum(n for _, n in spans) == max(0, b - a + 1)
+        at = a
+        for start, n in spans:
+            assert start == at
+            at += n
+
+
+def test_grouping_with_long_and_reversed_trips(spark):
+    rng = random.Random(16)
+    day = lambda n: F.date_from_unix_date(n)
+    trips = [(f"t{i}", rng.randrange(3), i, rng.randrange(0, 400), rng.randrange(0, 400)) for i in range(30)]
+    trips += [("open", 1, 30, 100, 2_932_896), ("null", 2, 31, None, 5)]
+    visits = [(i, rng.randrange(4), rng.randrange(0, 400), 42.0, 19.0) for i in range(200)]
+    t = spark.createDataFrame(trips, "trip_id string, user_id int, ord int, a int, b int").withColumns(
+        {"start_date": day("a").cast("timestamp"), "end_date": day("b").cast("timestamp")})
+    v = spark.createDataFrame(visits, "id int, user_id int, d int, lat double, lng double").withColumns(
+        {"visited_at": day("d").cast("timestamp"), "trip_id": F.lit(None).cast("string")})
+    got = {r["id"]: r["trip_id"] for r in journal.group_visits(t, v).collect()}
+    assert got == {i: max(((o, name) for name, w, o, a, b in trips if w == u and a is not None and a <= d <= b),
+                          default=(0, None))[1] for i, u, d, *_ in visits}
+
+
 def test_far_spots_meet_few_sites(spark):
     rng = random.Random(12)
     sites = [(i, 42 + rng.uniform(0, .6), 19 + rng.uniform(0, .6)) for i in range(50_000)]
