@@ -18,31 +18,60 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Templates. ``<<optional>> .. <<end>>`` may be left out as a whole; ``<<one of a|b>>`` stands for
-#: one of the words; ``<<up to 6>>`` stands for as many words of any kind. All else is mandatory.
+#: Templates: whole licence texts, and one-line references. ``<<optional>> .. <<end>>`` may be left out
+#: as a whole; ``<<one of a|b>>`` stands for one of the words; ``<<up to 6>>`` stands for as many words
+#: of any kind (names, bullets). All else is mandatory, to the last word. Fixed values.
+_BSD_TOP = """redistribution and use in source and binary forms with or without modification are
+    permitted provided that the following conditions are met <<up to 1>> redistributions of source code
+    must retain the above copyright notice this list of conditions and the following disclaimer
+    <<up to 1>> redistributions in binary form must reproduce the above copyright notice this list of
+    conditions and the following disclaimer in the documentation and or other materials provided with
+    the distribution"""
+_BSD_NAMES = """<<up to 1>> neither the <<one of name|names>> of <<up to 12>> nor the names of
+    <<one of its|their|his|her|other>> contributors may be used to endorse or promote products derived
+    from this software without specific prior written permission"""
+_BSD_END = """this software is provided by <<up to 12>> as is and any express or implied warranties
+    including but not limited to the implied warranties of merchantability and fitness for a particular
+    purpose are disclaimed in no event shall <<up to 12>> be liable for any direct indirect incidental
+    special exemplary or consequential damages including but not limited to procurement of substitute
+    goods or services loss of use data or profits or business interruption however caused and on any
+    theory of liability whether in contract strict liability or tort including negligence or otherwise
+    arising in any way out of the use of this software even if advised of the possibility of such damage"""
 TEMPLATES = {
-    "mit-reference": "<<one of under|with>> the mit license",
     "mit-text": """permission is hereby granted free of charge to any person obtaining a copy of this
         software <<optional>> and associated documentation files <<end>>
         <<optional>> the software <<end>> to deal in the software without restriction including
         without limitation the rights to use copy modify merge publish distribute sublicense and or
-        sell copies of the software""",
-    "apache-2.0": """<<one of under|with>> the apache license <<optional>> version <<end>>
+        sell copies of the software and to permit persons to whom the software is furnished to do so
+        subject to the following conditions the above copyright notice and this permission notice
+        <<optional>> including the next paragraph <<end>> shall be included in all copies or
+        substantial portions of the software the software is provided as is without warranty of any
+        kind express or implied including but not limited to the warranties of merchantability fitness
+        for a particular purpose and noninfringement in no event shall <<up to 12>> be liable for any
+        claim damages or other liability whether in an action of contract tort or otherwise arising
+        from out of or in connection with the software or the use or other dealings in the software""",
+    "bsd-2-clause": f"{_BSD_TOP} {_BSD_END}",
+    "bsd-3-clause": f"{_BSD_TOP} {_BSD_NAMES} {_BSD_END}",
+    "isc": """permission to use copy modify and <<optional>> or <<end>> distribute this software for
+        any purpose with or without fee is hereby granted provided that the above copyright notice and
+        this permission notice appear in all copies the software is provided as is and <<up to 8>>
+        disclaims all warranties with regard to this software including all implied warranties of
+        merchantability and fitness in no event shall <<up to 8>> be liable for any special direct
+        indirect or consequential damages or any damages whatsoever resulting from loss of use data or
+        profits whether in an action of contract negligence or other tortious action arising out of or
+        in connection with the use or performance of this software""",
+    "mit-reference": "<<one of under|with>> the mit license",
+    "apache-2.0-reference": """<<one of under|with>> the apache license <<optional>> version <<end>>
         <<one of 2|v2>> <<optional>> 0 <<end>>""",
-    "gpl-3.0": """gnu general public license <<optional>> as published by the free software
+    "gpl-3.0-reference": """gnu general public license <<optional>> as published by the free software
         foundation <<end>> <<optional>> either <<end>> <<optional>> version <<end>>
         <<one of 3|v3>>""",
-    "gpl-2.0": """gnu general public license <<optional>> as published by the free software
+    "gpl-2.0-reference": """gnu general public license <<optional>> as published by the free software
         foundation <<end>> <<optional>> either <<end>> <<optional>> version <<end>>
         <<one of 2|v2>>""",
-    "cc-by-nc-4.0": "cc by nc <<optional>> license <<end>> <<optional>> version <<end>> 4 0",
-    "cc-by-sa-4.0": "cc by sa <<optional>> license <<end>> <<optional>> version <<end>> 4 0",
-    "cc-by-4.0": "cc by <<optional>> license <<end>> <<optional>> version <<end>> 4 0",
-    "bsd": """redistribution and use in source and binary forms with or without modification are
-        permitted provided that the following conditions are met <<up to 4>> redistributions of
-        source code must retain the <<optional>> above <<end>> copyright notice""",
-    "isc": """permission to use copy modify and <<optional>> or <<end>> distribute this software for
-        any purpose with or without fee is hereby granted""",
+    "cc-by-nc-4.0-reference": "cc by nc <<optional>> license <<end>> <<optional>> version <<end>> 4 0",
+    "cc-by-sa-4.0-reference": "cc by sa <<optional>> license <<end>> <<optional>> version <<end>> 4 0",
+    "cc-by-4.0-reference": "cc by <<optional>> license <<end>> <<optional>> version <<end>> 4 0",
 }
 
 #: A-Z to a-z, and every byte that ends a word to a space; bytes from 0x80 on belong to words.
@@ -65,16 +94,13 @@ class Automaton:
         self.steps: list[list[tuple[bytes, int, int]]] = [[]]
         skips: dict[int, list[int]] = {}
         opened, self.mandatory, state = None, 0, 0
-        runs: list[list[bytes]] = [[]]
         for part in re.findall(r"<<[^>]*>>|[^\s<>]+", template):
             if part == "<<optional>>":
                 opened = state
-                runs.append([])
                 continue
             if part == "<<end>>":
                 skips.setdefault(opened, []).append(state)
                 opened = None
-                runs.append([])
                 continue
             fixed = opened is None and not part.startswith("<<up")
             if part.startswith("<<up to"):
@@ -83,21 +109,14 @@ class Automaton:
                     self.steps.append([])
                     skips.setdefault(state, []).append(state + 1)
                     state += 1
-                runs.append([])
                 continue
             options = part[8:-2].split("|") if part.startswith("<<one of") else [part]
             self.steps += [[]]
             self.steps[state] += [(w.strip().encode(), state + 1, int(fixed)) for w in options]
             self.mandatory += fixed
-            if part.startswith("<<"):
-                runs.append([])
-            elif fixed:
-                runs[-1].append(part.encode())
             state += 1
         self.final = state
         self.skips = skips
-        #: Longest run of mandatory words; no text without it can match.
-        self.key = b" " + b" ".join(max(runs, key=len)) + b" "
         self.first = {w for s in self._closure({0: 0}) for w, _, _ in self.steps[s]}
 
     def _closure(self, states: dict[int, int]) -> dict[int, int]:
@@ -129,8 +148,14 @@ class Automaton:
 
 
 @functools.cache
-def compiled(templates: tuple[tuple[str, str], ...]) -> dict[str, Automaton]:
-    return {label: Automaton(text) for label, text in templates}
+def compiled(templates: tuple[tuple[str, str], ...]) -> dict[bytes, list[tuple[str, Automaton]]]:
+    """Automata by the words they may begin with."""
+    starters: dict[bytes, list[tuple[str, Automaton]]] = {}
+    for label, text in templates:
+        automaton = Automaton(text)
+        for word in automaton.first:
+            starters.setdefault(word, []).append((label, automaton))
+    return starters
 
 
 def _places(line: bytes, phrase: bytes) -> Iterator[int]:
@@ -153,18 +178,15 @@ def scan_text(text: str | None, phrases: Iterable[tuple[str, str]],
         if found:
             starts += found
             base.add(label)
-    automata = compiled(templates)
+    starters = compiled(templates)
     labels, score = set(base), 0.0
-    if base or any(a.key in line for a in automata.values()):
-        for label, automaton in automata.items():
-            possible = automaton.key in line
-            for at, word in enumerate(words):
-                if word in automaton.first:
-                    met, accepted = automaton.match(words, at)
-                    score = max(score, met / automaton.mandatory)
-                    if accepted and possible:
-                        labels.add(label)
-                        break
+    for at, word in enumerate(words):
+        for label, automaton in starters.get(word, ()):
+            if label not in labels:
+                met, accepted = automaton.match(words, at)
+                score = max(score, met / automaton.mandatory)
+                if accepted:
+                    labels.add(label)
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None),
             ",".join(sorted(base)), ",".join(sorted(labels)), score)
 
@@ -178,10 +200,10 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text",
                   templates: dict[str, str] | None = None) -> DataFrame:
     """One row per row of ``docs``: places of fixed phrases, labels and a score.
 
-    A template is accepted where all of its mandatory words stand in order with nothing between
-    them but what its markup allows. ``score`` is the best share of a template's mandatory words
-    met in order, 1 if one is accepted, 0 where neither a phrase nor a template's longest mandatory
-    run stands. A narrow map over whole texts, without a shuffle. Null and empty texts have no
+    A template is accepted where all of its mandatory words, from the first to the last, stand in
+    order with nothing between them but what its markup allows; a text that alters a later clause is
+    not. ``score`` is the best share of a template's mandatory words met in order from where it
+    begins, 1 if one is accepted. A narrow map over whole texts, without a shuffle. Null and empty texts have no
     words, no labels (empty strings), null places and score 0; repeated rows and null ids come back
     as they are; an empty table gives no rows. Other columns are not read.
     """

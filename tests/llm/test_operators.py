@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import io
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -287,10 +288,67 @@ def test_license_places_and_templates(docs, none):
         assert base <= set(found["labels"].split(",")) and 0 <= found["score"] <= 1
     assert licenses.scan_licenses(none).collect() == []
     scan = lambda t: licenses.scan_text(t, tuple(licenses.PHRASES.items()), tuple(licenses.TEMPLATES.items()))
-    assert scan("Licensed under the Apache License, Version 2.0.")[5:] == ("apache,apache-2.0", 1.0)
-    assert scan("Licensed under CC BY-NC 4.0.")[5] == "cc-by,cc-by-nc-4.0"
-    assert scan("under the apache licence")[5:] == ("", 0.0)
+    assert scan("Licensed under the Apache License, Version 2.0.")[5:] == ("apache,apache-2.0-reference", 1.0)
+    assert scan("Licensed under CC BY-NC 4.0.")[5] == "cc-by,cc-by-nc-4.0-reference"
+    assert scan("under the apache licence")[5:] == ("", 3 / 5)
     assert scan("under the apache license of 2.0")[5] == "apache"
+    assert scan("permission is hereby granted")[5] == "" and 0 < scan("permission is hereby granted")[6] < 0.1
+
+
+def _variants(template, rng):
+    """A text that a template allows, and the places of its mandatory words."""
+    words, fixed, skip, inside = [], [], False, False
+    for part in re.findall(r"<<[^>]*>>|[^\s<>]+", template):
+        if part == "<<optional>>":
+            skip, inside = rng.random() < 0.5, True
+        elif part == "<<end>>":
+            skip, inside = False, False
+        elif part.startswith("<<up to"):
+            words += [f"name{rng.randrange(99)}" for _ in range(rng.randint(0, int(part[7:-2])))]
+        elif not skip:
+            if not inside:
+                fixed.append(len(words))
+            words.append(rng.choice(part[8:-2].split("|")).strip() if part.startswith("<<one of") else part)
+    return words, fixed
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_templates_are_matched_whole(label):
+    rng, marked = random.Random(label), tuple(licenses.TEMPLATES.items())
+    for _ in range(20):
+        words, fixed = _variants(licenses.TEMPLATES[label], rng)
+        text = " ".join(["Intro:", *[w.upper() if rng.random() < 0.3 else w for w in words], "the end"])
+        found = licenses.scan_text(text, (), marked)
+        assert label in found[5].split(",") and found[6] == 1.0
+    words, fixed = _variants(licenses.TEMPLATES[label], rng)
+    for at in fixed:  # whatever mandatory word is altered or left out, the text is refused
+        for changed in ([*words[:at], "altered", *words[at + 1:]], [*words[:at], *words[at + 1:]]):
+            labels = licenses.scan_text(" ".join(changed), (), marked)[5].split(",")
+            assert label not in labels, (label, at, words[at])
+
+
+def test_random_templates_match_like_regular_expressions():
+    rng = random.Random(11)
+    for _ in range(150):
+        parts, pattern = [], ""
+        for _ in range(rng.randint(1, 5)):
+            kind, word = rng.random(), rng.choice("ab")
+            if kind < 0.5 or not parts:
+                parts.append(word)
+                pattern += f"{word} "
+            elif kind < 0.7:
+                parts += ["<<optional>>", word, "<<end>>"]
+                pattern += f"(?:{word} )?"
+            elif kind < 0.85:
+                parts.append("<<one of a|c>>")
+                pattern += "(?:a|c) "
+            else:
+                parts.append("<<up to 2>>")
+                pattern += "(?:[abc] ){0,2}"
+        for _ in range(20):
+            text = " ".join(rng.choices("abc", k=rng.randint(0, 9)))
+            want = re.search(rf"(?:^|(?<= )){pattern}", text + " ") is not None
+            assert (licenses.scan_text(text, (), (("x", " ".join(parts)),))[5] == "x") == want, (parts, text)
 
 
 def _without(rows, width=13):
