@@ -1,16 +1,18 @@
-"""Filter interaction audit: files as available-now micro-batches, a state per text that knows the
-smallest id, and counters from which earlier masks are taken back when a smaller id arrives."""
+"""Filter interaction audit: files as available-now micro-batches, a state keyed by text that knows
+the smallest id, and counters from which earlier masks are taken back when a smaller id arrives."""
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import pickle
 import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,9 +24,13 @@ FILTERS = "ABCDE"
 REPEATED = 1 << FILTERS.index("E")
 _CAPITALS, _MARKS = re.compile("[A-Z]"), re.compile(r"[#$%&*|]")
 
+#: Texts that share a group of the state: a group costs a millisecond in Python however small it is,
+#: and is stored anew when a batch touches one of its texts.
+TEXTS_PER_GROUP = 64
+
 SEEN = "doc long, part string, key binary, mask int"
 PARTIAL = "key binary, part string, good boolean, toxic boolean, mask int, least long, n_least long, n long"
-STATE = "least long, parts array<string>, goods array<boolean>, toxics array<boolean>, counts array<long>"
+STATE = "texts binary"
 DELTA = "part string, mask int, good boolean, toxic boolean, delta long"
 
 
@@ -41,7 +47,7 @@ def _looked_at(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = [t or "" for t in batch["text"]]
         yield pd.DataFrame({"doc": batch["doc"], "part": batch["part"],
-                            "key": [hashlib.sha256(t.encode()).digest() for t in texts],
+                            "key": [hashlib.sha256(t.encode()).digest()[:16] for t in texts],
                             "mask": [own_mask(t) for t in texts]})
 
 
@@ -60,35 +66,33 @@ def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield part[[c.split()[0] for c in PARTIAL.split(", ")]]
 
 
-def settle(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Count the new rows of one text. Who holds the smallest id so far passes E, all others fail it;
-    a smaller id takes the earlier holders' masks back and counts them again with E."""
-    least, holders = None, Counter()
-    if state.exists:
-        least, parts, goods, toxics, counts = state.get
-        holders.update(dict(zip(zip(parts, goods, toxics), counts)))
-    before, delta = (least, sum(holders.values())), Counter()
+def settle(group: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Count the new rows of some texts. Who holds a text's smallest id so far passes E, all others
+    fail it; a smaller id takes the earlier holders' masks back and counts them again with E."""
+    texts: dict[bytes, tuple[int, Counter]] = pickle.loads(state.get[0]) if state.exists else {}
+    changed, delta = False, Counter()
     for frame in frames:
-        for part, good, toxic, mask, low, n_low, n in zip(*(
-                frame[c].tolist() for c in ("part", "good", "toxic", "mask", "least", "n_least", "n"))):
+        for key, part, good, toxic, mask, low, n_low, n in zip(*(frame[c].tolist() for c in (
+                "key", "part", "good", "toxic", "mask", "least", "n_least", "n"))):
             cell = (part, bool(good), bool(toxic))
             if low is None or pd.isna(low):
                 delta[cell, mask] += n
                 continue
+            least, holders = texts.get(key, (None, None))
             if least is None or low < least:
-                for other, count in holders.items():
+                for other, count in (holders or {}).items():
                     delta[other, mask] -= count
                     delta[other, mask | REPEATED] += count
                 least, holders = int(low), Counter()
+                texts[key], changed = (least, holders), True
             firsts = n_low if low == least else 0
             if firsts:
                 holders[cell] += firsts
                 delta[cell, mask] += firsts
+                changed = True
             delta[cell, mask | REPEATED] += n - firsts
-    if least is not None and (least, sum(holders.values())) != before:
-        cells = sorted(holders)
-        state.update((least, [c[0] for c in cells], [c[1] for c in cells], [c[2] for c in cells],
-                      [int(holders[c]) for c in cells]))
+    if changed:
+        state.update((pickle.dumps(texts),))
     rows = [(part, mask, good, toxic, n) for ((part, good, toxic), mask), n in delta.items() if n]
     if rows:
         yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "delta"])
@@ -112,6 +116,19 @@ def _as_pattern(path: str) -> str:
     return path if re.search(r"[*?\[{]", path) else f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
 
 
+def _groups(documents: DataFrame, folder: str) -> int:
+    """Groups of the state, from the rows of the first call; later calls on a folder keep its number."""
+    spark, path = documents.sparkSession, f"{folder}/groups"
+    try:
+        return spark.read.schema("n long").parquet(path).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    groups = documents.count() // TEXTS_PER_GROUP + 1  # the count is in the files' footers
+    spark.createDataFrame([(groups,)], "n long").write.parquet(path)
+    return groups
+
+
 def stream_counters(spark: SparkSession, path: str, labels: DataFrame, folder: str,
                     id: str = "doc_id", text: str = "text", part: str = "lang",
                     files_per_batch: int | None = None) -> None:
@@ -119,14 +136,16 @@ def stream_counters(spark: SparkSession, path: str, labels: DataFrame, folder: s
     ``files_per_batch`` per micro-batch (default: the cluster's parallelism), and append the changes
     of the counters. A later call takes up new files only. Sources, state and output are Spark's
     own; the file sink makes a batch that is run again count once."""
-    schema = spark.read.parquet(path).schema
+    documents = spark.read.parquet(path)
+    schema = documents.schema
     files = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch or max(1, spark.sparkContext.defaultParallelism))
              .parquet(_as_pattern(path)))
     looked = (files.select(F.col(id).cast("long").alias("doc"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
                            F.col(text).alias("text")).mapInPandas(_looked_at, SEEN))
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")}
     deltas = (looked.join(cut(label_flags(labels)), "doc", "left").withColumns(flags)
-              .mapInPandas(_combined, PARTIAL).groupBy("key")
+              .mapInPandas(_combined, PARTIAL)
+              .withColumn("texts", F.pmod(F.xxhash64("key"), F.lit(_groups(documents, folder)))).groupBy("texts")
               .applyInPandasWithState(settle, DELTA, STATE, "append", GroupStateTimeout.NoTimeout)
               .mapInPandas(_summed, DELTA))
     query = (deltas.writeStream.format("parquet").option("path", f"{folder}/deltas")
@@ -183,8 +202,8 @@ def audit(spark: SparkSession, path: str, labels: DataFrame, id: str = "doc_id",
 
     Null texts are empty, null parts the empty string. Rows with one id do not repeat each other; a
     row with a null id neither fails E nor makes others fail. Rows that come twice count twice. An
-    empty table gives no rows; other columns are not read. State: one row per distinct text (its
-    smallest id and who holds it); the counters: 128 per part. With a ``folder`` of an earlier call
+    empty table gives no rows; other columns are not read. State: for each distinct text (by 128 bits
+    of its SHA-256) its smallest id and who holds it, in groups of texts; the counters: 128 per part. With a ``folder`` of an earlier call
     only new files are read, and the report is that of all files so far.
     """
     folder = folder or f"{shared_folder(spark)}/cairn/audit-{uuid.uuid4().hex}"
