@@ -3,7 +3,6 @@ the smallest id, and counters from which earlier masks are taken back when a sma
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import pickle
 import re
@@ -22,33 +21,23 @@ from cairn.session import cut, shared_folder
 #: The audited filters; bit i of a mask says that a document fails the i-th.
 FILTERS = "ABCDE"
 REPEATED = 1 << FILTERS.index("E")
-_CAPITALS, _MARKS = re.compile("[A-Z]"), re.compile(r"[#$%&*|]")
 
 #: Texts that share a group of the state: a group costs a millisecond in Python however small it is,
 #: and is stored anew when a batch touches one of its texts.
 TEXTS_PER_GROUP = 64
 
-SEEN = "doc long, part string, key binary, mask int"
 PARTIAL = "key binary, part string, good boolean, toxic boolean, mask int, least long, n_least long, n long"
 STATE = "texts binary"
 DELTA = "part string, mask int, good boolean, toxic boolean, delta long"
 
 
-def own_mask(text: str) -> int:
-    """Filters A to D, which a text fails by itself."""
-    words = text.encode().split()
-    fails = (len(words) < 100, 100 * len(set(words)) < 80 * len(words),
-             100 * len(_CAPITALS.findall(text)) > 10 * len(text), _MARKS.search(text) is not None)
-    return sum(1 << i for i, failed in enumerate(fails) if failed)
-
-
-def _looked_at(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts become a key and a mask at once, so only narrow rows travel."""
-    for batch in batches:
-        texts = [t or "" for t in batch["text"]]
-        yield pd.DataFrame({"doc": batch["doc"], "part": batch["part"],
-                            "key": [hashlib.sha256(t.encode()).digest()[:16] for t in texts],
-                            "mask": [own_mask(t) for t in texts]})
+def own_mask(text: Column) -> Column:
+    """Filters A to D, which a text fails by itself, as bits."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    count = F.size(words)
+    fails = (count < 100, 100 * F.size(F.array_distinct(words)) < 80 * count,
+             100 * F.regexp_count(text, F.lit("[A-Z]")) > 10 * F.length(text), F.rlike(text, F.lit(r"[#$%&*|]")))
+    return sum((F.when(failed, 1 << i).otherwise(0) for i, failed in enumerate(fails)), F.lit(0))
 
 
 def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,12 +87,6 @@ def settle(group: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> I
         yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "delta"])
 
 
-def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        total = batch.groupby(["part", "mask", "good", "toxic"], as_index=False)["delta"].sum()
-        yield total[total["delta"] != 0]
-
-
 def label_flags(labels: DataFrame, id: str = "doc_id") -> DataFrame:
     """``doc, good, toxic``: whether some label of the document says quality 1, toxic 1."""
     return (labels.filter(F.col(id).isNotNull()).groupBy(F.col(id).cast("long").alias("doc"))
@@ -140,14 +123,15 @@ def stream_counters(spark: SparkSession, path: str, labels: DataFrame, folder: s
     schema = documents.schema
     files = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch or max(1, spark.sparkContext.defaultParallelism))
              .parquet(_as_pattern(path)))
-    looked = (files.select(F.col(id).cast("long").alias("doc"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
-                           F.col(text).alias("text")).mapInPandas(_looked_at, SEEN))
+    body = F.coalesce(F.col(text), F.lit(""))
+    # texts become a key and a mask at once, so only narrow rows go on
+    looked = files.select(F.col(id).cast("long").alias("doc"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
+                          F.unhex(F.left(F.sha2(body.cast("binary"), 256), F.lit(32))).alias("key"), own_mask(body).alias("mask"))
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")}
     deltas = (looked.join(cut(label_flags(labels)), "doc", "left").withColumns(flags)
               .mapInPandas(_combined, PARTIAL)
               .withColumn("texts", F.pmod(F.xxhash64("key"), F.lit(_groups(documents, folder)))).groupBy("texts")
-              .applyInPandasWithState(settle, DELTA, STATE, "append", GroupStateTimeout.NoTimeout)
-              .mapInPandas(_summed, DELTA))
+              .applyInPandasWithState(settle, DELTA, STATE, "append", GroupStateTimeout.NoTimeout))
     query = (deltas.writeStream.format("parquet").option("path", f"{folder}/deltas")
              .option("checkpointLocation", f"{folder}/checkpoint").outputMode("append")
              .trigger(availableNow=True).start())
