@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cairn import fixed_values as fv
@@ -122,13 +122,21 @@ def fuse_places(places: DataFrame, threshold_m: float | None = None) -> DataFram
     return merge_clusters(spatial.leader_clusters(places, threshold))
 
 
-def fusion_metrics(places: DataFrame, fused: DataFrame) -> DataFrame:
-    """Input rows per source, and the number of merged rows, as (metric, value)."""
-    per_source = places.groupBy(F.concat(F.lit("source_"), "source").alias("metric")).agg(
-        F.count(F.lit(1)).alias("value"))
-    merged = fused.agg(F.count(F.lit(1)).alias("value")).select(
-        F.lit("merged").alias("metric"), "value")
-    return per_source.unionByName(merged)
+def fuse_observed(places: DataFrame, sources: list[str], threshold_m: float | None = None
+                  ) -> tuple[DataFrame, DataFrame]:
+    """``(merged places, metrics)``: rows per source and merged rows as (metric, value).
+
+    Counted while the rows are written, by observers on the way, so no table is read again for it.
+    ``sources`` names what is counted; rows of other sources are summed under ``source_other``.
+    """
+    seen, merged = Observation("sources"), Observation("merged")
+    counts = [F.count_if(F.col("source") == name).alias(f"source_{name}") for name in sources]
+    other = F.count_if(~F.coalesce(F.col("source").isin(sources), F.lit(False))).alias("source_other")
+    read = cut(places.observe(seen, *counts, other))
+    written = cut(fuse_places(read, threshold_m).observe(merged, F.count(F.lit(1)).alias("merged")))
+    found = {name: n for name, n in (seen.get | merged.get).items() if n}
+    return written, places.sparkSession.createDataFrame(
+        list(found.items()), "metric string, value bigint")
 
 
 # --- research results: distance and name --------------------------------------------------------

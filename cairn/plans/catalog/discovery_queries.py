@@ -115,8 +115,8 @@ SELECT 'source_' || source AS metric, count(*) AS value FROM places GROUP BY sou
 UNION ALL SELECT 'merged', count(*) FROM merged""")
 def fusion_run_metrics(spark, sf_dir):
     """AG-31."""
-    places = _places(spark, sf_dir)
-    return fusion.fusion_metrics(places, fusion.fuse_places(places))
+    _, metrics = fusion.fuse_observed(_places(spark, sf_dir), list(td.SOURCE_LOADERS))
+    return metrics
 
 
 _OFFSETS = f"""

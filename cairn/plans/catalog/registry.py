@@ -12,7 +12,7 @@ from cairn.session import configure
 
 MODULES = ["geo_queries", "discovery_queries", "journal_queries", "gamify_queries",
            "community_queries", "source_queries", "text_queries", "route_queries",
-           "service_queries", "stream_queries"]
+           "service_queries", "stream_queries", "record_queries"]
 
 
 def _catalogs():

@@ -27,13 +27,20 @@ SORT_KEYS: dict[str, Callable[[], list[Column]]] = {
 
 
 def gather_sources(spark: SparkSession, loaders: Mapping[str, Callable[..., DataFrame]],
-                   *args) -> DataFrame:
-    """Union of all sources; a source that cannot be loaded contributes no rows."""
+                   *args, strict: bool = False, failed: list[str] | None = None) -> DataFrame:
+    """Union of all sources; a source that cannot be loaded contributes no rows.
+
+    Its name goes into ``failed``, so a caller can tell a part from the whole; ``strict`` raises.
+    """
     loaded = []
     for name, load in loaders.items():
         try:
             loaded.append(load(spark, *args))
         except Exception:
+            if strict:
+                raise
+            if failed is not None:
+                failed.append(name)
             log.exception("source %s failed, continuing without it", name)
     if not loaded:
         raise ValueError("no source could be loaded")

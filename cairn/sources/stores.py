@@ -7,14 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.operators.ordered import running_totals
 from cairn.schemas import GEOJSON_PAYLOAD, ROUTE_FILE
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Files as (payload_id, payload), one row per file in name order."""
+    """Files as (payload_id, payload), one row per file; ids count the files in name order.
+
+    Only names are numbered, by running totals over ranges of them, so no task sees all.
+    """
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
-    return files.select(F.abs(F.xxhash64("file") % 1_000_000_000).alias("payload_id"), "payload")
+    numbered = running_totals(files.select("file"), [], ["file"], {"payload_id": F.lit(1)})
+    return files.join(numbered, "file").select("payload_id", "payload")
+
+
+def unreadable(payloads: DataFrame) -> DataFrame:
+    """Payloads that are no JSON, to be kept aside with the file's number."""
+    return payloads.where(F.try_parse_json("payload").isNull())
 
 
 def records(stores: DataFrame, record: str) -> DataFrame:
@@ -28,21 +38,33 @@ def records(stores: DataFrame, record: str) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """A record store file; a missing or unreadable one is an empty table."""
+    """A record store file; a missing one is an empty table, any other failure is one."""
     try:
         payloads = spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"))
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         payloads = spark.createDataFrame([], "payload string")
     return records(payloads, record)
 
 
-def read_records(spark: SparkSession, folder: str, record: str) -> DataFrame:
-    """One JSON file per record; corrupt files are skipped. Adds the file size in bytes."""
+def _record_files(spark: SparkSession, folder: str, record: str) -> DataFrame:
     key = record.split()[0]
-    rows = spark.read.schema(record).option("multiLine", True).option(
-        "mode", "DROPMALFORMED").json(folder)
-    return rows.where(F.col(key).isNotNull()).select(
-        "*", F.col("_metadata.file_size").alias("file_bytes"))
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="[!_.]*").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_bytes"), "value")
+    parsed = files.withColumn("r", F.from_json("value", T.StructType.fromDDL(record)))
+    return parsed.withColumn("good", F.try_parse_json("value").isNotNull() & F.col(f"r.{key}").isNotNull())
+
+
+def read_records(spark: SparkSession, folder: str, record: str) -> DataFrame:
+    """One JSON file per record. Adds the file size in bytes. Files that are no such record are left
+    out here and listed by ``rejected_records``."""
+    return _record_files(spark, folder, record).where("good").select("r.*", "file_bytes")
+
+
+def rejected_records(spark: SparkSession, folder: str, record: str) -> DataFrame:
+    """(file, value) of the files that hold no readable record."""
+    return _record_files(spark, folder, record).where("NOT good").select("file", "value")
 
 
 def route_places(routes: DataFrame) -> DataFrame:
