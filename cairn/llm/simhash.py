@@ -124,13 +124,22 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         "component_id")
 
 
+def fresh_name(docs: DataFrame) -> str:
+    """A column name that the table does not have, for a mark of its rows."""
+    name = "_row"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    return name
+
+
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5,
                 distance: int = 2, blocks: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that with the smallest id, then the
     smallest hash of the row. Rows equal in all columns are one; null ids come first."""
-    whole = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    name = F.struct(F.col(id).alias("id"), F.col("_row").alias("row"))
+    mark = fresh_name(docs)
+    whole = docs.withColumn(mark, F.xxhash64(*docs.columns))
+    name = F.struct(F.col(id).alias("id"), F.col(mark).alias("row"))
     found = near_duplicates(whole.select(name.alias("name"), F.col(text).alias("text")), "name",
                             "text", width, distance, blocks)
-    kept = cut(found.filter("name = component_id").select(F.col("name.row").alias("_row")).distinct())
-    return whole.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    kept = cut(found.filter("name = component_id").select(F.col("name.row").alias(mark)).distinct())
+    return whole.join(kept, mark, "left_semi").dropDuplicates([mark]).drop(mark)

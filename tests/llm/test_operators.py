@@ -122,6 +122,14 @@ def test_one_of_each_keeps_other_columns(docs, none):
     assert simhash.one_of_each(none).collect() == []
 
 
+def test_own_columns_survive_near_dedup(spark):
+    rows = [(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y"), (3, "other words here", 7, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row int, _row_t string")
+    for kept in (simhash.one_of_each(frame), shingles.one_of_alike(frame)):
+        assert kept.columns == frame.columns
+        assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+
+
 @pytest.mark.parametrize("leaders", [1, 4])
 def test_near_copies_go_like_in_a_full_comparison(spark, leaders):
     random.seed(8)
