@@ -276,9 +276,10 @@ def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text
     def told(small: DataFrame, step: Callable, schema: str) -> DataFrame:
         return placed.cogroup(small.groupBy("block")).applyInPandas(step, schema)
 
-    sample = cut(told(copies, send_sample, ENTRY).groupBy("bucket").applyInPandas(meet(False), ENTRY))
+    # one plan from here on: the texts are exchanged once, and all three steps read that exchange
+    sample = told(copies, send_sample, ENTRY).groupBy("bucket").applyInPandas(meet(False), ENTRY)
     known = copies.unionByName(sample)
-    suffix = cut(told(known, send_suffixes, ENTRY).groupBy("bucket").applyInPandas(meet(True), ENTRY))
+    suffix = told(known, send_suffixes, ENTRY).groupBy("bucket").applyInPandas(meet(True), ENTRY)
     judged = told(known.unionByName(suffix), answer,
                   "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     nameless = rows.filter("doc IS NULL").select(
