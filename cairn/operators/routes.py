@@ -18,9 +18,11 @@ from cairn.functions.columns import as_col, not_empty, round_to, strings
 
 
 def _distances(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
-    phi, lam = np.radians(lat), np.radians(lng)
-    a = (np.sin((phi[:, None] - phi) / 2) ** 2
-         + np.cos(phi[:, None]) * np.cos(phi) * np.sin((lam[:, None] - lam) / 2) ** 2)
+    """Between all points of a route, or of each route if there is a leading axis."""
+    phi, lam = np.radians(lat)[..., None, :], np.radians(lng)[..., None, :]
+    there, across = phi.swapaxes(-1, -2), lam.swapaxes(-1, -2)
+    a = (np.sin((there - phi) / 2) ** 2
+         + np.cos(there) * np.cos(phi) * np.sin((across - lam) / 2) ** 2)
     return 2 * geo.EARTH_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
 
 
@@ -59,19 +61,62 @@ def _tour(dist: np.ndarray) -> np.ndarray:
     return path[1:-1]
 
 
+def _tours(dist: np.ndarray) -> np.ndarray:
+    """``_tour`` of many routes of equal length at once, each with its matrix in ``dist``: the same
+    comparisons in the same order, so the same tours."""
+    rows, end = np.arange(len(dist)), dist.shape[1] - 1
+    if end <= 3:
+        return np.tile(np.arange(1, end), (len(dist), 1))
+    path = np.zeros((len(dist), end + 1), np.int64)
+    path[:, end] = end
+    left = np.ones((len(dist), end + 1), bool)
+    left[:, [0, end]] = False
+    for at in range(1, end):
+        path[:, at] = np.argmin(np.where(left, dist[rows, path[:, at - 1]], np.inf), axis=1)
+        left[rows, path[:, at]] = False
+    open_ = rows
+    while open_.size:
+        improved = np.zeros(len(open_), bool)
+        for i in range(1, end - 1):
+            for j in range(i + 1, end):
+                before, first, last, after = (path[open_, k] for k in (i - 1, i, j, j + 1))
+                gain = (dist[open_, before, last] + dist[open_, first, after]
+                        - dist[open_, before, first] - dist[open_, last, after])
+                better = gain < -1e-9
+                if better.any():
+                    at = open_[better]
+                    path[at, i:j + 1] = path[at, i:j + 1][:, ::-1]
+                    improved |= better
+        open_ = open_[improved]
+    return path[:, 1:-1]
+
+
+#: Routes of up to so many stops are ordered many at once, longer ones one by one.
+SHORT_ROUTE = 12
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def visit_order(ends: pd.DataFrame, lats: pd.Series, lngs: pd.Series) -> pd.Series:
     """Zero-based visiting order of each route's stops; ``ends`` has the two end points.
 
     One Arrow batch carries many routes. Up to two stops stay in their given order.
     """
-    orders = []
-    for o_lat, o_lng, e_lat, e_lng, lat, lng in zip(
-            ends["o_lat"], ends["o_lng"], ends["e_lat"], ends["e_lng"], lats, lngs):
-        dist = _distances(np.concatenate(([o_lat], lat, [e_lat])),
-                          np.concatenate(([o_lng], lng, [e_lng])))
-        orders.append((_tour(dist) - 1).astype(np.int32))
-    return pd.Series(orders)
+    orders: list = [None] * len(lats)
+    origin, goal = ends[["o_lat", "o_lng"]].to_numpy(), ends[["e_lat", "e_lng"]].to_numpy()
+    lats, lngs = lats.to_numpy(), lngs.to_numpy()
+    sizes = np.array([len(lat) for lat in lats])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        for part in np.array_split(at, -(-len(at) // (4096 if size <= SHORT_ROUTE else 1))):
+            lat = np.column_stack((origin[part, 0], np.stack(lats[part]), goal[part, 0]))
+            lng = np.column_stack((origin[part, 1], np.stack(lngs[part]), goal[part, 1]))
+            if size <= SHORT_ROUTE:
+                tours = _tours(_distances(lat, lng)) - 1
+            else:
+                tours = _tour(_distances(lat[0], lng[0]))[None] - 1
+            for row, tour in zip(part.tolist(), tours.astype(np.int32)):
+                orders[row] = tour
+    return pd.Series(orders, dtype="object")
 
 
 def order_stops(routes: DataFrame) -> DataFrame:
