@@ -6,7 +6,7 @@ from pathlib import Path
 
 import numpy as np
 
-from cairn.operators import offline, routes
+from cairn.operators import offline, routes, spatial
 from cairn.sinks import tables
 from cairn.sources import stores
 
@@ -53,3 +53,16 @@ def test_cached_places_come_once_without_pairs(spark):
     pairs = offline.cached_in_region(regions, places)
     assert sorted(r["id"] for r in once.collect()) == sorted({r["id"] for r in pairs.collect()})
     assert "LeftSemi" in once._jdf.queryExecution().toString()
+
+
+def test_boxes_of_all_sizes_meet_their_points_in_fitting_cells(spark):
+    random = np.random.default_rng(6)
+    spots = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(random.uniform(40, 44, 600), random.uniform(16, 20, 600)))]
+    boxes = [(i, 42 - s, 18 - s, 42 + s, 18 + s) for i, s in enumerate((0.0, 0.02, 0.06, 0.1, 0.5, 1.5, 30.0, 48.0))]
+    queries = spark.createDataFrame(boxes, "q long, south double, west double, north double, east double")
+    joined = spatial.box_join(queries, spark.createDataFrame(spots, "p long, lat double, lng double"))
+    assert sorted((r["q"], r["p"]) for r in joined.collect()) == sorted(
+        (q, p) for q, s, w, n, e in boxes for p, a, b in spots if s <= a <= n and w <= b <= e)
+    small = spatial.box_join(queries.where("q = 2"), spark.createDataFrame(spots, "p long, lat double, lng double"))
+    # the old cells of 0.05 degrees are too coarse for a box of 0.12
+    assert "0.0125" in small._jdf.queryExecution().toString()
