@@ -12,9 +12,10 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -107,25 +108,48 @@ def award_xp(ledger: DataFrame) -> DataFrame:
     return totals.withColumns({"level": level, "leveled_up": level != earlier})
 
 
-COUNTS = "user_id bigint, condition_type string, ts timestamp, amount double, reached double"
+#: Groups that the keys of a stream are dealt into: a state holds the keys of its group, as a state
+#: and a call of Python for every key would cost more than the work.
+KEY_GROUPS = 1 << 12
+
+
+def _key_group(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS)).alias("key_group")
+
+
+def _slices(rows: pd.DataFrame, keys: list[str], order: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(key, its rows in order) of every key; null keys are keys like others."""
+    numbers = rows.groupby(keys, sort=False, dropna=False).ngroup()
+    rows = rows.assign(_key=numbers).sort_values(["_key", *order], ignore_index=True)
+    ends = [*(np.flatnonzero(np.diff(rows["_key"].to_numpy())) + 1).tolist(), len(rows)]
+    named = [[None if pd.isna(v) else v for v in rows[k].to_numpy()[[0, *ends[:-1]]]] for k in keys]
+    for key, start, end in zip(zip(*named), [0, *ends[:-1]], ends):
+        yield key, rows.iloc[start:end]
+
+
+COUNTS = "user_id string, condition_type string, ts timestamp, amount double, reached double"
 
 
 def unlock_achievements(increments: DataFrame) -> DataFrame:
     """Metric increments to achievements, each unlocked exactly once, in append mode.
 
-    State: what a user has reached of a metric.
+    State: what a user has reached of a metric, for a group of users and metrics.
     """
     def each(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0.0
-        rows = pd.concat(list(frames)).sort_values(["ts", "ord"])
-        reached = before + rows["amount"].cumsum()
-        state.update((float(reached.iloc[-1]),))
-        yield pd.DataFrame({"user_id": key[0], "condition_type": key[1], "ts": rows["ts"],
-                            "amount": rows["amount"], "reached": reached})
-
-    counted = increments.select("user_id", "condition_type", "ts", "ord", F.col("amount").cast("double")) \
-        .groupBy("user_id", "condition_type").applyInPandasWithState(
-            each, COUNTS, "reached double", "append", GroupStateTimeout.NoTimeout)
+        held = {(u, c): r for u, c, r in zip(*state.get)} if state.exists else {}
+        done = []
+        for name, rows in _slices(pd.concat(list(frames)), ["user_id", "condition_type"], ["ts", "ord"]):
+            reached = held.get(name, 0.0) + rows["amount"].cumsum()
+            held[name] = float(reached.iloc[-1])
+            done.append(rows.assign(reached=reached))
+        state.update(([u for u, _ in held], [c for _, c in held], [*held.values()]))
+        yield pd.concat(done)[["user_id", "condition_type", "ts", "amount", "reached"]]
+
+    counted = increments.select(
+        _key_group("user_id", "condition_type"), F.col("user_id").cast("string"), "condition_type", "ts", "ord",
+        F.col("amount").cast("double")).groupBy("key_group").applyInPandasWithState(
+            each, COUNTS, "user_id array<string>, condition_type array<string>, reached array<double>", "append",
+            GroupStateTimeout.NoTimeout).withColumn("user_id", F.col("user_id").cast("bigint"))
     targets = F.filter(gamify.definition_table(), lambda d: (
         d["condition_type"] == F.col("condition_type"))
         & (gamify.metric_value("reached") >= d["condition_value"])
@@ -207,22 +231,32 @@ def admit_stream(calls: DataFrame, limit: int, window_seconds: int = fv.RATE_WIN
 
     Every call gets a decision. A call that arrives in a later batch than a newer one of its client is
     marked ``late`` and rejected: the calls after it are decided, and admitting it could break the
-    limit among them. State: at most ``limit`` times per client and group, and the newest time.
+    limit among them. State: at most ``limit`` times per client and group, and the newest time, for a group of clients.
     """
     width = window_seconds * 1_000_000
 
     def each(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, newest = state.get if state.exists else ([], -(1 << 62))
-        rows = pd.concat(list(frames)).sort_values(["us", "ord"])
-        late = rows["us"] < newest
-        accepted, timely = deque(times), rows.loc[~late, "us"]
-        decisions = pd.Series(False, rows.index)
-        decisions[~late] = admit(timely.to_numpy(), accepted, limit, width)
-        state.update(([int(t) for t in accepted], int(max(newest, rows["us"].max()))))
-        yield pd.DataFrame({"client": key[0], "grp": key[1], "ord": rows["ord"],
-                            "accepted": decisions, "late": late})
-
-    timed = calls.select("client", "grp", F.unix_micros("ts").alias("us"), "ord")
-    return timed.groupBy("client", "grp").applyInPandasWithState(
-        each, "client bigint, grp string, ord bigint, accepted boolean, late boolean",
-        "accepted array<bigint>, newest bigint", "append", GroupStateTimeout.NoTimeout)
+        held = {(c, g): (t, n) for c, g, t, n in zip(*state.get)} if state.exists else {}
+        done = []
+        for name, rows in _slices(pd.concat(list(frames)), ["client", "grp"], ["us", "ord"]):
+            times, newest = held.get(name, ((), -(1 << 62)))
+            us = rows["us"].to_numpy()
+            late, accepted = us < newest, deque(times)
+            decisions = np.zeros(len(us), bool)
+            decisions[~late] = admit(us[~late], accepted, limit, width)
+            held[name] = ([int(t) for t in accepted], int(max(newest, rows["us"].max())))
+            done.append((rows, decisions, late))
+        state.update(([c for c, _ in held], [g for _, g in held], [t for t, _ in held.values()],
+                      [n for _, n in held.values()]))
+        rows = pd.concat([rows for rows, _, _ in done])
+        yield pd.DataFrame({"client": rows["client"], "grp": rows["grp"], "ord": rows["ord"],
+                            "accepted": np.concatenate([x for _, x, _ in done]),
+                            "late": np.concatenate([x for _, _, x in done])})
+
+    timed = calls.select(_key_group("client", "grp"), F.col("client").cast("string"), "grp",
+                         F.unix_micros("ts").alias("us"), "ord")
+    decided = timed.groupBy("key_group").applyInPandasWithState(
+        each, "client string, grp string, ord bigint, accepted boolean, late boolean",
+        "client array<string>, grp array<string>, accepted array<array<bigint>>, newest array<bigint>", "append",
+        GroupStateTimeout.NoTimeout)
+    return decided.withColumn("client", F.col("client").cast("bigint"))
