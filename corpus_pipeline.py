@@ -27,8 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents tied by sharing 0.8 of their five-word shingles, the one with the smallest id
-    stays. Rows that are equal in all columns are one document; a null id comes first."""
-    return shingles.one_of_alike(docs, width=5, least=0.8)
+    stays: SimHash fingerprints within 2 bits propose pairs, MinHash bands those farther apart.
+    Rows that are equal in all columns are one document; a null id comes first."""
+    return shingles.one_of_alike(docs, width=5, least=0.8, distance=2)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
