@@ -158,6 +158,39 @@ def test_near_copies_go_like_in_a_full_comparison(spark, leaders):
     assert corpus_pipeline.simhash_dedup(spark, frame.limit(0), SMALL).collect() == []
 
 
+def test_isolated_members_of_a_family_meet_few_others(spark, monkeypatch):
+    random.seed(3)
+    sets = []
+    for i in range(240):  # every set lacks up to 40 of 146 shingles and has as many of its own
+        edits = random.randint(0, 40)
+        sets.append(random.sample(range(146), 146 - edits) + [1_000 + 100 * i + j for j in range(edits)])
+    sets = [{xxhash.xxh64_intdigest(str(x)) >> 1 for x in s} for s in sets]
+    nodes = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "node long, hashes array<long>")
+    block = nodes.select(F.lit(1).cast("long").alias("key"), F.lit(0).alias("band"), "node", F.size("hashes").alias("size"))
+    asked, alike = [], shingles.alike
+    monkeypatch.setattr(shingles, "alike", lambda pairs, *rest: asked.append(pairs.count()) or alike(pairs, *rest))
+    tied = simhash.connected_components(shingles.close_pairs(block, nodes, 0.8))
+    label = _reach(len(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert {tuple(r) for r in tied.collect()} == {(i, g) for i, g in enumerate(label) if label.count(g) > 1}
+    assert 60 < len(set(label)) and sum(asked) < 4 * len(sets)
+
+
+def test_near_dedup_proposes_pairs_by_simhash(spark, monkeypatch):
+    random.seed(4)
+    fps = [random.getrandbits(63) for _ in range(30)]
+    fps += [f ^ sum(1 << b for b in random.sample(range(63), random.randint(0, 3))) for f in fps]
+    frame = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+    found = simhash.connected_components(shingles.simhash_pairs(frame)).collect()
+    label = _reach(len(fps), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 2)
+    assert {tuple(r) for r in found} == {(i, g) for i, g in enumerate(label) if label.count(g) > 1}
+    text = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "w1 w2")], "doc_id long, text string")
+    pairs, alike = [], shingles.alike
+    monkeypatch.setattr(shingles, "alike", lambda asked, *rest: pairs.append(asked.count()) or alike(asked, *rest))
+    assert {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, SMALL).collect()} == {1, 3}
+    assert pairs == [1, 0, 0, 0]  # the fingerprints' pair is found first and needs no bands
+
+
 ROWS_NAMES = {part.split()[0] for part in DOCS.split(", ")}
 
 
@@ -407,6 +440,24 @@ def test_vectors_match_brute_force(spark):
     assert embeddings.near_duplicate_vectors(frame.limit(0)).collect() == []
 
 
+def test_vectors_visit_few_leaves_and_codes_decide_nothing_wrong(spark):
+    random = np.random.default_rng(9)
+    sample = embeddings.unit(random.normal(size=(400, 16)))
+    forest = embeddings.fit_forest(sample, 400, 6, 16, 1.0)  # a margin that leads everywhere
+    rows, leaves = forest.route(sample, 10)
+    assert (np.bincount(rows) == 10).all() and len({*zip(rows, leaves)}) == len(rows)
+    base = sample[:1]  # cosines packed around the bound, closer than a byte can tell
+    side = random.normal(size=(80, 16))
+    side -= (side @ base.T) * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    near = np.linspace(0.895, 0.905, 80)[:, None]
+    x = np.vstack([base, near * base + np.sqrt(1 - near ** 2) * side])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicate_vectors(frame, leaf_rows=1000, block=10).collect()}
+    linked = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.9
+    assert got == dict(enumerate((linked.sum(axis=1) - 1).tolist())) and got[0] > 20
+
+
 def test_secrets_are_found_masked_and_learned(docs, none):
     found, model = secrets.scan_secrets(docs)
     planted = {r[0] for r in ROWS if r[1] and "token =" in r[1]}
