@@ -66,3 +66,31 @@ def test_boxes_of_all_sizes_meet_their_points_in_fitting_cells(spark):
     small = spatial.box_join(queries.where("q = 2"), spark.createDataFrame(spots, "p long, lat double, lng double"))
     # the old cells of 0.05 degrees are too coarse for a box of 0.12
     assert "0.0125" in small._jdf.queryExecution().toString()
+
+
+def test_places_of_regions_take_little_space_and_are_whole(spark, tmp_path):
+    random = np.random.default_rng(8)
+    spots = [(f"place_{i:06d}", float(a), float(b), ["a"] if i % 3 else []) for i, (a, b) in enumerate(
+        zip(random.uniform(42, 42.03, 3000), random.uniform(18, 18.04, 3000)))]
+    spots += [spots[7], (None, 42.02, 18.02, ["a"]), ("no_kind", 42.02, 18.02, None), ("edge", 42.02, 18.03, ["a", "b"]),
+              ("nowhere", None, 18.02, ["a"]), ("also_nowhere", 42.02, None, [])]
+    boxes = [(i, [["a"], [], ["b", "c"]][i % 3], float(a), float(b), float(a) + 0.03, float(b) + 0.04)
+             for i, (a, b) in enumerate(zip(random.uniform(41.99, 42.01, 600), random.uniform(17.99, 18.01, 600)))]
+    boxes += [boxes[0], (600, None, 42.0, 18.0, 42.03, 18.03), (601, [], 42.02, 18.03, 42.02, 18.03),
+              (602, [], 42.0, 18.0, 44.0, 19.0), (603, [], None, 18.0, 42.03, 18.03)]
+    regions = spark.createDataFrame(boxes, "region_id long, categories array<string>, min_lat double, min_lng double, max_lat double, max_lng double")
+    places = spark.createDataFrame(spots, "id string, lat double, lng double, categories array<string>")
+    pairs = offline.cached_in_region(regions, places)
+    assert pairs.columns == ["region_id", *places.columns]
+    want = [(r, p) for r, w, s, b, n, e in boxes if None not in (w, s) for p, x, y, k in spots if None not in (x, y)
+            and s <= x <= n and b <= y <= e and (not w or (k is not None and set(w) & set(k)))]
+    narrow = pairs.select("region_id", "id")
+    got = narrow.collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 300_000
+    # generated code would hold all rows of a block at once
+    final = narrow._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    joins = [line for line in final if "SortMergeJoin" in line]
+    assert joins and not any("*(" in line for line in joins)
+    narrow.write.parquet(str(tmp_path / "pairs"))
+    stored = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert stored < 0.6 * len(want), stored / len(want)
